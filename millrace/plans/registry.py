@@ -13,6 +13,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _MODULES = [
     "slice",
+    "table_queries",
+    "text_queries",
 
 ]
 

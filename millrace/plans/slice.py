@@ -8,30 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text, words
 from ..operators.dedup import first_per_key
 from ..operators.sampling import train_val_split
+from . import sqltext as q
 from .registry import query, table
 
 MIN_TOKENS, MAX_TOKENS = 20, 20_000
 
-# White space and normalised text as RE2 writes them.
-SQL_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
-SQL_NORMAL = f"trim(regexp_replace(lower(text), '{SQL_SPACE}+', ' ', 'g'))"
-
-
-def sql_words(expr: str) -> str:
-    return f"list_filter(string_split(trim(regexp_replace({expr}, '{SQL_SPACE}+', ' ', 'g')), ' '), lambda w: w <> '')"
-
-
 @query(
     "clean_split_profile",
     f"""
     with good as (
-      select d.doc_id, d.lang, {SQL_NORMAL} as norm
+      select d.doc_id, d.lang, {q.normal('text')} as norm
       from documents d join labels l on d.doc_id = l.doc_id
       where l.quality = 1 and l.toxic = 0),
     uniq as (select * from good qualify row_number() over (partition by md5(norm) order by doc_id) = 1),
-    sized as (select doc_id, lang, len({sql_words('norm')}) as n_tokens from uniq),
+    sized as (select doc_id, lang, len({q.words('norm')}) as n_tokens from uniq),
     kept as (select * from sized where n_tokens between {MIN_TOKENS} and {MAX_TOKENS}),
-    placed as (select *, row_number() over (order by md5('42|split|' || doc_id), doc_id) - 1 as pos,
+    placed as (select *, row_number() over (order by {q.shuffled('split', 'doc_id')}, doc_id) - 1 as pos,
                       count(*) over () as total from kept)
     select case when pos < greatest(cast(floor(total * 0.1::double) as bigint), 1) then 'val' else 'train' end as split,
            lang, count(*) as n_docs, cast(sum(n_tokens) as bigint) as n_tokens,

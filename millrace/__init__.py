@@ -1,3 +1,10 @@
 """Millrace: training-data and evaluation tables as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import MESSAGE_ROLES
-from .columns import ColumnOrName, col
+from .columns import ColumnOrName, col, let
+from .text import split_keeping_delimiters
 
 # Role names of other conversation formats.
 ROLE_ALIASES = {
@@ -99,21 +100,27 @@ def history_of(messages: ColumnOrName) -> Column:
     system = F.when(F.get(messages, F.lit(0))["role"] == "system", F.get(messages, F.lit(0))["content"])
     start = F.when(system.isNotNull(), 1).otherwise(0)
     turns = F.slice(messages, start + 1, F.greatest(F.size(messages) - start, F.lit(0)))
-    n_pairs = F.ceil(F.size(turns) / 2).cast("int")
-    pairs = F.when(
-        n_pairs > 0,
-        F.transform(
-            F.sequence(F.lit(0), n_pairs - 1),
-            lambda i: F.array(F.get(turns, i * 2)["content"], F.get(turns, i * 2 + 1)["content"]),
-        ),
-    ).otherwise(F.array().cast("array<array<string>>"))
-    last = F.try_element_at(pairs, F.lit(-1))
-    return F.struct(
-        F.slice(pairs, F.lit(1), F.greatest(n_pairs - 1, F.lit(0))).alias("history"),
-        F.get(last, F.lit(0)).alias("query"),
-        F.get(last, F.lit(1)).alias("response"),
-        system.alias("system"),
-    )
+
+    def paired(bound):
+        n_pairs = F.ceil(F.size(bound) / 2).cast("int")
+        return F.when(
+            n_pairs > 0,
+            F.transform(
+                F.sequence(F.lit(0), n_pairs - 1),
+                lambda i: F.array(F.get(bound, i * 2)["content"], F.get(bound, i * 2 + 1)["content"]),
+            ),
+        ).otherwise(F.array().cast("array<array<string>>"))
+
+    def split_last(pairs):
+        last = F.try_element_at(pairs, F.lit(-1))
+        return F.struct(
+            F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))).alias("history"),
+            F.get(last, F.lit(0)).alias("query"),
+            F.get(last, F.lit(1)).alias("response"),
+            system.alias("system"),
+        )
+
+    return let(let(turns, paired), split_last)
 
 
 def messages_problem(messages: ColumnOrName) -> Column:
@@ -159,41 +166,95 @@ def loss_mask(messages: ColumnOrName, n_tokens: Sequence | Column, strategy: str
     ``last`` assistant turn, or ``after_first``: everything after the first assistant turn begins, user
     and tool turns masked. A message's own ``loss`` overrides the rule.
     """
-    messages, n_tokens = col(messages), col(n_tokens)
+    messages = col(messages)
     roles = F.transform(messages, lambda m: m["role"])
-    first = F.array_position(roles, F.lit("assistant"))
-    last = F.size(roles) + 1 - F.array_position(F.reverse(roles), F.lit("assistant"))
-    is_assistant = {
-        "all": lambda m, i: m["role"] == "assistant",
-        "last": lambda m, i: (m["role"] == "assistant") & (i + 1 == last),
-        "after_first": lambda m, i: ~m["role"].isin("user", "tool", "tool_response")
-        & (first > 0)
-        & (i + 1 >= first),
-    }[strategy]
-    per_turn = F.transform(
-        messages,
-        lambda m, i: F.array_repeat(
-            F.coalesce((m["loss"] > 0).cast("int"), is_assistant(m, i).cast("int")), F.get(n_tokens, i).cast("int")
-        ),
+
+    def masked(bound):
+        first, last, counts = bound["first"], bound["last"], bound["counts"]
+        rule = {
+            "all": lambda m, i: m["role"] == "assistant",
+            "last": lambda m, i: (m["role"] == "assistant") & (i + 1 == last),
+            "after_first": lambda m, i: ~m["role"].isin("user", "tool", "tool_response")
+            & (first > 0)
+            & (i + 1 >= first),
+        }[strategy]
+        return F.transform(
+            messages,
+            lambda m, i: F.array_repeat(
+                F.coalesce((m["loss"] > 0).cast("int"), rule(m, i).cast("int")), F.get(counts, i).cast("int")
+            ),
+        )
+
+    bound = F.struct(
+        F.array_position(roles, F.lit("assistant")).alias("first"),
+        _last_position(roles, "assistant").alias("last"),
+        col(n_tokens).alias("counts"),
     )
-    return F.flatten(per_turn)
+    return F.flatten(let(bound, masked))
+
+
+def _last_position(roles: Column, role: str) -> Column:
+    """1-based, one past the end when the role is absent."""
+    return F.size(roles) + 1 - F.array_position(F.reverse(roles), F.lit(role))
 
 
 def loss_weights(messages: ColumnOrName, strategy: str = "default") -> Column:
     """Weight per message: ``default`` assistant turns, ``last_round``, or ``all`` turns."""
     messages = col(messages)
     roles = F.transform(messages, lambda m: m["role"])
-    last_user = F.size(roles) + 1 - F.array_position(F.reverse(roles), F.lit("user"))
-    has_user = F.array_contains(roles, "user")
+    if strategy not in ("all", "default", "last_round"):
+        raise ValueError(f"unknown strategy {strategy!r}")
 
-    def weight(m, i):
-        if strategy == "all":
-            return F.lit(1.0)
+    def weight(m, i, last_user):
         assistant = m["role"] == "assistant"
+        # A message's own weight counts for assistant turns only.
+        own = F.when(assistant, m["loss"])
+        if strategy == "all":
+            return F.coalesce(own, F.lit(1.0))
         if strategy == "last_round":
-            assistant = assistant & (~has_user | (i + 1 > last_user))
-        elif strategy != "default":
-            raise ValueError(f"unknown strategy {strategy!r}")
-        return F.coalesce(m["loss"], assistant.cast("double"))
+            assistant = assistant & (i + 1 > last_user)
+        return F.coalesce(own, assistant.cast("double"))
+
+    last_user = F.when(F.array_contains(roles, "user"), _last_position(roles, "user")).otherwise(0)
+    return let(last_user, lambda last: F.transform(messages, lambda m, i: weight(m, i, last)))
+
 
-    return F.transform(messages, weight)
+def delimiter_weights(response: ColumnOrName, weights: dict[str, tuple[float, ...]]) -> Column:
+    """Array of (content, weight): the response cut at the delimiters of the map.
+
+    A delimiter with two weights gives one to itself and one to the text after it; with one weight, the
+    delimiter is a pattern and a match takes that weight. Text under no delimiter weighs 1.
+    """
+    pairs = {k: v for k, v in weights.items() if len(v) == 2}
+
+    def part(content, weight):
+        return F.struct(content.alias("content"), weight.cast("double").alias("weight"))
+
+    if pairs:
+        first = F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, float(v[0]))])
+        second = F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, float(v[1]))])
+        cut = split_keeping_delimiters(response, list(pairs))
+        nested = F.transform(
+            cut,
+            lambda p: F.when(p["key"] == "", F.array(part(p["content"], F.lit(1.0)))).otherwise(
+                F.array(part(p["key"], first[p["key"]]), part(p["content"], second[p["key"]]))
+            ),
+        )
+        return F.flatten(nested)
+    pattern = "(?s)" + "|".join(f"(?:{k})" for k in weights)
+    matches = F.regexp_extract_all(col(response), F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(col(response), pattern, -1)
+
+    def weigh(text):
+        chosen = F.lit(1.0)
+        for key, value in reversed(list(weights.items())):
+            chosen = F.when(text.rlike(f"(?s)^(?:{key})"), float(value[0])).otherwise(chosen)
+        return chosen
+
+    cut = let(
+        matches,
+        lambda m: F.flatten(
+            F.transform(between, lambda b, i: F.array(part(b, F.lit(1.0)), part(F.get(m, i), weigh(F.get(m, i)))))
+        ),
+    )
+    return F.filter(cut, lambda p: p["content"] != "")

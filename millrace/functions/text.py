@@ -1,14 +1,19 @@
-"""Text normalisation, word and n-gram columns. All of them stay inside the JVM."""
+"""Text normalisation, word and n-gram columns. 
+
+All stay inside the JVM but the character n-gram count, which is linear only in Python.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .columns import ColumnOrName, col, ratio
+from .columns import ColumnOrName, col, let, ratio
 
 # What counts as white space (Unicode separators plus the ASCII control spaces), ASCII
 # punctuation, English articles, and the shape of an English-looking word.
@@ -47,26 +52,46 @@ def word_count(c: ColumnOrName) -> Column:
     return F.regexp_count(col(c), F.lit(ENGLISH_WORD))
 
 
-def characters(c: ColumnOrName) -> Column:
-    return F.filter(F.split(col(c), ""), lambda ch: ch != "")
-
-
 def ngrams(items: Column, n: int, separator: str = " ") -> Column:
     """Adjacent n-grams of an array of strings, each joined to one string."""
-    count = F.size(items) - n + 1
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(items, i, n), separator)),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def grams(bound):
+        count = F.size(bound) - n + 1
+        # Element access is constant time inside a lambda; ``slice`` walks from the array start.
+        return F.when(
+            count > 0,
+            F.transform(
+                F.sequence(F.lit(0), count - 1),
+                lambda i: F.concat_ws(separator, *[F.get(bound, i + k) for k in range(n)]),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(items, grams)
 
 
 def distinct_ratio(grams: Column) -> Column:
-    return ratio(F.size(F.array_distinct(grams)), F.size(grams))
+    return let(grams, lambda g: ratio(F.size(F.array_distinct(g)), F.size(g)))
 
 
 def is_repetitive(c: ColumnOrName, n: int = 30, threshold: float = 0.5) -> Column:
     """True where few of the character n-grams are distinct; short and null texts are not repetitive."""
-    return F.coalesce(distinct_ratio(ngrams(characters(c), n, "")) < threshold, F.lit(False))
+    return F.coalesce(character_ngram_ratio(n)(col(c)) < threshold, F.lit(False))
+
+
+def character_ngram_ratio(n: int):
+    """Column function: distinct / total character n-grams of a text, null under n characters."""
+
+    @F.pandas_udf(T.DoubleType())
+    def share(texts: pd.Series) -> pd.Series:
+        def of(text):
+            if text is None or len(text) < n:
+                return None
+            count = len(text) - n + 1
+            return len({text[i : i + n] for i in range(count)}) / count
+
+        return pd.Series([of(t) for t in texts], dtype="float64")
+
+    return share
 
 
 def repetition_penalty(c: ColumnOrName, n: int = 3, max_penalty: float = -1.0) -> Column:
@@ -100,10 +125,11 @@ def split_keeping_delimiters(c: ColumnOrName, delimiters: Sequence[str]) -> Colu
     alternatives = "|".join(re.escape(d) for d in delimiters)
     keys = F.regexp_extract_all(col(c), F.lit(f"({alternatives})"), F.lit(1))
     contents = F.split(col(c), alternatives, -1)
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(contents) - 1),
-        lambda i: F.struct(
-            F.coalesce(F.get(keys, i - 1), F.lit("")).alias("key"), F.get(contents, i).alias("content")
+    parts = let(
+        keys,
+        lambda k: F.transform(
+            contents,
+            lambda c, i: F.struct(F.coalesce(F.get(k, i - 1), F.lit("")).alias("key"), c.alias("content")),
         ),
     )
     return F.filter(parts, lambda p: (p["key"] != "") | (p["content"] != ""))
@@ -111,10 +137,19 @@ def split_keeping_delimiters(c: ColumnOrName, delimiters: Sequence[str]) -> Colu
 
 def sublist_positions(items: ColumnOrName, pattern: ColumnOrName) -> Column:
     """0-based starts of every occurrence of the array ``pattern`` in ``items``."""
-    items, pattern = col(items), col(pattern)
-    n = F.size(pattern)
-    last = F.size(items) - n + 1
-    return F.when(
-        (last > 0) & (n > 0),
-        F.filter(F.sequence(F.lit(0), last - 1), lambda i: F.slice(items, i + 1, n) == pattern),
-    ).otherwise(F.array().cast("array<int>"))
+
+    def positions(bound):
+        array, wanted = bound["items"], bound["pattern"]
+        n = F.size(wanted)
+        last = F.size(array) - n + 1
+
+        def starts_here(i):
+            rest = F.transform(wanted, lambda w, k: F.get(array, i + k) == w)
+            return (F.get(array, i) == F.get(wanted, F.lit(0))) & F.forall(rest, lambda same: same)
+
+        return F.when(
+            (last > 0) & (n > 0),
+            F.filter(F.sequence(F.lit(0), last - 1), starts_here),
+        ).otherwise(F.array().cast("array<int>"))
+
+    return let(F.struct(col(items).alias("items"), col(pattern).alias("pattern")), positions)

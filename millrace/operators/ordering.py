@@ -115,3 +115,35 @@ def _numbered(df, levels, order, position, sums, within):
 def row_total(df: DataFrame) -> Column:
     """Row count as a scalar subquery column."""
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def with_value_position(
+    df: DataFrame, value: str, key: str, position: str = "pos", within: Sequence[str] = ()
+) -> DataFrame:
+    """Number rows from 0 in order of a numeric ``value``, equal values by the unique integer ``key``.
+
+    Distinct values are counted first, so a value held by any share of the rows is one row of the
+    running sum; the rows of one value are numbered by key ranges.
+    """
+    counts = value_offsets(df, value, within)
+    placed = with_position(df, key, "__at", within=[*within, value])
+    return (
+        placed.join(counts.select(*within, value, "n_before"), [*within, value])
+        .withColumn(position, F.col("n_before") + F.col("__at"))
+        .drop("__at", "n_before")
+    )
+
+
+def value_offsets(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """(within.., value, n, n_before): each distinct value, its count and the count of smaller ones."""
+    counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.min(value).alias("__low"), F.max(value).alias("__high")
+    if within:
+        bounded = counts.join(counts.groupBy(*within).agg(low, high), list(within))
+    else:
+        bounded = counts.withColumns({"__low": counts.agg(low).scalar(), "__high": counts.agg(high).scalar()})
+    width = (F.col("__high") - F.col("__low")).cast("double")
+    share = F.when(width > 0, (F.col(value) - F.col("__low")) / width).otherwise(0.0)
+    bucketed = bounded.withColumn("__bucket", F.floor(share * 65535)).drop("__low", "__high")
+    ranked = running_totals(bucketed, [*within, "__bucket"], [value], ["n"], "__pos", restart=len(within))
+    return ranked.select(*within, value, "n", F.col("n_before"))

@@ -15,6 +15,7 @@ _MODULES = [
     "slice",
     "table_queries",
     "text_queries",
+    "row_queries",
 
 ]
 

@@ -22,8 +22,12 @@ def normal(expr: str) -> str:
 
 
 def answer(expr: str) -> str:
+    # RE2 word boundaries are ASCII only, so every non-word character is followed by a mark that stands
+    # for the boundary behind it.
     bare = f"regexp_replace(lower({expr}), '[!-/:-@\\[-`{{-~]', '', 'g')"
-    return collapse(f"regexp_replace({bare}, '\\b(a|an|the)\\b', ' ', 'g')")
+    marked = f"regexp_replace({bare}, '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', '\\1' || chr(1), 'g')"
+    cut = f"regexp_replace({marked}, '(^|\\x01)(a|an|the)([^\\p{{L}}\\p{{N}}\\p{{M}}_]|$)', '\\1 \\3', 'g')"
+    return collapse(f"replace({cut}, chr(1), '')")
 
 
 def shuffled(salt: str, ident: str, seed: int = 42) -> str:

@@ -16,6 +16,7 @@ _MODULES = [
     "table_queries",
     "text_queries",
     "row_queries",
+    "corpus_queries",
 
 ]
 

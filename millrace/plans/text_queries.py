@@ -227,7 +227,7 @@ def _(spark, d):
     with w as (select doc_id, {q.words('lower(text)')} as w from documents),
     e as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
     g as (select doc_id, x || ' ' || lead(x) over o || ' ' || lead(x, 2) over o as g from e window o as (partition by doc_id order by i)),
-    r as (select doc_id, count(distinct g) / count(g) as share from g group by 1)
+    r as (select doc_id, count(distinct g) / nullif(count(g), 0) as share from g group by 1)
     select doc_id, round(coalesce((1 - share) * -1.0, 0), 9) as reward from documents left join r using (doc_id)
     """,
 )
@@ -536,14 +536,8 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(rewards.vote_average(votes), 6).alias("score"))
 
 
-@query(
-    "f12_repetitive_text",
-    """
-    with g as (select doc_id, text, unnest(range(1, length(text) - 28)) as i from documents where length(text) >= 30),
-    r as (select doc_id, count(distinct substr(text, i, 30)) / count(*) as share from g group by 1)
-    select doc_id, coalesce(share < 0.5, false) as repetitive from documents left join r using (doc_id)
-    """,
-)
+# DuckDB cuts every n-gram from the start of the text, so SQL is too slow here; tests compare by brute force.
+@query("f12_repetitive_text")
 def _(spark, d):
     return documents(spark, d, "text").select("doc_id", text.is_repetitive("text").alias("repetitive"))
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEIGHT_SCALE = 1_000_000
+BLOCK_ITEMS = 1 << 16
 
 
 def parse_blend(entries: Sequence[str]) -> tuple[list[str], list[float] | None]:
@@ -44,37 +44,33 @@ def dataset_sizes(weights: Sequence[float], target: int, surplus: float = 0.0) -
     return [math.ceil(math.ceil(target * w) * (1 + surplus)) for w in normalise_weights(weights)]
 
 
-def _place(item: Column, i: int, units: Sequence[int], limits: Sequence[int] | None, kind: str) -> Column:
-    due = (item * 2 + 1).cast(kind)
-    place = item
+def _place(units: Sequence[int], limits: Sequence[int] | None, kind: str) -> Column:
+    """Items of all datasets due before item ``item`` of dataset ``dataset_index``, whose weight is ``unit``."""
+    due = (F.col("item") * 2 + 1).cast(kind)
+    place = F.col("item")
     for j, unit in enumerate(units):
-        if j == i or unit == 0:
+        if unit == 0:
             continue
+        tie = F.when(F.col("dataset_index") > j, 0).otherwise(1).cast(kind)
         # Odd numbers up to ``bound`` are the items of dataset j due before this one.
-        product = due * F.lit(unit).cast(kind) - F.lit(0 if j < i else 1).cast(kind)
-        bound = F.call_function("div", product, F.lit(units[i]).cast(kind))
+        bound = F.call_function("div", due * F.lit(unit).cast(kind) - tie, F.col("unit").cast(kind))
         earlier = F.floor((bound + 1) / 2).cast("bigint")
-        place = place + (earlier if limits is None else F.least(earlier, F.lit(limits[j])))
+        if limits is not None:
+            earlier = F.least(earlier, F.lit(limits[j]))
+        place = place + F.when(F.col("dataset_index") == j, 0).otherwise(earlier)
     return place
 
 
-def _kind(max_item: int, max_unit: int) -> str:
-    return "bigint" if (2 * max_item + 1) * max_unit < 2**62 else "decimal(38,0)"
-
-
 def _grid(spark: SparkSession, names, counts, units, limits) -> DataFrame:
-    kind = _kind(max(counts), max(units))
-    parts = [
-        spark.range(n).select(
-            F.lit(name).alias("dataset"),
-            F.lit(i).alias("dataset_index"),
-            F.col("id").alias("item"),
-            _place(F.col("id"), i, units, limits, kind).alias("pos"),
-        )
-        for i, (name, n) in enumerate(zip(names, counts))
-        if n > 0
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    kind = "bigint" if (2 * max(counts) + 1) * max(units) < 2**62 else "decimal(38,0)"
+    config = [(name, i, u, n) for i, (name, u, n) in enumerate(zip(names, units, counts)) if n > 0]
+    datasets = spark.createDataFrame(config, "dataset string, dataset_index int, unit bigint, n bigint")
+    # Blocks of items are dealt out first, so a large dataset fills many tasks.
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(BLOCK_ITEMS).cast("bigint"))
+    blocks = datasets.withColumn("start", F.explode(starts)).repartition("dataset_index", "start")
+    stop = F.least(F.col("start") + BLOCK_ITEMS, F.col("n")) - 1
+    items = blocks.withColumn("item", F.explode(F.sequence(F.col("start"), stop)))
+    return items.select("dataset", "dataset_index", "item", _place(units, limits, kind).alias("pos"))
 
 
 def weighted_blend(spark: SparkSession, names: Sequence[str], weights: Sequence[float], size: int) -> DataFrame:

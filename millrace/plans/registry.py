@@ -17,6 +17,7 @@ _MODULES = [
     "text_queries",
     "row_queries",
     "corpus_queries",
+    "group_queries",
 
 ]
 

@@ -304,12 +304,12 @@ def _(spark, d):
 @query(
     "g20_discounted_returns",
     f"""
-    with {RO} select a.task, a.step, round(sum(b.reward * pow(0.9::double, b.step - a.step)), 4) as ret from ro a join ro b on a.task = b.task and b.step >= a.step group by 1, 2
+    with {RO} select a.task, a.step, round(sum(b.reward * pow(0.9371::double, b.step - a.step)), 6) as ret from ro a join ro b on a.task = b.task and b.step >= a.step group by 1, 2
     """,
 )
 def _(spark, d):
-    out = groups.discounted_returns(steps(spark, d), ["task"], "step", "reward", 0.9)
-    return out.select("task", "step", F.round("return", 4).alias("ret"))
+    out = groups.discounted_returns(steps(spark, d), ["task"], "step", "reward", 0.9371)
+    return out.select("task", "step", F.round("return", 6).alias("ret"))
 
 
 @query(

@@ -18,6 +18,7 @@ _MODULES = [
     "row_queries",
     "corpus_queries",
     "group_queries",
+    "join_queries",
 
 ]
 

@@ -19,6 +19,7 @@ _MODULES = [
     "corpus_queries",
     "group_queries",
     "join_queries",
+    "io_queries",
 
 ]
 

@@ -359,15 +359,15 @@ def char_count_rows(ids: DataFrame, key: str, low: int, high: int, seed: int = 4
         ),
     )
     chars = let(letters, lambda a: F.transform(F.sort_array(places), lambda p: F.get(a, p["c"])))
-    words_ = sized.select(key, "hits", F.get(letters, F.col("target")).alias("target"), chars.alias("chars"))
+    words_ = sized.select(key, "hits", F.get(letters, F.col("target")).alias("letter"), chars.alias("chars"))
     word = F.array_join("chars", "-")
     lines = F.transform(
-        "chars", lambda c: F.concat(c, F.when(c == F.col("target"), " = ").otherwise(" != "), F.col("target"), F.lit("."))
+        "chars", lambda c: F.concat(c, F.when(c == F.col("letter"), " = ").otherwise(" != "), F.col("letter"), F.lit("."))
     )
-    conclusion = F.concat(F.lit("\\boxed{"), F.col("hits").cast("string"), F.lit("} "), F.col("target"), F.lit(" in "), word, F.lit("."))
+    conclusion = F.concat(F.lit("\\boxed{"), F.col("hits").cast("string"), F.lit("} "), F.col("letter"), F.lit(" in "), word, F.lit("."))
     return words_.select(
         key,
-        F.concat(F.lit("How many "), "target", F.lit(" are there in word "), word, F.lit("?")).alias("prompt"),
+        F.concat(F.lit("How many "), "letter", F.lit(" are there in word "), word, F.lit("?")).alias("prompt"),
         F.concat_ws("\n", F.array_join(lines, "\n"), conclusion).alias("response"),
         F.col("hits").alias("gold"),
     )

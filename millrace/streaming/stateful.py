@@ -218,7 +218,7 @@ def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: s
             state.update(([], number + 1 if turns else number))
             return
         pdf = _ordered(frames, order)
-        for opens, text in zip(pdf[marker], pdf[turn]):
+        for opens, text in zip(pdf["__marker"], pdf["__turn"]):
             if opens and turns:
                 yield emit(names[0], number, turns)
                 turns, number = [], number + 1
@@ -230,7 +230,8 @@ def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: s
         if wait:
             state.setTimeoutDuration(wait)
 
-    return stream.select(key, order, marker, turn).groupBy(key).applyInPandasWithState(
+    rows = stream.select(key, order, F.col(marker).alias("__marker"), F.col(turn).alias("__turn"))
+    return rows.groupBy(key).applyInPandasWithState(
         step,
         f"`{key}` {kinds[key]}, session bigint, turns array<{kinds[turn]}>",
         f"turns array<{kinds[turn]}>, number bigint",

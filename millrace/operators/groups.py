@@ -145,32 +145,32 @@ def discounted_returns(steps: DataFrame, keys: Sequence[str], step: str, reward:
     """
     block = F.floor(F.col(step) / RETURN_BLOCK)
     packed = F.sort_array(F.collect_list(F.struct(F.col(step).alias("k"), F.col(reward).cast("double").alias("r"))))
-    blocks = steps.withColumn("__b", block).groupBy(*keys, "__b").agg(packed.alias("p"))
+    blocks = steps.withColumn("__b", block).groupBy(*keys, "__b").agg(packed.alias("__p"))
     start = F.struct(F.lit(0.0).alias("g"))
 
     def total(rows):
         return F.aggregate(F.reverse(rows), start, lambda a, x: F.struct((x["r"] + gamma * a["g"]).alias("g")))["g"]
 
-    sized = blocks.withColumns({"t": total(F.col("p")), "n": F.size("p")})
-    tails = sized.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "t", "n"))).alias("bs"))
+    sized = blocks.withColumns({"__t": total(F.col("__p")), "__n": F.size("__p")})
+    tails = sized.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "__t", "__n"))).alias("__bs"))
 
     # Return at the end of each block, folded from the last block to the first.
     init = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<struct<b:bigint,tail:double>>").alias("out"))
 
     def fold(a, x):
         return F.struct(
-            (x["t"] + F.pow(F.lit(gamma), x["n"]) * a["g"]).alias("g"),
+            (x["__t"] + F.pow(F.lit(gamma), x["__n"]) * a["g"]).alias("g"),
             F.concat(a["out"], F.array(F.struct(x["__b"].alias("b"), a["g"].alias("tail")))).alias("out"),
         )
 
-    folded = F.aggregate(F.reverse("bs"), init, fold)["out"]
-    ends = tails.select(*keys, F.explode(folded).alias("e")).select(*keys, F.col("e.b").alias("__b"), F.col("e.tail").alias("tail"))
+    folded = F.aggregate(F.reverse("__bs"), init, fold)["out"]
+    ends = tails.select(*keys, F.explode(folded).alias("__e")).select(*keys, F.col("__e.b").alias("__b"), F.col("__e.tail").alias("__tail"))
     joined = blocks.join(ends, [*keys, "__b"])
 
     def step_returns(b):
-        seed = F.struct(b["tail"].alias("g"), F.array().cast("array<struct<k:bigint,g:double>>").alias("out"))
+        seed = F.struct(b["__tail"].alias("g"), F.array().cast("array<struct<k:bigint,g:double>>").alias("out"))
         return F.aggregate(
-            F.reverse(b["p"]),
+            F.reverse(b["__p"]),
             seed,
             lambda a, x: F.struct(
                 (x["r"] + gamma * a["g"]).alias("g"),
@@ -180,8 +180,8 @@ def discounted_returns(steps: DataFrame, keys: Sequence[str], step: str, reward:
             ),
         )["out"]
 
-    returns = joined.select(*keys, F.explode(let(F.struct("p", "tail"), step_returns)).alias("e"))
-    return returns.select(*keys, F.col("e.k").alias(step), F.col("e.g").alias("return"))
+    returns = joined.select(*keys, F.explode(let(F.struct("__p", "__tail"), step_returns)).alias("__e"))
+    return returns.select(*keys, F.col("__e.k").alias(step), F.col("__e.g").alias("return"))
 
 
 def shaped_rewards(steps: DataFrame, keys: Sequence[str], step: str, reward: str, bonus: float = 1.0) -> DataFrame:

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ColumnOrName, col
+from ..functions.columns import ColumnOrName, col, let
 from ..functions.seeded import seeded_hash
-from ..functions.text import ngrams, normalize_text, words
-from ..session import cut_lineage
+from ..functions.text import words
+from ..session import cut_lineage, spread
 from .ordering import with_position
 from .sampling import top_per_group
 
@@ -32,18 +32,28 @@ MAX_PIVOTS = 1024
 # --- text ---------------------------------------------------------------------------------------
 
 
-def shingles(c: ColumnOrName, n: int = 3) -> Column:
-    """Distinct word n-grams of the normalised text; a text under n words is one shingle."""
-    tokens = words(normalize_text(c))
-    grams = F.array_distinct(ngrams(tokens, n))
-    whole = F.array_join(tokens, " ")
-    return F.when(F.size(grams) > 0, grams).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+def shingle_hashes(c: ColumnOrName, n: int = 3) -> Column:
+    """Distinct word n-grams of the normalised text as 64-bit hashes; a text under n words is one shingle."""
+
+    def grams(tokens):
+        count = F.size(tokens) - n + 1
+        hashes = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)])
+        )
+        whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
+        return F.when(count > 0, F.array_distinct(hashes)).when(F.size(tokens) > 0, whole)
+
+    return let(words(F.lower(col(c))), grams)
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """(set_key, key): the shingle-set fingerprint of every row that has shingles."""
-    sets = df.select(key, F.sort_array(shingles(text, n)).alias("grams")).filter(F.size("grams") > 0)
-    return sets.withColumn("set_key", F.md5(F.to_json("grams")))
+    """(key, grams, set_key): the shingle set of every row that has shingles, and its fingerprint.
+
+    Hashed sets are about the size of the text. They are read several times, so they are written out
+    once instead of cutting every text again.
+    """
+    sets = spread(df.select(key, text)).select(key, F.sort_array(shingle_hashes(text, n)).alias("grams"))
+    return cut_lineage(sets.withColumn("set_key", F.md5(F.to_json("grams")))).filter(F.col("grams").isNotNull())
 
 
 def distinct_sets(sets: DataFrame, key: str) -> DataFrame:
@@ -54,18 +64,17 @@ def distinct_sets(sets: DataFrame, key: str) -> DataFrame:
 def _prefixes(sets: DataFrame, name: str, frequency: DataFrame, threshold: float) -> DataFrame:
     """(name, gram): the rarest shingles of each set, enough of them for the threshold."""
     exploded = sets.select(name, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    ranked = exploded.join(frequency, "gram").groupBy(name).agg(
-        F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"), F.first("n").alias("n")
+    rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))
+    ranked = exploded.join(frequency, "gram", "left").groupBy(name).agg(
+        F.sort_array(F.collect_list(rarity)).alias("g"), F.first("n").alias("n")
     )
     # The small margin keeps a product like 0.8 * 5 from rounding up past its integer.
     length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     return ranked.select(name, F.explode(F.slice("g", F.lit(1), length.cast("int"))).alias("p")).select(name, F.col("p.gram").alias("gram"))
 
 
-def _frequency(*sets: DataFrame) -> DataFrame:
-    grams = [s.select(F.explode("grams").alias("gram")) for s in sets]
-    both = grams[0] if len(grams) == 1 else grams[0].unionByName(grams[1])
-    return both.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def _frequency(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _jaccard(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -74,8 +83,12 @@ def _jaccard(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_key, right_key, score) of distinct set pairs with Jaccard above the threshold."""
-    frequency = _frequency(left, right)
+    """(left_key, right_key, score) of distinct set pairs with Jaccard above the threshold.
+
+    Any one order of the shingles will do, so they are counted in the right table only: what it lacks
+    comes first on the left and joins nothing.
+    """
+    frequency = _frequency(right)
     a = _prefixes(left, "set_key", frequency, threshold).withColumnRenamed("set_key", "left_key")
     b = _prefixes(right, "set_key", frequency, threshold).withColumnRenamed("set_key", "right_key")
     candidates = a.join(b, "gram").select("left_key", "right_key").distinct()
@@ -143,7 +156,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.792
         lost = cut_lineage(scored.filter(_jaccard("grams", "leader_grams") > threshold).select("set_id").distinct())
         decided = winners.unionByName(lost)
         undecided = cut_lineage(undecided.join(decided, "set_id", "left_anti"))
-        removed = lost if removed is None else cut_lineage(removed.unionByName(lost))
+        removed = lost if removed is None else removed.unionByName(lost)
     ids = rows.join(sets.select("set_key", "set_id"), "set_key").select(key, "set_id")
     copies = ids.filter(F.col(key) != F.col("set_id")).select(key)
     if removed is None:

@@ -310,6 +310,27 @@ def _(spark, d):
     return finished(stateful.take_split(stream_of(spark, d, "events", EVENTS), "event_type", "event_id", 40, 5), spark, "take")
 
 
+@query("t2_shuffled_batches", "select event_id, event_type from events")
+def _(spark, d):
+    out = writers.scratch_path(spark, "shuffled")
+    events = stream_of(spark, d, "events", EVENTS).select("event_id", "event_type")
+    writer = stateful.shuffled_batches(events, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), ["event_id"])
+    writer.option("checkpointLocation", writers.scratch_path(spark, "shuffled-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "event_type")
+
+
+@query(
+    "t5_bounded_queue",
+    """with r as (select event_type, event_id, row_number() over (partition by event_type order by event_id desc) as k, count(*) over (partition by event_type) as n from events)
+       select event_type, string_agg(event_id::varchar, ',' order by event_id) as kept, max(n) as produced, greatest(max(n) - 25, 0) as dropped from r where k <= 25 group by 1""",
+)
+def _(spark, d):
+    # The table is one file, so it is one micro-batch and one report per key.
+    out = finished(stateful.bounded_queue(stream_of(spark, d, "events", EVENTS), "event_type", "event_id", 25), spark, "queue")
+    kept = F.array_join(F.transform("kept", lambda i: i.cast("string")), ",")
+    return out.select("event_type", kept.alias("kept"), "produced", "dropped")
+
+
 @query("t4_pack_stream")
 def _(spark, d):
     docs = stream_of(spark, d, "documents", "doc_id bigint, text string, lang string, source string, n_chars bigint")

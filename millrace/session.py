@@ -60,3 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` (eager); used where a plan would otherwise grow per iteration."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its scan has fewer partitions than that; larger inputs are left alone.
+
+    For work that is heavy per row, where a file of one row group would otherwise be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

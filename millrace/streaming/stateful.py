@@ -147,7 +147,7 @@ def bounded_queue(stream: DataFrame, key: str, order: str, capacity: int) -> Dat
         step,
         f"`{key}` {kinds[key]}, kept array<{kinds[order]}>, produced bigint, dropped bigint",
         f"items array<{kinds[order]}>, produced bigint, dropped bigint",
-        "update",
+        "append",
         GroupStateTimeout.NoTimeout,
     )
 

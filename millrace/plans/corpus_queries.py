@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators import blend, corpus, examples, packing
 from ..operators.ordering import row_total, with_position
+from ..session import cut_lineage, spread
 from . import sqltext as q
 from .registry import query, table
 
@@ -27,7 +28,10 @@ def tokens(spark, d):
 
 
 def ordered(spark, d):
-    return with_position(sized(spark, d), "doc_id", "pos", sums=["n_tokens"])
+    """Documents in order with running token counts. Lengths are read several times, so they are kept once."""
+    texts = spread(documents(spark, d, "text"))
+    lengths = texts.select("doc_id", F.size(words("text")).cast("bigint").alias("n_tokens"))
+    return with_position(cut_lineage(lengths), "doc_id", "pos", sums=["n_tokens"])
 
 
 SIZED = f"sized as (select doc_id, source, len({q.words('text')}) as n_tokens from documents)"

@@ -67,9 +67,20 @@ def test_blend_prefixes_keep_their_share(spark):
     assert {r["dataset"]: r["count"] for r in full.groupBy("dataset").count().collect()} == dict(zip("abcde", sizes))
 
 
-def test_blend_with_large_sizes_is_exact():
-    # The decimal path: units and items beyond 64-bit products.
-    assert (2 * 10**11 + 1) * 10**11 > 2**62
+def test_blend_places_of_large_sizes(spark):
+    # Products beyond 64 bits take the decimal path; compared with Python integers.
+    sizes = [10**11, 7 * 10**10 + 1, 3]
+    rows = [(i, k, sizes[i]) for i in range(3) for k in (0, 1, 2, sizes[i] // 2, sizes[i] - 1) if k < sizes[i]]
+    df = spark.createDataFrame(rows, "dataset_index int, item long, unit long")
+    place = blend._place(sizes, sizes, "decimal(38,0)")
+    for r in df.withColumn("p", place).collect():
+        i, k = r["dataset_index"], r["item"]
+        want = k
+        for j, u in enumerate(sizes):
+            if j != i:
+                bound = ((2 * k + 1) * u - (0 if j < i else 1)) // sizes[i]
+                want += min((bound + 1) // 2, u)
+        assert r["p"] == want
 
 
 def test_packs(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.seeded import seeded_long
-from .common import WORD
+from .common import WORD, stored
 
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
@@ -81,6 +81,7 @@ def mix(
     else:
         weights_of = quality.groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("quality"))
         base = base.join(weights_of, "doc_id", "left")
+    base = stored(base, "mix-sizes")  # the texts are read once
     good = F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1.0))
     unit = (seeded_long(seed, "mix", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) + F.lit(0.5)) / F.lit(
         float(2**48)

@@ -63,11 +63,13 @@ class Encoder:
 
     The byte-level vocabularies never merge across a space that a non-space follows, so a text is cut at
     such spaces and each distinct piece is encoded by the library once; a text with other runs of white space
-    around a space is encoded in one call. The memo is emptied when full: it bounds memory, not the result.
+    around a space is encoded in one call. The memo has two generations: when the young one is full it becomes
+    the old one, from which pieces in use come back. That bounds memory, not the result.
     """
 
-    MEMO_PIECES = 300_000
+    MEMO_PIECES = 600_000
     CALL_CHARS = 20_000
+    GROUP_CHARS = 1_000_000
     _odd = re.compile(r" (?=\s|$)")
 
     def __init__(self, path: str):
@@ -77,15 +79,16 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces together, each after a space, and cut the ids where a piece starts."""
-        group, size, calls = [], 0, []
+    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces encoded together, each after a space; the ids are cut where a piece starts."""
+        calls, group, size = [], [], 0
         for piece in pieces:
             group.append(piece)
             size += len(piece)
@@ -94,34 +97,54 @@ class Encoder:
                 group, size = [], 0
         if group:
             calls.append(group)
+        found: dict[str, bytes] = {}
         for group, raw in zip(calls, self._whole([" " + " ".join(g) for g in calls])):
-            ids = np.frombuffer(raw, dtype="<u4")
-            bounds = np.flatnonzero(self.starts[ids]) * 4
-            if len(bounds) != len(group):  # a vocabulary with other space rules
-                for piece, one in zip(group, self._whole([" " + p for p in group])):
-                    self.memo[piece] = one
-                continue
-            ends = np.append(bounds[1:], len(raw))
-            for piece, a, b in zip(group, bounds.tolist(), ends.tolist()):
-                self.memo[piece] = raw[a:b]
+            bounds = (np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
+            if len(bounds) == len(group):
+                found.update(zip(group, [raw[a:b] for a, b in zip(bounds, [*bounds[1:], len(raw)])]))
+            else:  # a vocabulary with other space rules
+                found.update(zip(group, self._whole([" " + p for p in group])))
+        return found
+
+    def _recall(self, pieces: list[str]) -> list[bytes]:
+        ids = list(map(self.young.get, pieces))
+        if None not in ids:
+            return ids
+        gaps = [i for i, v in enumerate(ids) if v is None]
+        wanted = {pieces[i] for i in gaps}
+        known = {p: self.old[p] for p in wanted if p in self.old}
+        known.update(self._learned([p for p in wanted if p not in known]))
+        if len(self.young) + len(known) > self.MEMO_PIECES:
+            self.old, self.young = self.young, {}
+        self.young.update(known)
+        for i in gaps:
+            ids[i] = known[pieces[i]]
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self._odd.search(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        plain = [i for i in range(len(texts)) if out[i] is None]
-        parts = [texts[i].split(" ") for i in plain]
-        for i, p, head in zip(plain, parts, self._whole([p[0] for p in parts])):
-            rest = p[1:]
-            new = set(rest).difference(self.memo)
-            if new:
-                if len(self.memo) + len(new) > self.MEMO_PIECES:
-                    self.memo.clear()
-                    new = set(rest)
-                self._learn(sorted(new))
-            out[i] = head + b"".join(map(self.memo.__getitem__, rest))
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > self.GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        plain = [not self._odd.search(t) for t in texts]
+        parts = [t.split(" ") if p else [t] for t, p in zip(texts, plain)]
+        heads = self._whole([p[0] for p in parts])
+        rest = [piece for p in parts for piece in p[1:]]
+        ids = self._recall(rest)
+        out, at = [], 0
+        for head, p in zip(heads, parts):
+            end = at + len(p) - 1
+            out.append(head + b"".join(ids[at:end]))
+            at = end
         return out
 
 

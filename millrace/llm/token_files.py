@@ -44,7 +44,7 @@ def encode_documents(docs: DataFrame, end_id: int = END_ID, vocabulary: str | No
 
 def write_tokens(tokens: DataFrame, path: str, stripe_bytes: int = 16 << 20, index_rows: int = 1000, fpp: float = 0.01) -> None:
     (
-        tokens.write.option("orc.compress", "ZSTD")
+        tokens.write.option("orc.compress", "SNAPPY")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", index_rows)
         .option("orc.create.index", "true")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,7 +62,7 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The byte-level vocabularies never merge across a space that a non-space follows, so a text is cut at
-    such spaces and each distinct piece is encoded by the library once; a text with other runs of white space
+    such spaces and each distinct piece is encoded by the library once; a text with runs of white space
     around a space is encoded in one call. The memo has two generations: when the young one is full it becomes
     the old one, from which pieces in use come back. That bounds memory, not the result.
     """
@@ -70,7 +70,6 @@ class Encoder:
     MEMO_PIECES = 600_000
     CALL_CHARS = 20_000
     GROUP_CHARS = 1_000_000
-    _odd = re.compile(r" (?=\s|$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,7 +83,7 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return [np.array(array("I", x.ids), dtype="<u4").tobytes() for x in found]
 
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces encoded together, each after a space; the ids are cut where a piece starts."""
@@ -106,45 +105,45 @@ class Encoder:
                 found.update(zip(group, self._whole([" " + p for p in group])))
         return found
 
-    def _recall(self, pieces: list[str]) -> list[bytes]:
-        ids = list(map(self.young.get, pieces))
-        if None not in ids:
-            return ids
-        gaps = [i for i, v in enumerate(ids) if v is None]
-        wanted = {pieces[i] for i in gaps}
-        known = {p: self.old[p] for p in wanted if p in self.old}
-        known.update(self._learned([p for p in wanted if p not in known]))
-        if len(self.young) + len(known) > self.MEMO_PIECES:
-            self.old, self.young = self.young, {}
-        self.young.update(known)
-        for i in gaps:
-            ids[i] = known[pieces[i]]
-        return ids
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
         out: list[bytes] = []
         group: list[str] = []
         size = 0
         for text in texts:
-            group.append(text)
-            size += len(text)
+            group.append(text or "")
+            size += len(group[-1])
             if size > self.GROUP_CHARS:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        plain = [not self._odd.search(t) for t in texts]
-        parts = [t.split(" ") if p else [t] for t, p in zip(texts, plain)]
-        heads = self._whole([p[0] for p in parts])
-        rest = [piece for p in parts for piece in p[1:]]
-        ids = self._recall(rest)
-        out, at = [], 0
-        for head, p in zip(heads, parts):
-            end = at + len(p) - 1
-            out.append(head + b"".join(ids[at:end]))
-            at = end
+        """Texts whose pieces are all known come from one join; the pieces that the others lack are learned together.
+
+        An entry 0 marks a piece that cannot stand alone (empty, or white space first): its text is encoded whole.
+        """
+        parts = [t.split(" ") for t in texts]
+        out: list[bytes | None] = self._whole([p.pop(0) for p in parts])
+        found = [list(map(self.young.get, p)) for p in parts]
+        open_texts = []
+        for i, ids in enumerate(found):
+            try:
+                out[i] += b"".join(ids)
+            except TypeError:  # a piece is not known, or cannot stand alone
+                open_texts.append(i)
+        wanted = {piece for i in open_texts for piece, v in zip(parts[i], found[i]) if v is None}
+        known: dict[str, bytes | int] = {p: self.old[p] for p in wanted if p in self.old}
+        known.update((p, 0) for p in wanted if not p or p[0].isspace())
+        known.update(self._learned([p for p in wanted if p not in known]))
+        for i in open_texts:
+            ids = [known[piece] if v is None else v for piece, v in zip(parts[i], found[i])]
+            try:
+                out[i] += b"".join(ids)
+            except TypeError:
+                out[i] = self._whole([texts[i]])[0]
+        if len(self.young) + len(known) > self.MEMO_PIECES:
+            self.old, self.young = self.young, {}
+        self.young.update(known)
         return out
 
 

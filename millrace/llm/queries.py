@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files, topk
+from . import mixing, near_duplicates, packing, token_files, topk
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op2_orc_tokens(spark, sf_dir):
     return token_files.token_report(token_files.read_tokens(spark, path))
 
 
+@query
+def op5_minhash_near_duplicates(spark, sf_dir):
+    groups = near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces_of(read_table(spark, sf_dir, "documents")))

@@ -6,10 +6,12 @@
    coordinates with probability 2e-7, so of a node's postings only the COORDINATES - MATCHES + 1 rarest are merged (prefix), and
    those no other node has are skipped.
 3. Inside a posting list, nodes are compared by a finer signature of FINE coordinates (agreement under FINE_MATCHES has
-   probability 6e-8 at similarity 0.75). First every node meets the list's hub, the one nearest to the
+   probability below 1e-7 at similarity 0.75). First every node meets the list's hub, the one nearest to the
    list's commonest values; found pairs are confirmed on the full sets and merged into components.
-4. Lists that still hold several components compare all pairs of different components, in blocks, and the pairs
-   above the threshold are confirmed too. Pairs within a component cannot change it and are never made.
+4. Lists that still hold several components compare all pairs of different components, in blocks, by the finer
+   signature; the members that have such a pair get their full sets and are compared exactly inside the task. A pair is looked
+   at in the first list that holds both, only links that join components leave a task, and pairs within a component,
+   which cannot change it, are never made.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words make one shingle; a
 null doc_id takes part, its component is named by the smallest id there is, or null; repeated rows are copies. An empty table
@@ -31,8 +33,8 @@ from .components import component_labels
 
 WORDS = 5
 COORDINATES, MATCHES = 48, 20
-FINE, FINE_MATCHES = 256, 154
-BLOCK = 2048
+FINE, FINE_MATCHES = 128, 68
+BLOCK = 1024
 PERCENT = 75
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MEMO = 400_000
@@ -103,16 +105,32 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(node, token, n): prefix postings that some other node has too; ``n`` is the whole list's length."""
-    tokens = nodes.select("node", F.explode("mins").alias("token"))
+    """(node, token, n, at, prefix): prefix postings that some other node has too.
+
+    ``n`` is the whole list's length, ``at`` the coordinate; ``prefix`` has 32 bits of each coordinate in the node's prefix.
+    """
+    tokens = nodes.select("node", F.posexplode("mins").alias("at", "token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = tokens.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    kept = tokens.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "at", "token"))).alias("own"))
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))  # those with a list of their own come first
-    return (
-        kept.filter(room > 0)
-        .select("node", F.explode(F.slice("own", F.lit(1), F.least(room, F.size("own")))).alias("post"))
-        .select("node", F.col("post.token").alias("token"), F.col("post.n").alias("n"))
-    )
+    prefix = kept.filter(room > 0).select("node", F.slice("own", F.lit(1), F.least(room, F.size("own"))).alias("own"))
+
+    def run(batch: pa.RecordBatch):
+        column = batch.column("own")
+        offsets = np.asarray(column.offsets)
+        posts = column.values
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        at, token = posts.field("at").to_numpy(), posts.field("token").to_numpy()
+        bits = np.zeros((batch.num_rows, COORDINATES), dtype="<u4")
+        bits[row, at] = (token.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4") | 1
+        bits = pa.array([b.tobytes() for b in bits], pa.binary())
+        where = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("node").take(where), posts.field("token"), posts.field("n"), posts.field("at"), bits.take(where)],
+            ["node", "token", "n", "at", "prefix"],
+        )
+
+    return prefix.mapInArrow(per_batch(run), "node binary, token long, n long, at int, prefix binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,7 +153,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _lists(keys: list[str], work):
-    """``work(arrays)`` for every run of equal ``keys`` in sorted partitions, whatever the batch borders."""
+    """``work(table, bounds)`` on the whole runs of equal ``keys`` of sorted partitions, whatever the batch borders."""
 
     def run(batches):
         held: pa.Table | None = None
@@ -149,69 +167,119 @@ def _lists(keys: list[str], work):
             for k in keys:
                 values = table[k].to_numpy()
                 change[1:] |= values[1:] != values[:-1]
-            starts = np.flatnonzero(change)
-            held = table.slice(int(starts[-1]))
-            yield from _emit(work, table.slice(0, int(starts[-1])), starts)
-        if held is not None:
-            yield from _emit(work, held, np.array([0, held.num_rows]))
+            starts = np.flatnonzero(change).tolist()
+            held = table.slice(starts[-1])
+            if starts[-1]:
+                yield from work(table.slice(0, starts[-1]), [(a, b) for a, b in zip(starts, starts[1:]) if b - a > 1])
+        if held is not None and held.num_rows > 1:
+            yield from work(held, [(0, held.num_rows)])
 
     return run
 
 
-def _emit(work, table: pa.Table, starts: np.ndarray):
-    if not table.num_rows:
-        return
-    nodes = np.array(table["node"].to_pylist(), dtype=object)
-    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), dtype=np.uint8).reshape(-1, FINE)
-    label = np.array(table["label"].to_pylist(), dtype=object) if "label" in table.column_names else None
-    side = table["side"].to_numpy() if "side" in table.column_names else None
-    pairs = []
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
-        if b - a > 1:
-            pairs += work(nodes[a:b], fine[a:b], None if label is None else label[a:b], None if side is None else side[a:b])
-    for at in range(0, len(pairs), 10_000):
-        part = pairs[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([min(p) for p in part], pa.binary()), pa.array([max(p) for p in part], pa.binary())], ["a", "b"]
-        )
+def _fine(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["fine"].to_pylist()), dtype=np.uint8).reshape(-1, FINE)
 
 
-def _hub_pairs(nodes, fine, label, side):
-    hub = 0
-    if len(nodes) > 2:
-        common = np.empty(FINE, dtype=np.uint8)
-        for j in range(FINE):
-            common[j] = np.bincount(fine[:, j], minlength=256).argmax()
-        hub = int((fine == common).sum(axis=1).argmax())
-    agree = (fine == fine[hub]).sum(axis=1)
-    return [(nodes[hub], nodes[i]) for i in np.flatnonzero(agree >= FINE_MATCHES).tolist() if nodes[i] != nodes[hub]]
+def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], ["a", "b"]
+    )
 
 
-def _cross_pairs(nodes, fine, label, side):
-    """Pairs of different components; with two ``side`` values only pairs across the two blocks."""
-    _, code = np.unique(label.astype("S16"), return_inverse=True)
-    two_blocks = side is not None and len(np.unique(side)) > 1
+def _hub_pairs(table: pa.Table, bounds):
+    """Every member of a list with its hub, where the finer signatures are near enough."""
+    nodes, fine = table["node"].to_pylist(), _fine(table)
     pairs = []
-    for i in range(len(nodes) - 1):
-        other = code[i + 1 :] != code[i]
-        if two_blocks:
-            other &= side[i + 1 :] != side[i]
-        rest = np.flatnonzero(other) + i + 1
-        if len(rest):
-            agree = np.count_nonzero(fine[rest] == fine[i], axis=1)
-            pairs += [(nodes[i], nodes[j]) for j in rest[agree >= FINE_MATCHES].tolist()]
-    return pairs
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    for start, end in bounds:
+        part, hub = fine[start:end], 0
+        if end - start > 2:
+            common = np.array([np.bincount(part[:, j], minlength=256).argmax() for j in range(FINE)], dtype=np.uint8)
+            hub = int((part == common).sum(axis=1).argmax())
+        agree = (part == part[hub]).sum(axis=1)
+        pairs += [(nodes[start + hub], nodes[start + i]) for i in np.flatnonzero(agree >= FINE_MATCHES).tolist() if i != hub]
+    if pairs:
+        yield _pairs_batch(pairs)
+
+
+def _sides(table: pa.Table, start: int, end: int) -> np.ndarray | None:
+    """Block numbers where a run holds two blocks: then only pairs across them are its own."""
+    side = table["side"].to_numpy()[start:end]
+    return side if side.min() != side.max() else None
+
+
+def _open_members(table: pa.Table, bounds):
+    """Members of a list that have a near enough member of another component, in the first list that both are in."""
+    fine, label = _fine(table), np.array(table["label"].to_pylist(), dtype="S16")
+    posts = np.frombuffer(b"".join(table["prefix"].to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    at = table["at"].to_numpy()
+    chosen = np.zeros(table.num_rows, dtype=bool)
+    for start, end in bounds:
+        side = _sides(table, start, end)
+        _, code = np.unique(label[start:end], return_inverse=True)
+        for i in range(end - start - 1):
+            other = code[i + 1 :] != code[i]
+            if side is not None:
+                other &= side[i + 1 :] != side[i]
+            rest = np.flatnonzero(other) + start + i + 1
+            rest = rest[np.count_nonzero(fine[rest] == fine[start + i], axis=1) >= FINE_MATCHES]
+            if len(rest):
+                mine = posts[start + i]
+                shared = (posts[rest] == mine) & (mine != 0)
+                rest = rest[shared.argmax(axis=1) == at[start]]
+                if len(rest):
+                    chosen[rest] = True
+                    chosen[start + i] = True
+    if chosen.any():
+        yield from table.select(["token", "low", "high", "side", "node", "label"]).filter(pa.array(chosen)).combine_chunks().to_batches()
+
+
+def _new_links(table: pa.Table, bounds):
+    """Confirmed links between components inside a list, as many as join them."""
+    nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
+    column = table["shingles"].combine_chunks()
+    offsets, values = np.asarray(column.offsets), column.values.to_numpy()
+    sizes = np.diff(offsets)
+    pairs = []
+    for start, end in bounds:
+        side = _sides(table, start, end)
+        root = {x: x for x in labels[start:end]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        base = offsets[start]
+        _, code = np.unique(values[base : offsets[end]], return_inverse=True)
+        held = np.zeros(int(code.max()) + 1, dtype=np.int64)
+        for i in range(start, end - 1):
+            own = code[offsets[i] - base : offsets[i + 1] - base]
+            held[own] = 1
+            both = np.add.reduceat(held[code[offsets[i + 1] - base :]], offsets[i + 1 : end] - offsets[i + 1])
+            held[own] = 0
+            near = 100 * both >= PERCENT * (sizes[i] + sizes[i + 1 : end] - both)
+            if side is not None:
+                near &= side[i + 1 - start :] != side[i - start]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                a, b = find(labels[i]), find(labels[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    pairs.append((nodes[i], nodes[j]))
+    if pairs:
+        yield _pairs_batch(pairs)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     near = pairs.distinct().join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")).cast("bigint"))
-    return near.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    return near.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, node, label, text_hash) of every row of ``docs`` (doc_id, text).
 
     ``label`` names the component by its smallest node; it is null for texts without words.
@@ -225,24 +293,27 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(_full_sets(docs, wanted).dropDuplicates(["node"]), "sets")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = posts.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(sets.select("node", "fine"), "node")
-    dealt = members.select("token", "block", "node", "fine").repartition("token", "block").sortWithinPartitions("token", "block", "node")
-    hubs = stored(dealt.mapInArrow(_lists(["token", "block"], _hub_pairs), "a binary, b binary"), "hub-pairs")
-    links = _confirmed(hubs, sets, percent)
-    links = stored(links, "links")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    members = posts.select("token", own.alias("block"), "node").join(sets.select("node", "fine"), "node")
+    dealt = members.repartition("token", "block").sortWithinPartitions("token", "block", "node")
+    hubs = dealt.mapInArrow(_lists(["token", "block"], _hub_pairs), "a binary, b binary")
+    links = stored(_confirmed(hubs, sets), "links")
     labels = component_labels(links)
 
     named = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    mixed = named.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     open_lists = named.join(mixed.select("token"), "token").join(sets.select("node", "fine"), "node")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     paired = open_lists.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meeting = ["token", "low", "high"]
     paired = paired.select(
-        "token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "label", "fine"
+        "token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "label", "at", "prefix", "fine"
+    )
+    dealt = paired.repartition(*meeting).sortWithinPartitions(*meeting, "node")
+    open_members = stored(
+        dealt.mapInArrow(_lists(meeting, _open_members), "token long, low int, high int, side int, node binary, label binary"), "open-members"
     )
-    dealt = paired.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
-    more = stored(dealt.mapInArrow(_lists(["token", "low", "high"], _cross_pairs), "a binary, b binary"), "cross-pairs")
-    more_links = stored(_confirmed(more, sets, percent), "links")
+    dealt = open_members.join(sets.select("node", "shingles"), "node").repartition(*meeting).sortWithinPartitions(*meeting, "node")
+    more_links = stored(dealt.mapInArrow(_lists(meeting, _new_links), "a binary, b binary"), "links")
     if more_links.head(1):
         labels = component_labels(links.unionByName(more_links))
 
@@ -258,9 +329,9 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id; texts without words all stay."""
-    groups = stored(near_duplicate_groups(docs, percent), "groups")
+    groups = stored(near_duplicate_groups(docs), "groups")
     named = groups.filter("kept and label is not null")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n"))
     keep = first.select(F.col("one.doc_id").alias("k_id"), F.col("one.text_hash").alias("k_hash"), "n").unionByName(

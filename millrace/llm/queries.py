@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, token_files, topk
+from . import mixing, near_duplicates, packing, secrets, token_files, topk, toxicity
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,12 +48,30 @@ def op2_orc_tokens(spark, sf_dir):
     return token_files.token_report(token_files.read_tokens(spark, path))
 
 
+@query
+def op4_layered_secrets(spark, sf_dir):
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("finds", lambda f: f["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.KINDS]
+    digest = F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.span_text(F.col("finds")).alias("spans"))
+
+
 @query
 def op5_minhash_near_duplicates(spark, sf_dir):
     groups = near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces_of(read_table(spark, sf_dir, "documents")))

@@ -69,7 +69,8 @@ def op5_minhash_near_duplicates(spark, sf_dir):
 
 @query
 def op6_toxicity(spark, sf_dir):
-    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 @query

@@ -124,7 +124,7 @@ def _features(text: str | None, codes: _Codes) -> list[float]:
 
 
 def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """(doc_id, one double column per feature) of every whole text."""
+    """(doc_id, text_hash, one double column per feature) of every whole text."""
     words = frozenset(lexicon)
 
     def run(batch: pa.RecordBatch):
@@ -132,11 +132,14 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
         rows = [_features(t, codes) for t in batch.column("text").to_pylist()]
         columns = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(columns[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES]
+            [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(columns[:, i]) for i in range(len(FEATURES))]],
+            ["doc_id", "text_hash", *FEATURES],
         )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(per_batch(run), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
+    )
+    return texts.mapInArrow(per_batch(run), "doc_id long, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def held_out(doc_id) -> F.Column:
@@ -174,11 +177,11 @@ def learned_words(docs: DataFrame, fit: DataFrame, limit: int = LEARNED_WORDS) -
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
     fit = stored(training_labels(labels, fit_rows), "fit-labels")
     lexicon = sorted({*LEXICON, *learned_words(docs, fit)})
     table = stored(features(docs, lexicon), "toxicity-features")
-    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table.join(fit, "doc_id")).select("doc_id", "label", *FEATURES), "fit-rows")
+    rows = stored(table.join(fit, "doc_id").select("doc_id", "label", *FEATURES), "fit-rows")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     parts = rows.withColumn("part", seeded_unit(5, "calibrate", "doc_id"))
     learn, adjust = parts.filter("part >= 0.25"), parts.filter("part < 0.25")
@@ -186,7 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: i
     flag = held_out("doc_id").alias("held_out")
     if any(k != {0.0, 1.0} for k in kinds):
         share = rows.agg(F.avg("label")).first()[0] or 0.0
-        scored = table.select("doc_id", flag, F.lit(float(share)).alias("score"))
+        scored = table.select("doc_id", "text_hash", flag, F.lit(float(share)).alias("score"))
     else:
         model = GBTClassifier(
             featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, seed=5
@@ -195,6 +198,13 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: i
         calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(
             model.transform(assemble.transform(adjust)).select(probability, "label")
         )
-        scored = calibration.transform(model.transform(assemble.transform(table)).select("doc_id", flag, probability))
-        scored = scored.select("doc_id", "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))
+        scored = calibration.transform(model.transform(assemble.transform(table)).select("doc_id", "text_hash", flag, probability))
+        scored = scored.select("doc_id", "text_hash", "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    bad = stored(score(docs, labels).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct(), "toxic")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("b_id")) & (F.xxhash64("text") == F.col("b_hash"))
+    return docs.join(bad, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, secrets, token_files, topk, toxicity
+from . import media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op2_orc_tokens(spark, sf_dir):
     return token_files.token_report(token_files.read_tokens(spark, path))
 
 
+@query
+def op3_page_wrappers(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    found = wrappers.extract(pages, wrappers.infer_wrappers(pages))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op4_layered_secrets(spark, sf_dir):
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -124,6 +131,27 @@ from p
 """
 
 
+@query
+def op9_quotation_links(spark, sf_dir):
+    return quotations.reply_ordered(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_media_sequences(spark, sf_dir):
+    """Each text is the media payload of a page of its own, which refers to it by digest."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    payload = media.padded(F.col("text"))
+    digest = F.sha2(payload, 256)
+    described = media.describe_media(media.store_media(docs.select(digest.alias("digest"), payload.alias("payload"))))
+    page = F.concat(F.lit(f'<figure><img src="{media.SCHEME}'), digest, F.lit('"><figcaption>text</figcaption></figure>'))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    pages = docs.select(F.struct("doc_id", size.alias("n_bytes")).alias("id"), page.alias("html"))
+    found = media.resolve(media.sequences(pages, "id"), described)
+    return found.select(
+        "id.doc_id", "id.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

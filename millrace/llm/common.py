@@ -53,9 +53,15 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     return run
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker (unpickled functions do not)."""
-    return sys.modules.setdefault("_millrace_worker", types.ModuleType("_millrace_worker")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary of ``owner`` that lives as long as the Python worker (unpickled functions do not).
+
+    A worker keeps one owner's: what another operator left there is given up first.
+    """
+    module = sys.modules.setdefault("_millrace_worker", types.ModuleType("_millrace_worker"))
+    if module.__dict__.get("owner") != owner:
+        module.__dict__.update(owner=owner, held={})
+    return module.__dict__["held"]
 
 
 class Encoder:
@@ -153,7 +159,7 @@ def encoder(path: str | None = None) -> Encoder:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    cache = worker_cache()
+    cache = worker_cache("encoder")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]

@@ -50,7 +50,7 @@ class _WordHashes(dict):
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of ``text`` (A-Z lower-cased)."""
-    memo = worker_cache().setdefault("word hashes", _WordHashes())
+    memo = worker_cache("shingles").setdefault("word hashes", _WordHashes())
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     hashes = np.fromiter(map(memo.__getitem__, parts), dtype=np.uint64, count=len(parts))
     if not len(hashes):
@@ -74,7 +74,7 @@ def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(values: np.ndarray, count: int, seed: int) -> np.ndarray:
     """MinHash minima of a non-empty set under ``count`` multiply-add functions."""
     key = ("minhash", count, seed)
-    cache = worker_cache()
+    cache = worker_cache("shingles")
     if key not in cache:
         cache[key] = _functions(count, seed)
     factor, shift = cache[key]

@@ -149,14 +149,15 @@ def _readable(raw: bytes) -> str | None:
 
 
 def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed body holds, through any number of compressed layers."""
+    """What a compressed body holds, through any number of compressed layers; other bytes as they are."""
     seen = 0
     while raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
         unpack = zlib.decompressobj(47)
         try:
-            raw = unpack.decompress(raw, MAX_UNPACKED)
-        except zlib.error:
-            return None
+            inner = unpack.decompress(raw, MAX_UNPACKED)
+        except zlib.error:  # only looks like a header
+            break
+        raw = inner
         seen += 1
         if unpack.unconsumed_tail or seen > 1000:
             return None

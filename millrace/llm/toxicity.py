@@ -128,7 +128,7 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     words = frozenset(lexicon)
 
     def run(batch: pa.RecordBatch):
-        codes = worker_cache().setdefault(("codes", words), _Codes(words))
+        codes = worker_cache("toxicity").setdefault(("codes", words), _Codes(words))
         rows = [_features(t, codes) for t in batch.column("text").to_pylist()]
         columns = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
         return pa.RecordBatch.from_arrays(

@@ -22,11 +22,12 @@ def stream_of(spark, d, name, schema):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def finished(stream, spark, name, mode="append"):
-    """Rows a stream wrote over all input there is."""
-    out = writers.scratch_path(spark, name)
-    stateful.run_available(stream, out, writers.scratch_path(spark, f"{name}-state"), mode)
-    return spark.read.schema(stream.schema).parquet(out)
+def finished(stream, spark, name, mode="append", still_open=None):
+    """Rows a stream wrote over all input there is, and those ``still_open`` reads from its checkpoint."""
+    out, checkpoint = writers.scratch_path(spark, name), writers.scratch_path(spark, f"{name}-state")
+    stateful.run_available(stream, out, checkpoint, mode)
+    done = spark.read.schema(stream.schema).parquet(out)
+    return done if still_open is None else done.unionByName(still_open(spark, checkpoint))
 
 
 DOC_ROWS = "select doc_id, lang, md5(text) as text from documents"
@@ -331,11 +332,20 @@ def _(spark, d):
     return out.select("event_type", kept.alias("kept"), "produced", "dropped")
 
 
-@query("t4_pack_stream")
+@query(
+    "t4_pack_stream",
+    f"select doc_id, len({q.words('text')})::bigint as n, 1 as packs, true as fits from documents",
+)
 def _(spark, d):
     docs = stream_of(spark, d, "documents", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     sized = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("lane"), "doc_id", F.size(words("text")).cast("bigint").alias("n"))
-    return finished(stateful.pack_stream(sized, "lane", "doc_id", "n", 8192), spark, "pack")
+    packed = finished(
+        stateful.pack_stream(sized, "lane", "doc_id", "n", 8192), spark, "pack",
+        still_open=lambda s, checkpoint: stateful.open_packs(s, checkpoint, "lane", "doc_id", "n"),
+    )
+    sums = packed.groupBy("lane", "pack").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    each = packed.join(sums, ["lane", "pack"]).withColumn("fits", (F.col("total") <= 8192) | (F.col("rows") == 1))
+    return each.groupBy("doc_id", "n").agg(F.count(F.lit(1)).cast("int").alias("packs"), F.every("fits").alias("fits"))
 
 
 @query(
@@ -358,13 +368,16 @@ def _(spark, d):
     "t10_session_stream",
     """
     with s as (select event_type, event_id, user_id, sum((user_id < 10)::int) over (partition by event_type order by event_id) as k from events),
-    f as (select *, dense_rank() over (partition by event_type order by k) - 1 as session, max(k) over (partition by event_type) as last from s)
-    select event_type, session, count(*) as n, min(event_id) as first_event from f where k < last group by 1, 2
+    f as (select *, dense_rank() over (partition by event_type order by k) - 1 as session from s)
+    select event_type, session, count(*) as n, min(event_id) as first_event from f group by 1, 2
     """,
 )
 def _(spark, d):
     events = stream_of(spark, d, "events", EVENTS).withColumn("opens", F.col("user_id") < 10)
-    done = finished(stateful.session_stream(events, "event_type", "event_id", "opens", "event_id"), spark, "sessions")
+    done = finished(
+        stateful.session_stream(events, "event_type", "event_id", "opens", "event_id"), spark, "sessions",
+        still_open=lambda s, checkpoint: stateful.open_sessions(s, checkpoint, "event_type"),
+    )
     return done.select("event_type", "session", F.size("turns").cast("bigint").alias("n"), F.col("turns")[0].alias("first_event"))
 
 

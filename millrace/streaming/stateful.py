@@ -1,15 +1,16 @@
 """Structured Streaming forms of the row streams: map, split, pack, queue, staleness, sessions, traces.
 
-State is kept per key and is of bounded size. Rows of one micro-batch are taken in the order of their
-sequence column; a key's rows are expected in order from batch to batch.
+Rows of one micro-batch are taken in the order of their sequence column, whatever the number of frames a key comes in;
+micro-batches are taken in the order they arrive.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,13 +70,15 @@ def take_split(stream: DataFrame, key: str, order: str, take: int, val: int) ->
 
     def step(name, frames: Iterator[pd.DataFrame], state: GroupState):
         seen = state.get[0] if state.exists else 0
+        first: pd.DataFrame | None = None  # of the whole batch; a key's rows come in several frames
         for pdf in frames:
-            if seen >= take:
-                continue
-            pdf = pdf.sort_values(order).head(take - seen)
-            places = range(seen, seen + len(pdf))
-            seen += len(pdf)
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], "split": ["val" if p < val else "train" for p in places]})
+            if seen < take:
+                first = pdf if first is None else pd.concat([first, pdf])
+                first = first.sort_values(order).head(take - seen)
+        if first is not None:
+            places = range(seen, seen + len(first))
+            seen += len(first)
+            yield pd.DataFrame({key: first[key], order: first[order], "split": ["val" if p < val else "train" for p in places]})
         state.update((seen,))
 
     return stream.select(key, order).groupBy(key).applyInPandasWithState(
@@ -86,8 +89,9 @@ def take_split(stream: DataFrame, key: str, order: str, take: int, val: int) ->
 def pack_stream(stream: DataFrame, lane: str, ident: str, length: str, capacity: int, interval: int = 128, idle: str | None = None):
     """(lane, pack, id, length): packs per lane, in rounds of ``interval`` rows; the last bin waits for more rows.
 
-    With ``idle`` (like "10 minutes") a lane that stays quiet that long sends on its open bin. Deal a stream over more lanes to
-    pack it on more tasks.
+    A row longer than the capacity has a pack of its own; a null length counts as 0. With ``idle`` (like "10 minutes") a
+    lane that stays quiet that long sends on its open bin; when a stream has ended, ``open_packs`` reads the open bins from its
+    checkpoint. Deal a stream over more lanes to pack it on more tasks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     wait, timeout = _idle_timeout(idle)
@@ -105,7 +109,13 @@ def pack_stream(stream: DataFrame, lane: str, ident: str, length: str, capacity:
             state.remove()
             return
         fresh = _ordered(frames, ident)
-        rows = [(i, int(n)) for i, n in zip(fresh[ident], fresh[length]) if n == n and 0 < n <= capacity]
+        rows = []
+        for i, n in zip(fresh[ident], fresh[length].fillna(0)):
+            if n > capacity:  # as in the batch form, a pack of its own
+                yield emit(name, [(i, int(n))], number)
+                number += 1
+            else:
+                rows.append((i, int(n)))
         for at in range(0, len(rows), interval):
             pool = waiting + rows[at : at + interval]
             bins = best_fit([n for _, n in pool], capacity)
@@ -127,19 +137,38 @@ def pack_stream(stream: DataFrame, lane: str, ident: str, length: str, capacity:
     )
 
 
+def _open_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, state) of a stateful stream that has ended, from its checkpoint."""
+    kept = spark.read.format("statestore").load(checkpoint)
+    return kept.select("key", F.col("value.groupState").alias("state")).filter("state is not null")
+
+
+def open_packs(spark: SparkSession, checkpoint: str, lane: str, ident: str, length: str) -> DataFrame:
+    """(lane, pack, id, length) of the bins still open when a ``pack_stream`` has read all its input."""
+    pairs = _open_state(spark, checkpoint).select(
+        F.col(f"key.{lane}").alias(lane), F.col("state.number").alias("pack"), F.explode(F.arrays_zip("state.ids", "state.lengths")).alias("p")
+    )
+    return pairs.select(lane, "pack", F.col("p.ids").alias(ident), F.col("p.lengths").alias(length))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """(key, session, turns) of the sessions still open when a ``session_stream`` has read all its input."""
+    kept = _open_state(spark, checkpoint).filter(F.size("state.turns") > 0)
+    return kept.select(F.col(f"key.{key}").alias(key), F.col("state.number").alias("session"), F.col("state.turns").alias("turns"))
+
+
 def bounded_queue(stream: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
     """(key, kept, produced, dropped) after each batch: a queue of the newest ``capacity`` items per key."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
 
     def step(names, frames: Iterator[pd.DataFrame], state: GroupState):
         items, produced, dropped = state.get if state.exists else ([], 0, 0)
-        items = list(items)
+        newest: list = []  # of the whole batch; a key's rows come in several frames
         for pdf in frames:
-            fresh = list(pdf[order].sort_values())
-            produced += len(fresh)
-            items += fresh
-            dropped += max(0, len(items) - capacity)
-            items = items[-capacity:]
+            produced += len(pdf)
+            newest = heapq.nlargest(capacity, newest + list(pdf[order]))
+        items = (list(items) + newest[::-1])[-capacity:]
+        dropped = produced - len(items)
         state.update((items, produced, dropped))
         yield pd.DataFrame({key: [names[0]], "kept": [items], "produced": [produced], "dropped": [dropped]})
 
@@ -197,11 +226,11 @@ def generated_rows_writer(stream: DataFrame, generate: Callable[[DataFrame], Dat
     return stream.writeStream.foreachBatch(each)
 
 
-def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: str, idle: str | None = None, max_open: int = 100_000):
+def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: str, idle: str | None = None):
     """(key, session, turns) of each finished session; a row with ``marker`` true opens the next one.
 
-    The open session waits in state until a marker row, or the ``idle`` time where one is given. A session of more than
-    ``max_open`` turns is sent on in parts under the same number.
+    The open session waits in state until a marker row, or the ``idle`` time where one is given; when a stream has ended,
+    ``open_sessions`` reads it from the checkpoint. A session is one row, so it must fit in one.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     wait, timeout = _idle_timeout(idle)
@@ -222,9 +251,6 @@ def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: s
             if opens and turns:
                 yield emit(names[0], number, turns)
                 turns, number = [], number + 1
-            elif len(turns) >= max_open:
-                yield emit(names[0], number, turns)
-                turns = []
             turns.append(text)
         state.update((turns, number))
         if wait:

@@ -29,3 +29,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double division that yields null, not an error, for an empty denominator."""
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
+
+
+def counted(n: int) -> Column:
+    """The array 0 .. n - 1, empty for n = 0."""
+    return F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.array().cast("array<int>")

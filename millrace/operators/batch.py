@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import counted
+
 from .ordering import row_total
 
 
@@ -79,7 +81,7 @@ def reorder(df: DataFrame, order: DataFrame) -> DataFrame:
 
 def repeat(df: DataFrame, n: int, interleaved: bool = True) -> DataFrame:
     """Each row n times: copies adjacent (a a b b), or the batch tiled (a b a b)."""
-    copies = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    copies = df.withColumn("__copy", F.explode(counted(n)))
     if interleaved:
         place = F.col("pos") * n + F.col("__copy")
     else:
@@ -129,8 +131,9 @@ def unfold(df: DataFrame) -> DataFrame:
 
 
 def unfold_column(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Split an array column into n equal chunks, one output row per chunk."""
-    per = (F.size(column) / n).cast("int")
+    """Split an array column into n equal chunks, one output row per chunk; a length that n does not divide is an error."""
+    size = F.size(column)
+    per = F.when(size % n == 0, size / n).otherwise(F.raise_error(F.concat(F.lit(f"{n} chunks do not divide a length of "), size))).cast("int")
     return df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         column, F.slice(F.col(column), F.col("chunk") * per + 1, per)
     )
@@ -153,6 +156,6 @@ def mini_batches(df: DataFrame, size: int, epochs: int, seed: int = 42) -> DataF
     """(epoch, batch) of every row, shuffled per epoch; each batch is full or the last of its epoch."""
     from .ordering import with_shuffled_position
 
-    spread = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    spread = df.withColumn("epoch", F.explode(counted(epochs)))
     placed = with_shuffled_position(spread, seed, "mini", "epoch", "pos", position="__at", within=["epoch"])
     return placed.withColumn("batch", F.floor(F.col("__at") / size).cast("bigint")).withColumnRenamed("__at", "at")

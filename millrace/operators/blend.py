@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WEIGHT_SCALE = 1_000_000
 BLOCK_ITEMS = 1 << 16
 
 
@@ -39,6 +39,20 @@ def normalise_weights(weights: Sequence[float]) -> list[float]:
     return [w / total for w in weights]
 
 
+def integer_weights(weights: Sequence[float]) -> list[int]:
+    """The smallest whole numbers in the exact proportion of the given decimals."""
+    exact = [Fraction(str(w)) for w in weights]
+    if sum(exact) <= 0 or min(exact) < 0:
+        raise ValueError("weights must not be negative, and have a positive sum")
+    scale = math.lcm(*[w.denominator for w in exact])
+    units = [int(w * scale) for w in exact]
+    common = math.gcd(*units)
+    units = [u // common for u in units]
+    if max(units) >= 2**63:
+        raise ValueError("the weights need more digits than 64-bit numbers hold")
+    return units
+
+
 def dataset_sizes(weights: Sequence[float], target: int, surplus: float = 0.0) -> list[int]:
     """Samples to build per dataset for a blend of ``target`` samples."""
     return [math.ceil(math.ceil(target * w) * (1 + surplus)) for w in normalise_weights(weights)]
@@ -78,7 +92,7 @@ def weighted_blend(spark: SparkSession, names: Sequence[str], weights: Sequence[
 
     ``item`` counts a dataset's turns; take it modulo the dataset size to read rows.
     """
-    units = [round(w * WEIGHT_SCALE) for w in normalise_weights(weights)]
+    units = integer_weights(weights)
     total = sum(units)
     # A prefix of ``size`` places holds fewer than share + 2 items of a dataset.
     counts = [0 if u == 0 else size * u // total + 3 for u in units]

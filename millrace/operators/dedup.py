@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnOrName, col
+from ..functions.columns import ColumnOrName, col, counted
 from .sampling import top_per_group
 
 
@@ -35,4 +35,4 @@ def common_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
 def epochs_union(df: DataFrame, epochs: int) -> DataFrame:
     """The table once per epoch, with an ``epoch`` column."""
-    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return df.withColumn("epoch", F.explode(counted(epochs)))

@@ -204,8 +204,10 @@ def span_corruption(
             starts = list(range(len(values)))
             rng.shuffle(starts)
             for at in starts:
-                if budget <= 0 or len(spans) == len(sentinels):
+                if budget <= 0:
                     break
+                if len(spans) == len(sentinels):
+                    raise ValueError(f"a row of {len(values)} tokens needs more than {len(sentinels)} sentinels")
                 n = min(budget, max(1, min(2 * mean_span - 1, rng.randint(1, 2 * mean_span - 1))))
                 # Spans keep a token between them, so each has a sentinel of its own.
                 around = set(range(max(0, at - 1), min(len(values), at + n + 1)))

@@ -83,16 +83,22 @@ def sample_negatives(df: DataFrame, key: str, positives: str, n: int, seed: int
     pool = df.select(F.explode(positives).alias("response")).distinct()
     placed = with_shuffled_position(pool, seed, "pool", "response", position="__at")
     total = row_total(pool)
+    own = F.coalesce(F.col(positives), F.array().cast(df.schema[positives].dataType)).alias(positives)
+    df = df.select(key, own)
     need = F.least(F.lit(n).cast("bigint") + F.size(positives), total)
     reads = df.select(key, positives, F.pmod(seeded_long(seed, "negatives", key), total).alias("__start"), need.alias("__need"))
-    reads = reads.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__need") - 1)))
+    reads = reads.filter("__need > 0").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__need") - 1)))
     found = reads.withColumn("__at", F.pmod(F.col("__start") + F.col("__k"), total)).join(placed, "__at")
     others = found.filter(~F.array_contains(positives, F.col("response")))
     # At most n + own responses rows per key reach this window.
     kept = others.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__k"))).filter(F.col("__r") <= n)
-    return kept.groupBy(key).agg(
+    chosen = kept.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("__r", "response"))), lambda p: p["response"]).alias("negatives")
     )
+    # A row for which nothing is left keeps an empty array.
+    return df.select(key).join(chosen, key, "left").withColumn(
+        "negatives", F.coalesce("negatives", F.array().cast(chosen.schema["negatives"].dataType))
+    )
 
 
 def with_existing_media(df: DataFrame, listing: DataFrame, path: str) -> DataFrame:

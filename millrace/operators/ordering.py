@@ -9,6 +9,7 @@ sampling, no driver step and no partition ids, and is unchanged by task retries.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ _COARSE_BITS = 40
 _HASH_DIGITS = 4
 
 
+def _same(names: Sequence[str], prefix: str) -> Column:
+    """Equality of columns with their prefixed copies, nulls equal."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in names])
+
+
 def running_totals(
     df: DataFrame,
     levels: Sequence[str],
@@ -58,21 +64,24 @@ def running_totals(
             *keys, *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"__off{m}") for m in measures]
         )
         if offsets is not None:
-            parent = offsets.select(*parents, *[F.col(f"__off{m}").alias(f"__up{m}") for m in measures])
-            grouped = grouped.join(parent, parents).select(
+            parent = offsets.select(
+                *[F.col(c).alias(f"__p{c}") for c in parents], *[F.col(f"__off{m}").alias(f"__up{m}") for m in measures]
+            )
+            grouped = grouped.join(parent, _same(parents, "__p")).select(
                 *keys, *[(F.col(f"__off{m}") + F.col(f"__up{m}")).alias(f"__off{m}") for m in measures]
             )
         offsets = grouped
 
     inside = Window.partitionBy(*levels).orderBy(*[col(o) for o in order])
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(offsets, levels).withColumn(
+    named = offsets.select(*[F.col(c).alias(f"__p{c}") for c in levels], *[f"__off{m}" for m in measures])
+    out = df.join(named, _same(levels, "__p")).withColumn(
         position, F.row_number().over(inside).cast("bigint") - 1 + F.col("__off__n")
     )
     for c in sums:
         local = F.coalesce(F.sum(c).over(before), F.lit(0))
         out = out.withColumn(f"{c}_before", local + F.col(f"__off__s_{c}"))
-    return out.drop(*[f"__off{m}" for m in measures])
+    return out.drop(*[f"__off{m}" for m in measures], *[f"__p{c}" for c in levels])
 
 
 def with_position(

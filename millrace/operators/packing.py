@@ -45,20 +45,26 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
 
 
 def largest_first(lengths: list[int], capacity: int) -> list[int]:
-    """Bin number of each item: fill one bin at a time with the largest item that fits."""
-    order = sorted(range(len(lengths)), key=lambda k: lengths[k])
-    sizes = [lengths[k] for k in order]
-    if sizes and sizes[-1] > capacity:
-        raise ValueError(f"item of length {sizes[-1]} is over the bin length {capacity}")
-    bins = [0] * len(lengths)
-    number, free = 0, capacity
-    while order:
-        at = bisect.bisect_right(sizes, free) - 1
-        if at < 0:
-            number, free = number + 1, capacity
-            continue
-        free -= sizes.pop(at)
-        bins[order.pop(at)] = number
+    """Bin number of each item: fill one bin at a time with the largest item that fits.
+
+    Items wait in one pile per length; going down the lengths once fills a bin, since free space only shrinks.
+    """
+    piles: dict[int, list[int]] = {}
+    for item, length in enumerate(lengths):
+        piles.setdefault(length, []).append(item)
+    if max(piles, default=0) > capacity:
+        raise ValueError(f"item of length {max(piles)} is over the bin length {capacity}")
+    bins, number = [0] * len(lengths), 0
+    while piles:
+        free = capacity
+        for length in sorted(piles, reverse=True):
+            fits = len(piles[length]) if length <= 0 else min(len(piles[length]), free // length)
+            for _ in range(fits):
+                bins[piles[length].pop()] = number
+            free -= fits * length
+            if not piles[length]:
+                del piles[length]
+        number += 1
     return bins
 
 
@@ -71,7 +77,8 @@ def _packed(groups: DataFrame, key: str, length: str, capacity: int, rule) -> Da
         out = pdf[[key, "__group", length]].copy()
         out["__bin"] = bins
         # Only the bin opened last can be far from full.
-        out["__open"] = [b == max(bins) for b in bins]
+        last = max(bins)
+        out["__open"] = [b == last for b in bins]
         return out
 
     schema = f"`{key}` {kind}, __group bigint, `{length}` bigint, __bin bigint, __open boolean"

@@ -150,15 +150,13 @@ def _(spark, d):
 
 
 WEIGHTS = {f"src{i}": float(i + 1) for i in range(20)}
-_UNITS = [round(w * blend.WEIGHT_SCALE) for w in blend.normalise_weights(list(WEIGHTS.values()))]
-_UNIT_ROWS = ", ".join(f"('{n}', {i}, {u})" for i, (n, u) in enumerate(zip(WEIGHTS, _UNITS)))
 
 
 @query(
     "c10_weighted_blend",
-    f"""
-    with u(dataset, i, w) as (values {_UNIT_ROWS}), n as (select 3 * count(*) as n from documents),
-    g as (select dataset, i, w, unnest(range(n * w // {sum(_UNITS)} + 3)) as item from u, n),
+    """
+    with u as (select 'src' || i as dataset, i, i + 1 as w from range(20) t(i)), n as (select 3 * count(*) as n from documents),
+    g as (select dataset, i, w, unnest(range(n * w // 210 + 3)) as item from u, n),
     p as (select dataset, i::int as dataset_index, item, row_number() over (order by (2 * item + 1) / w::double, i) - 1 as pos from g)
     select * from p where pos < (select n from n)
     """,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import blend, corpus, examples, metrics, ordering, packing, sampling, similarity
+from millrace.operators import batch, blend, corpus, dedup, examples, joins, metrics, ordering, packing, sampling, similarity
 
 
 @pytest.mark.parametrize("within", [(), ("g",)])
@@ -232,3 +232,29 @@ def test_bootstrap_majority_is_repeatable(spark):
     a = metrics.bootstrap_majority(df, ["g"], "vote", "v", "i", 3, 200).first()
     assert a == metrics.bootstrap_majority(df.repartition(5), ["g"], "vote", "v", "i", 3, 200).first()
     assert abs(a["mean"] - 0.5) < 4 * 0.5 / math.sqrt(200)
+
+
+def test_exact_blend_weights(spark):
+    assert blend.integer_weights([0.1234564, 0.8765436]) == [308641, 2191359]
+    assert blend.integer_weights([30, 70]) == [3, 7] and blend.integer_weights([1.0, 1e-8]) == [100_000_000, 1]
+    with pytest.raises(ValueError):
+        blend.integer_weights([0.0, 0.0])
+    units = blend.integer_weights([0.99999999, 0.00000001])
+    assert units == [99_999_999, 1]
+    for prefix in (10**9, 10**10):  # the place of an item a share of the way in is within two of that prefix
+        turn = prefix // sum(units)
+        row = spark.range(1).select(F.lit(turn).cast("bigint").alias("item"), F.lit(1).alias("dataset_index"), F.lit(1).cast("bigint").alias("unit"))
+        place = row.select(blend._place(units, None, "decimal(38,0)").cast("bigint").alias("p")).first()["p"]
+        assert abs((turn + 0.5) / units[1] * units[0] - (place - turn)) <= 2
+
+
+def test_nothing_is_lost_to_nulls_and_zero(spark):
+    rows = spark.createDataFrame([(None, "a"), (3, None), (1, "b"), (2, None)], "k bigint, g string")
+    assert sorted(r["pos"] for r in ordering.with_position(rows, "k").collect()) == [0, 1, 2, 3]
+    assert ordering.with_position(rows, "k", within=["g"]).count() == 4
+    assert batch.repeat(rows.withColumn("pos", F.lit(0)), 0).count() == 0 and dedup.epochs_union(rows, 0).count() == 0
+    with pytest.raises(Exception, match="do not divide"):
+        batch.unfold_column(spark.createDataFrame([([1, 2, 3, 4, 5],)], "a array<int>"), "a", 2).collect()
+    own = spark.createDataFrame([(1, ["x"]), (2, None)], "k int, p array<string>")
+    got = {r["k"]: r["negatives"] for r in joins.sample_negatives(own, "k", "p", 3).collect()}
+    assert got == {1: [], 2: ["x"]}

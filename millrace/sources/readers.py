@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -44,6 +45,11 @@ def load_splits(spark: SparkSession, folder: str, splits: Sequence[str], extensi
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+_REFERENCE = re.compile(
+    r"(?:(?P<source>[^:/#]+)::)?(?P<rest>(?P<name>(?:[A-Za-z][\w+.-]*://)?[^:#]+)(?::(?P<subsets>[^:#]+))?(?:#(?P<n>\d+))?)"
+)
+
+
 @dataclass(frozen=True)
 class DatasetReference:
     """``source::name:subset1/subset2#n``; every part but the name is optional."""
@@ -55,18 +61,18 @@ class DatasetReference:
 
     @classmethod
     def parse(cls, text: str, exists=os.path.exists) -> DatasetReference:
-        """An existing path is a name as a whole, also when it holds the separators."""
-        source, n, subsets = None, None, ()
-        if not exists(text) and "::" in text:
-            source, text = text.split("::", 1)
-            source = source.lower()
-        if not exists(text) and "#" in text:
-            text, count = text.rsplit("#", 1)
-            n = int(count)
-        if not exists(text) and ":" in text:
-            text, listed = text.split(":", 1)
-            subsets = tuple(s.strip() for s in listed.split("/"))
-        return cls(text.strip(), subsets, n, source)
+        """By one grammar; a URI keeps its scheme, and an existing path is a name whatever it holds."""
+        found = _REFERENCE.fullmatch(text)
+        if exists(text) or found is None:
+            return cls(text.strip())
+        if exists(found["rest"]):
+            return cls(found["rest"].strip(), (), None, found["source"] and found["source"].lower())
+        return cls(
+            found["name"].strip(),
+            tuple(s.strip() for s in found["subsets"].split("/")) if found["subsets"] else (),
+            int(found["n"]) if found["n"] else None,
+            found["source"] and found["source"].lower(),
+        )
 
 
 @dataclass(frozen=True)
@@ -77,16 +83,14 @@ class Subset:
 
 def select_subsets(wanted: Sequence[str], available: Sequence[Subset]) -> list[str]:
     """Subset names to read: the listed ones, ``default`` or the only one; ``all`` leaves weak ones out."""
-    names = [s.name for s in available]
-    if not wanted:
-        if len(names) <= 1:
-            return names
-        if "default" in names:
-            return ["default"]
-        raise ValueError(f"name a subset, one of {names}")
-    if list(wanted) == ["all"] and "all" not in names:
-        return [s.name for s in available if not s.weak]
-    return list(wanted)
+    held = {s.name: s for s in available}
+    meanings = {(): [n for n in held if n == "default" or len(held) == 1]}
+    if "all" not in held:
+        meanings["all",] = [s.name for s in available if not s.weak]
+    chosen = meanings.get(tuple(wanted), list(wanted))
+    if held and not wanted and not chosen:
+        raise ValueError(f"name a subset, one of {list(held)}")
+    return chosen
 
 
 def filter_subsets(df: DataFrame, wanted: Sequence[str], available: Sequence[Subset], column: str = "subset") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, configure
@@ -75,9 +77,10 @@ class Encoder:
 
     MEMO_PIECES = 600_000
     CALL_CHARS = 20_000
-    GROUP_CHARS = 1_000_000
+    GROUP_BYTES = 4_000_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -89,7 +92,7 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(array("I", x.ids), dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces encoded together, each after a space; the ids are cut where a piece starts."""
@@ -111,46 +114,59 @@ class Encoder:
                 found.update(zip(group, self._whole([" " + p for p in group])))
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size > self.GROUP_CHARS:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        """Texts whose pieces are all known come from one join; the pieces that the others lack are learned together.
-
-        An entry 0 marks a piece that cannot stand alone (empty, or white space first): its text is encoded whole.
-        """
-        parts = [t.split(" ") for t in texts]
-        out: list[bytes | None] = self._whole([p.pop(0) for p in parts])
-        found = [list(map(self.young.get, p)) for p in parts]
-        open_texts = []
-        for i, ids in enumerate(found):
-            try:
-                out[i] += b"".join(ids)
-            except TypeError:  # a piece is not known, or cannot stand alone
-                open_texts.append(i)
-        wanted = {piece for i in open_texts for piece, v in zip(parts[i], found[i]) if v is None}
+    def _entries(self, pieces: list[str]) -> list[bytes | int]:
+        """The memo's entry for each distinct piece; 0 marks one that cannot stand alone (empty, or white space first)."""
+        found = list(map(self.young.get, pieces))
+        wanted = [p for p, v in zip(pieces, found) if v is None]
         known: dict[str, bytes | int] = {p: self.old[p] for p in wanted if p in self.old}
         known.update((p, 0) for p in wanted if not p or p[0].isspace())
         known.update(self._learned([p for p in wanted if p not in known]))
-        for i in open_texts:
-            ids = [known[piece] if v is None else v for piece, v in zip(parts[i], found[i])]
-            try:
-                out[i] += b"".join(ids)
-            except TypeError:
-                out[i] = self._whole([texts[i]])[0]
         if len(self.young) + len(known) > self.MEMO_PIECES:
             self.old, self.young = self.young, {}
         self.young.update(known)
-        return out
+        return [known[p] if v is None else v for p, v in zip(pieces, found)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of text i, with ``end_id`` behind them, are ids[offsets[i] : offsets[i + 1]]."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        groups = np.unique(sizes // self.GROUP_BYTES, return_index=True)[1].tolist() if len(texts) else []
+        counts, ids = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype="<u4")]
+        for start, end in zip(groups, [*groups[1:], len(texts)]):
+            n, found = self._group(texts.slice(start, end - start), end_id)
+            counts.append(n)
+            ids.append(found)
+        return np.cumsum(np.concatenate(counts)), np.concatenate(ids)
+
+    def _group(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per text and all ids. Pieces are numbered by Arrow; texts are put together from the distinct ones' ids."""
+        parts = pc.split_pattern(texts, " ")
+        first = np.asarray(parts.offsets, dtype=np.int64)[:-1]
+        first -= first[0]
+        coded = parts.flatten().dictionary_encode()
+        piece = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        heads = [names[i] for i in piece[first].tolist()]
+        entries = self._entries(names)
+        odd = np.fromiter((e == 0 for e in entries), dtype=bool, count=len(entries)) if 0 in entries else None
+        piece[first] = len(names) + np.arange(len(first))
+        if odd is not None:  # such a text is encoded whole, in place of its head
+            rest = np.append(odd, np.zeros(len(first), dtype=bool))[piece]
+            whole = np.flatnonzero(np.logical_or.reduceat(rest, first))
+            for i in whole.tolist():
+                heads[i] = texts[i].as_py()
+                end = first[i + 1] if i + 1 < len(first) else len(piece)
+                piece[first[i] + 1 : end] = len(names) + len(first)
+            entries = [e or b"" for e in entries]
+        entries += [*self._whole(heads), b""]
+        sizes = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        held = np.frombuffer(b"".join(entries), dtype="<u4")
+        at = np.cumsum(sizes) - sizes
+        lengths = sizes[piece]
+        ends = np.cumsum(lengths)
+        ids = held[np.repeat(at[piece] - ends + lengths, lengths) + np.arange(ends[-1])]
+        counts = np.add.reduceat(lengths, first)
+        return counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id))
 
 
 def encoder(path: str | None = None) -> Encoder:
@@ -163,11 +179,3 @@ def encoder(path: str | None = None) -> Encoder:
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]
-
-
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    """An Arrow list<int32> column over concatenated id bytes."""
-    lengths = np.fromiter((len(e) // 4 for e in encoded), dtype=np.int64, count=len(encoded))
-    offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))

@@ -34,17 +34,17 @@ END_ID = 0
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, ids followed by the end id."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch):
         rows = []
-        encoded = encoder(vocabulary).encode(batch.column("text").to_pylist())
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
-            ids += end
-            n = len(ids) // 4
+        offsets, ids = encoder(vocabulary).encode(batch.column("text"), end_id)
+        view, bounds = memoryview(ids).cast("B"), offsets.tolist()
+        for doc_id, start, stop in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:]):
+            n = stop - start
             cuts = [0, *range(n % capacity or capacity, n, capacity), n]
-            view = memoryview(ids)
-            rows += [(doc_id, i, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            rows += [
+                (doc_id, i, a, b - a, zlib.crc32(view[4 * (start + a) : 4 * (start + b)])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
+            ]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import encoder, id_lists, per_batch, stored
+from .common import encoder, per_batch, stored
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, place long, tokens array<int>"
@@ -31,13 +31,11 @@ def encode_documents(docs: DataFrame, end_id: int = END_ID, vocabulary: str | No
         .sortWithinPartitions("doc_id", "text")
         .select("doc_id", F.monotonically_increasing_id().alias("place"), "text")
     )
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch):
-        encoded = [e + end for e in encoder(vocabulary).encode(batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("place"), id_lists(encoded)], ["doc_id", "place", "tokens"]
-        )
+        offsets, ids = encoder(vocabulary).encode(batch.column("text"), end_id)
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), lists], ["doc_id", "place", "tokens"])
 
     return ordered.mapInArrow(per_batch(run), FILE_SCHEMA)
 

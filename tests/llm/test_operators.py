@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,9 @@ def test_encoder_is_the_library(tokenizer):
     ours.MEMO_PIECES = 50
     texts = [*TEXTS, "a ", " a", "a \n b", "don't  'll   x", "\n\n x\ty", " \x1c b", "   "]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [ids_of(tokenizer, t) for t in texts]
+        offsets, ids = ours.encode(pa.array(texts, pa.string()), 7)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*ids_of(tokenizer, t), 7] for t in texts]
+    assert [len(x) for x in ours.encode(pa.array([], pa.string()), 7)] == [1, 0]
 
 
 def test_top_k_awkward(spark):

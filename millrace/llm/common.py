@@ -55,6 +55,25 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     return run
 
 
+def joined_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], size: int):
+    """``per_batch`` over neighbouring batches put together until they hold ``size`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= size:
+                out = fn(pa.concat_batches(held))
+                held = []
+                if out is not None:
+                    yield out
+        out = fn(pa.concat_batches(held)) if held else None
+        if out is not None:
+            yield out
+
+    return run
+
+
 def worker_cache(owner: str) -> dict:
     """A dictionary of ``owner`` that lives as long as the Python worker (unpickled functions do not).
 
@@ -75,9 +94,9 @@ class Encoder:
     the old one, from which pieces in use come back. That bounds memory, not the result.
     """
 
-    MEMO_PIECES = 600_000
+    MEMO_PIECES = 450_000
     CALL_CHARS = 20_000
-    GROUP_BYTES = 4_000_000
+    GROUP_BYTES = 8_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import encoder, per_batch, stored
+from .common import Encoder, encoder, joined_batches, per_batch, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -51,7 +51,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
         ) if rows else None
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(per_batch(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(joined_batches(run, Encoder.GROUP_BYTES), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Run:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import encoder, per_batch, stored
+from .common import Encoder, encoder, joined_batches, per_batch, stored
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, place long, tokens array<int>"
@@ -37,7 +37,7 @@ def encode_documents(docs: DataFrame, end_id: int = END_ID, vocabulary: str | No
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), lists], ["doc_id", "place", "tokens"])
 
-    return ordered.mapInArrow(per_batch(run), FILE_SCHEMA)
+    return ordered.mapInArrow(joined_batches(run, Encoder.GROUP_BYTES), FILE_SCHEMA)
 
 
 def write_tokens(tokens: DataFrame, path: str, stripe_bytes: int = 16 << 20, index_rows: int = 1000, fpp: float = 0.01) -> None:

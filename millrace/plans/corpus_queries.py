@@ -290,14 +290,25 @@ def _(spark, d):
     return corpus.chunk_partitions(chunks, "doc_id", "source", n_train, F.lit(0.25)).select("doc_id", "chunk", "part", "sampled")
 
 
-@query("c24_pack_rows")
+def pack_facts(packed, capacity):
+    """Per document: the packs it is in, and whether its pack is within the capacity (or an over-long row alone)."""
+    sums = packed.groupBy("pack").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("rows"))
+    fits = (F.col("total") <= capacity) | (F.col("rows") == 1)
+    each = packed.join(sums, "pack").withColumn("fits", fits)
+    return each.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("packs"), F.every("fits").alias("fits"))
+
+
+PACK_FACTS = f"select doc_id, len({q.words('text')})::bigint as n_tokens, 1 as packs, true as fits from documents"
+
+
+@query("c24_pack_rows", PACK_FACTS)
 def _(spark, d):
-    return packing.pack_rows(sized(spark, d), "doc_id", "n_tokens", 8192)
+    return pack_facts(packing.pack_rows(sized(spark, d), "doc_id", "n_tokens", 8192), 8192)
 
 
-@query("c25_knapsack_rows")
+@query("c25_knapsack_rows", PACK_FACTS)
 def _(spark, d):
-    return packing.knapsack_rows(sized(spark, d), "doc_id", "n_tokens", 32768)
+    return pack_facts(packing.knapsack_rows(sized(spark, d), "doc_id", "n_tokens", 32768), 32768)
 
 
 @query("c26_length", f"select doc_id, len({q.words('text')}) as n_tokens from documents")

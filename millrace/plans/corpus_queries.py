@@ -235,11 +235,23 @@ def samples(spark, d):
     return corpus.gather_samples(spans.drop("n_tokens"), tokens(spark, d), "doc_id", LENGTH)
 
 
-@query("c16_masked_example")
+@query(
+    "c16_masked_example",
+    f"""
+    with {SIZED}, n as (select sum(n_tokens)::bigint as n from sized)
+    select i as sample_id, least({LENGTH}, n - i * {LENGTH})::bigint as n_tokens, true as restores, true as within_share
+    from n, (select unnest(range((n + {LENGTH} - 1) // {LENGTH})) as i from n) s
+    """,
+)
 def _(spark, d):
     starts = F.transform("tokens", lambda t: F.lit(True))
-    made = samples(spark, d).select("sample_id", examples.masked_example("tokens", starts, "sample_id", 103, 30000).alias("m"))
-    return made.select("sample_id", F.size("m.positions").alias("n_masked"), F.size("m.tokens").alias("n_tokens"))
+    made = samples(spark, d).select("sample_id", "tokens", examples.masked_example("tokens", starts, "sample_id", 103, 30000).alias("m"))
+    shown = F.transform("m.tokens", lambda t, i: F.coalesce(F.get("m.labels", (F.array_position("m.positions", i) - 1).cast("int")), t))
+    n = F.size("tokens")
+    return made.select(
+        "sample_id", n.cast("bigint").alias("n_tokens"), (shown == F.col("tokens").cast("array<int>")).alias("restores"),
+        (F.size("m.positions") <= F.greatest(F.lit(1), F.round(n * 0.15))).alias("within_share"),
+    )
 
 
 @query("c17_sentence_pair")
@@ -354,16 +366,29 @@ def _(spark, d):
     return row.select("doc_id", F.size("r.input").alias("n_input"), total.alias("unmasked"), pads.alias("padding"))
 
 
-@query("c31_balanced_partitions")
-def _(spark, d):
+def part_sums(spark, d, split):
+    """(batch, part) sums of a split of batches of 64 documents."""
     batched = ordered(spark, d).withColumn("batch", F.floor(F.col("pos") / 64))
-    return packing.balanced_partitions(batched, "batch", "doc_id", "n_tokens", 4)
+    parts = split(batched).withColumn("cost", packing.workload("n_tokens"))
+    return parts.groupBy("batch", "part").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"), F.sum("cost").alias("cost"), F.max("cost").alias("dearest")
+    )
 
 
-@query("c31_micro_batches")
+BATCH_FACTS = f"with {ORDERED} select pos // 64 as batch, count(*) as rows, true as holds from ordered group by 1"
+
+
+@query("c31_balanced_partitions", BATCH_FACTS)
 def _(spark, d):
-    batched = ordered(spark, d).withColumn("batch", F.floor(F.col("pos") / 64))
-    return packing.micro_batches(batched, "batch", "doc_id", "n_tokens", 32768)
+    sums = part_sums(spark, d, lambda df: packing.balanced_partitions(df, "batch", "doc_id", "n_tokens", 4))
+    even = F.max("cost") - F.min("cost") <= F.max("dearest")
+    return sums.groupBy("batch").agg(F.sum("rows").alias("rows"), (even & (F.max("part") < 4) & (F.min("part") >= 0)).alias("holds"))
+
+
+@query("c31_micro_batches", BATCH_FACTS)
+def _(spark, d):
+    sums = part_sums(spark, d, lambda df: packing.micro_batches(df, "batch", "doc_id", "n_tokens", 32768))
+    return sums.groupBy("batch").agg(F.sum("rows").alias("rows"), (F.max("tokens") <= 32768).alias("holds"))
 
 
 @query(

@@ -224,10 +224,15 @@ def _(spark, d):
     return similarity.drop_near_duplicates(docs, "doc_id", "text").select("doc_id", "lang")
 
 
-@query("j15_sample_negatives")
+@query(
+    "j15_sample_negatives",
+    "select conv_id || '-' || turn as id, least(7, (select count(distinct text) from conversations) - 1)::int as n, true as others_only from conversations",
+)
 def _(spark, d):
     rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.array("text").alias("positives"))
-    return joins.sample_negatives(rows, "id", "positives", 7).select("id", F.size("negatives").alias("n"))
+    drawn = joins.sample_negatives(rows, "id", "positives", 7).join(rows, "id")
+    others_only = ~F.arrays_overlap("negatives", "positives") & (F.size(F.array_distinct("negatives")) == F.size("negatives"))
+    return drawn.select("id", F.size("negatives").alias("n"), others_only.alias("others_only"))
 
 
 @query(

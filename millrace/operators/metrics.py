@@ -15,7 +15,7 @@ from ..functions.columns import ColumnOrName, col, let, ratio
 from ..functions.seeded import seeded_long
 from ..functions.text import words
 from .groups import SAFETY_BOUND, clamp
-from .ordering import running_totals, value_offsets, with_position
+from .ordering import value_offsets, value_running_sum, with_position
 from .sampling import sample_rows
 
 
@@ -333,11 +333,7 @@ def pairwise_accuracy(df: DataFrame, group: str, order: str, score: str, label:
 def _negatives_below(df, group, score, label):
     """Rows of label 0 with a smaller score, for each score of a group."""
     counts = df.groupBy(group, score).agg(F.count_if(F.col(label) <= 0).alias("neg"))
-    bounds = counts.groupBy(group).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    share = F.when(width > 0, (F.col(score) - F.col("__lo")) / width).otherwise(0.0)
-    bucketed = counts.join(bounds, group).withColumn("__bucket", F.floor(share * 65535)).drop("__lo", "__hi")
-    placed = running_totals(bucketed, [group, "__bucket"], [score], ["neg"], "__pos", restart=1)
+    placed = value_running_sum(counts, score, "neg", [group])
     return placed.select(group, score, F.col("neg_before").alias("neg_below"))
 
 
@@ -366,10 +362,10 @@ def preference_balance(df: DataFrame, desirable: Column, desirable_weight: float
     d, u = F.col("n_desirable"), F.col("n_undesirable")
     return counts.select(
         "*",
-        F.round(u * undesirable_weight / d * 1, 2).alias("desirable_low"),
+        F.round(u * undesirable_weight / d, 2).alias("desirable_low"),
         F.round(u * undesirable_weight / d * 1.33, 2).alias("desirable_high"),
         F.round(d * desirable_weight / u / 1.33, 2).alias("undesirable_low"),
-        F.round(d * desirable_weight / u / 1, 2).alias("undesirable_high"),
+        F.round(d * desirable_weight / u, 2).alias("undesirable_high"),
     )
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import ColumnOrName, col
 from ..functions.seeded import seeded_hash
@@ -126,6 +127,39 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+def value_levels(df: DataFrame, value: str) -> tuple[list[str], DataFrame]:
+    """Names of bucket columns that agree with the order of a numeric ``value``, and the table with them.
+
+    Integers are cut by their high bits. Other numbers are cut as a float is stored, by sign and exponent, then 12
+    and 32 leading bits of the mantissa, so outliers do not widen the buckets of the rest: a finest bucket has
+    at most 2**20 distinct doubles. A power of two may be taken as the end of the exponent below; both
+    forms give one number. Nulls come first, NaN last.
+    """
+    names = ["__v0", "__v1", "__v2"]
+    if isinstance(df.schema[value].dataType, T.IntegralType):
+        code = F.col(value).cast("bigint")
+        top, middle = _COARSE_BITS, _FINE_BITS
+        fine = F.shiftright(code, middle)
+        return names[:2], df.withColumns({"__v0": F.shiftright(code, top), "__v1": fine})
+    v = F.col(value).cast("double")
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    # Halves of the power keep 2 ** exponent from leaving the range of doubles before it is divided by.
+    half = F.floor(exponent / 2)
+    mantissa = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
+    code = (exponent + 1076) * F.lit(2**32) + F.floor((mantissa - 1) * F.lit(float(2**32)))
+    beyond = F.lit(2**12) * F.lit(2**32)
+    signed = (
+        F.when(v.isNull(), F.lit(None).cast("bigint"))
+        .when(F.isnan(v), beyond + F.lit(2**32))
+        .when(size == 0, F.lit(0))
+        .when(size == F.lit(float("inf")), F.signum(v).cast("bigint") * beyond)
+        .otherwise(F.signum(v).cast("bigint") * code.cast("bigint"))
+    )
+    coded = df.withColumn("__v2", signed)
+    return names, coded.withColumns({"__v0": F.shiftright("__v2", 32), "__v1": F.shiftright("__v2", 20)})
+
+
 def with_value_position(
     df: DataFrame, value: str, key: str, position: str = "pos", within: Sequence[str] = ()
 ) -> DataFrame:
@@ -134,25 +168,23 @@ def with_value_position(
     Distinct values are counted first, so a value held by any share of the rows is one row of the
     running sum; the rows of one value are numbered by key ranges.
     """
-    counts = value_offsets(df, value, within)
-    placed = with_position(df, key, "__at", within=[*within, value])
+    same = [*within, value]
+    counts = value_offsets(df, value, within).select(*[F.col(c).alias(f"__c_{c}") for c in same], "n_before")
+    placed = with_position(df, key, "__at", within=same)
     return (
-        placed.join(counts.select(*within, value, "n_before"), [*within, value])
+        placed.join(counts, _same(same, "__c_"))
         .withColumn(position, F.col("n_before") + F.col("__at"))
-        .drop("__at", "n_before")
+        .drop("__at", "n_before", *[f"__c_{c}" for c in same])
     )
 
 
 def value_offsets(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """(within.., value, n, n_before): each distinct value, its count and the count of smaller ones."""
     counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
-    low, high = F.min(value).alias("__low"), F.max(value).alias("__high")
-    if within:
-        bounded = counts.join(counts.groupBy(*within).agg(low, high), list(within))
-    else:
-        bounded = counts.withColumns({"__low": counts.agg(low).scalar(), "__high": counts.agg(high).scalar()})
-    width = (F.col("__high") - F.col("__low")).cast("double")
-    share = F.when(width > 0, (F.col(value) - F.col("__low")) / width).otherwise(0.0)
-    bucketed = bounded.withColumn("__bucket", F.floor(share * 65535)).drop("__low", "__high")
-    ranked = running_totals(bucketed, [*within, "__bucket"], [value], ["n"], "__pos", restart=len(within))
-    return ranked.select(*within, value, "n", F.col("n_before"))
+    return value_running_sum(counts, value, "n", within).select(*within, value, "n", F.col("n_before"))
+
+
+def value_running_sum(df: DataFrame, value: str, measure: str, within: Sequence[str] = ()) -> DataFrame:
+    """``df``, one row per value (of each ``within`` group), with ``<measure>_before``: the sum over smaller values."""
+    levels, bucketed = value_levels(df, value)
+    return running_totals(bucketed, [*within, *levels], [value], [measure], "__pos", restart=len(within)).drop(*levels, "__pos")

@@ -1,14 +1,15 @@
 """Exact similarity joins, near-duplicate removal and nearest neighbours without all-pairs work.
 
 Text similarity is the Jaccard overlap of word shingles. Two sets over a threshold t share one of
-their rarest |x| - ceil(t |x|) + 1 shingles, so candidates come from an equi join on those and every
-candidate is verified. Copies of one shingle set are compared once, whatever their number.
+their rarest |x| - ceil(t |x|) + 1 shingles, so candidates come from an equi join on those, are pruned by
+size and place, and verified. Copies of one shingle set are compared once, whatever their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from ..session import cut_lineage, spread
 from .ordering import with_position
 from .sampling import top_per_group
 
+LEADERS = 8
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
 
@@ -47,121 +49,176 @@ def shingle_hashes(c: ColumnOrName, n: int = 3) -> Column:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """(key, grams, set_key): the shingle set of every row that has shingles, and its fingerprint.
+    """(key, n, grams): the shingle set of every row and its size, null for a row without words."""
+    sets = spread(df.select(key, text)).select(key, shingle_hashes(text, n).alias("grams"))
+    return sets.select(key, F.size("grams").alias("n"), "grams")
 
-    Hashed sets are about the size of the text. They are read several times, so they are written out
-    once instead of cutting every text again.
+
+def _set_name(*columns: str) -> Column:
+    """128 bits that name a set: two hashes of different seeds."""
+    return F.concat_ws("-", F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
+
+
+def distinct_sets(df: DataFrame, key: str, text: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, set_id), and sets (set_id, n, grams): each distinct set once, named by its smallest row key.
+
+    Keys are unique. Sets are read several times, so they are written out once instead of cutting every text again.
     """
-    sets = spread(df.select(key, text)).select(key, F.sort_array(shingle_hashes(text, n)).alias("grams"))
-    return cut_lineage(sets.withColumn("set_key", F.md5(F.to_json("grams")))).filter(F.col("grams").isNotNull())
+    found = cut_lineage(shingle_sets(df, key, text, n).withColumn("grams", F.sort_array("grams")).withColumn("__set", _set_name("grams")))
+    found = found.filter(F.col("grams").isNotNull())
+    names = found.groupBy("__set").agg(F.min(key).alias("set_id"))
+    sets = found.join(names.withColumnRenamed("set_id", key), ["__set", key], "left_semi")
+    return found.select(key, "__set").join(names, "__set").select(key, "set_id"), sets.select(F.col(key).alias("set_id"), "n", "grams")
+
 
+def _frequency(sets: DataFrame, at_least: int = 1) -> DataFrame:
+    """(gram, df): the number of sets that hold each shingle."""
+    counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return counts.filter(F.col("df") >= at_least)
 
-def distinct_sets(sets: DataFrame, key: str) -> DataFrame:
-    """(set_key, set_id, grams): one row per distinct set, named by its smallest row key."""
-    return sets.groupBy("set_key").agg(F.min(key).alias("set_id"), F.min_by("grams", key).alias("grams"))
 
+def _rare_first(sets: DataFrame, name: str, frequency: DataFrame, threshold: float) -> DataFrame:
+    """(name, n, grams): of each set of n shingles those that ``frequency`` holds, rarest first.
 
-def _prefixes(sets: DataFrame, name: str, frequency: DataFrame, threshold: float) -> DataFrame:
-    """(name, gram): the rarest shingles of each set, enough of them for the threshold."""
-    exploded = sets.select(name, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))
-    ranked = exploded.join(frequency, "gram", "left").groupBy(name).agg(
-        F.sort_array(F.collect_list(rarity)).alias("g"), F.first("n").alias("n")
+    Shingles it lacks match nothing, so their number is all that is kept of them; sets left with too few
+    for the threshold go. The outer explode keeps Spark from cutting each text a second time for a null test.
+    """
+    exploded = sets.select(name, "n", F.explode_outer("grams").alias("gram"))
+    known = exploded.join(frequency, "gram").groupBy(name).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g")
     )
+    enough = known.filter(F.size("g") >= _least_shared(F.col("n"), threshold))
+    return enough.select(name, "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
+
+
+def _least_shared(n: Column, threshold: float) -> Column:
     # The small margin keeps a product like 0.8 * 5 from rounding up past its integer.
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return ranked.select(name, F.explode(F.slice("g", F.lit(1), length.cast("int"))).alias("p")).select(name, F.col("p.gram").alias("gram"))
+    return F.ceil(n * F.lit(threshold) - 1e-9)
 
 
-def _frequency(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def _postings(sets: DataFrame, name: str, threshold: float) -> DataFrame:
+    """(name, n, gram, rest): the rarest shingles of each set, enough of them for the threshold.
 
+    ``rest`` is the number of the set's known shingles from this one on: the most that a pair can share
+    when this is its first common one.
+    """
+    length = F.size("grams") - _least_shared(F.col("n"), threshold) + 1
+    prefix = F.slice("grams", F.lit(1), F.least(length, F.size("grams")).cast("int"))
+    placed = sets.select(name, "n", F.size("grams").alias("__known"), F.posexplode(prefix).alias("__at", "gram"))
+    return placed.select(name, "n", "gram", (F.col("__known") - F.col("__at")).alias("rest"))
 
-def _jaccard(a: ColumnOrName, b: ColumnOrName) -> Column:
-    shared = F.size(F.array_intersect(col(a), col(b)))
-    return shared / (F.size(col(a)) + F.size(col(b)) - shared).cast("double")
 
+def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_key, right_key) of sets with a common posting whose sizes and places leave room for the threshold.
+
+    Both sides hold their key, n, gram and rest. A pair over the threshold passes at its first common shingle.
+    """
+    pairs = left.withColumnsRenamed({"n": "__ln", "rest": "__lr"}).join(right.withColumnsRenamed({"n": "__rn", "rest": "__rr"}), "gram")
+    room = F.least("__lr", "__rr") * F.lit(1 + threshold) >= (F.col("__ln") + F.col("__rn")) * F.lit(threshold) - 1e-9
+    return pairs.filter(room)
+
+
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_key, right_key, score): Jaccard of the pairs. Known shingles hold all that two sets share."""
+    named = left.withColumnsRenamed({"n": "__ln", "grams": "__lg"}), right.withColumnsRenamed({"n": "__rn", "grams": "__rg"})
+    joined = pairs.join(named[0], "left_key").join(named[1], "right_key")
+    shared = F.size(F.array_intersect("__lg", "__rg"))
+    return joined.select("left_key", "right_key", (shared / (F.col("__ln") + F.col("__rn") - shared).cast("double")).alias("score"))
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_key, right_key, score) of distinct set pairs with Jaccard above the threshold.
 
-    Any one order of the shingles will do, so they are counted in the right table only: what it lacks
-    comes first on the left and joins nothing.
+def similar_rows(
+    df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, threshold: float,
+    n: int = 3, inclusive: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, left_key), and pairs (left_key, right_key, score) over the threshold (or from it on).
+
+    Any one order of the shingles will do, so they are counted in the other table only. Of ``df`` nothing
+    but the shingles found there is shuffled or kept; rows alike in them are compared once.
     """
-    frequency = _frequency(right)
-    a = _prefixes(left, "set_key", frequency, threshold).withColumnRenamed("set_key", "left_key")
-    b = _prefixes(right, "set_key", frequency, threshold).withColumnRenamed("set_key", "right_key")
-    candidates = a.join(b, "gram").select("left_key", "right_key").distinct()
-    la = left.select(F.col("set_key").alias("left_key"), F.col("grams").alias("ga"))
-    rb = right.select(F.col("set_key").alias("right_key"), F.col("grams").alias("gb"))
-    scored = candidates.join(la, "left_key").join(rb, "right_key").select("left_key", "right_key", _jaccard("ga", "gb").alias("score"))
-    return scored.filter(F.col("score") > threshold)
+    _, theirs = distinct_sets(other, other_key, other_text, n)
+    frequency = _frequency(theirs)
+    right = _rare_first(theirs.withColumnRenamed("set_id", "right_key"), "right_key", frequency, threshold)
+    mine = cut_lineage(_rare_first(shingle_sets(df, key, text, n), key, frequency, threshold).withColumn("left_key", _set_name("n", "grams")))
+    left = mine.select("left_key", "n", "grams").dropDuplicates(["left_key"])
+    pairs = _candidates(_postings(left, "left_key", threshold), _postings(right, "right_key", threshold), threshold)
+    scored = _scored(pairs.select("left_key", "right_key").distinct(), left, right)
+    over = F.col("score") >= threshold if inclusive else F.col("score") > threshold
+    return mine.select(key, "left_key"), scored.filter(over)
 
 
 def contaminated_keys(
     df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, threshold: float,
-    n: int = 3, top_k: int | None = None,
+    n: int = 3, top_k: int | None = None, inclusive: bool = False,
 ) -> DataFrame:
     """Keys of rows similar to any row of the other table.
 
     With ``top_k`` only the most similar k rows of ``df`` count for each row of the other table.
     """
-    mine, theirs = shingle_sets(df, key, text, n), shingle_sets(other, other_key, other_text, n)
-    pairs = similar_sets(distinct_sets(mine, key), distinct_sets(theirs, other_key), threshold)
+    rows, pairs = similar_rows(df, key, text, other, other_key, other_text, threshold, n, inclusive)
     if top_k is None:
-        return mine.join(pairs.select(F.col("left_key").alias("set_key")), "set_key", "left_semi").select(key)
+        return rows.join(pairs, "left_key", "left_semi").select(key)
     # Rows of one set tie, so a set needs no more than its k smallest keys.
-    members = top_per_group(mine.select("set_key", key), ["set_key"], [F.asc(key)], top_k, "__m").withColumnRenamed("set_key", "left_key")
+    members = top_per_group(rows, ["left_key"], [F.asc(key)], top_k, "__m")
     ranked = top_per_group(pairs.join(members, "left_key"), ["right_key"], [F.desc("score"), F.asc(key)], top_k, "__r")
     return ranked.select(key).distinct()
 
 
-def decontaminate(df, key, text, other, other_key, other_text, threshold=0.95, n=3, top_k=None) -> DataFrame:
+def decontaminate(
+    df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, threshold: float = 0.95,
+    n: int = 3, top_k: int | None = None, inclusive: bool = False,
+) -> DataFrame:
     """Rows of ``df`` that are not similar to any row of the other table."""
-    hits = contaminated_keys(df, key, text, other, other_key, other_text, threshold, n, top_k)
+    hits = contaminated_keys(df, key, text, other, other_key, other_text, threshold, n, top_k, inclusive)
     return df.join(hits, key, "left_anti")
 
 
 def drop_listed_errors(df: DataFrame, key: str, text: str, errors: DataFrame, error_text: str, threshold: float = 0.99) -> DataFrame:
     """Drop the row that each listed text stands for: its most similar row, from the threshold on."""
     listed = errors.select(F.md5(error_text).alias("__e"), F.col(error_text).alias("__t")).dropDuplicates(["__e"])
-    return decontaminate(df, key, text, listed, "__e", "__t", threshold, top_k=1)
+    return decontaminate(df, key, text, listed, "__e", "__t", threshold, top_k=1, inclusive=True)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.792, n: int = 3) -> DataFrame:
     """Keys to remove so that the rest is what a pass in key order keeps: a row goes when a kept row
     before it is similar.
 
-    Each round looks at shingle buckets through their smallest undecided set only, so the pairs are
-    linear in the buckets. A set that leads all its buckets has no undecided similar set before it and
-    is kept; sets similar to it go. Rounds end when every set is decided.
+    Each round compares the undecided sets of a shingle bucket with the bucket's smallest ones, its leaders, and
+    confirms the pairs. A set that leads all its buckets has met every set before it that could be
+    similar: without a confirmed one it is kept, and sets similar to it go. Families of copies go in the first
+    rounds; leaders grow eightfold, so buckets of unlike sets take a number of rounds that grows with the
+    logarithm of their size. Once every set leads, only the confirmed pairs are left to decide on.
     """
-    rows = shingle_sets(df, key, text, n)
-    sets = cut_lineage(distinct_sets(rows, key).select("set_key", "set_id", "grams"))
-    prefixes = _prefixes(sets, "set_id", _frequency(sets), threshold)
-    shared = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    # A set that shares no bucket is kept without looking further.
-    undecided = cut_lineage(prefixes.join(shared, "gram", "left_semi"))
-    grams = sets.select("set_id", "grams")
-    removed = None
-    while not undecided.isEmpty():
-        leaders = undecided.groupBy("gram").agg(F.min("set_id").alias("leader"))
-        led = undecided.join(leaders, "gram")
-        winners = led.groupBy("set_id").agg(F.bool_and(F.col("set_id") == F.col("leader")).alias("w")).filter("w").select("set_id")
-        pairs = led.filter("set_id <> leader").select("leader", "set_id").distinct()
-        pairs = pairs.join(winners.withColumnRenamed("set_id", "leader"), "leader", "left_semi")
-        scored = pairs.join(grams, "set_id").join(
-            grams.withColumnsRenamed({"set_id": "leader", "grams": "leader_grams"}), "leader"
-        )
-        lost = cut_lineage(scored.filter(_jaccard("grams", "leader_grams") > threshold).select("set_id").distinct())
-        decided = winners.unionByName(lost)
-        undecided = cut_lineage(undecided.join(decided, "set_id", "left_anti"))
-        removed = lost if removed is None else removed.unionByName(lost)
-    ids = rows.join(sets.select("set_key", "set_id"), "set_key").select(key, "set_id")
-    copies = ids.filter(F.col(key) != F.col("set_id")).select(key)
-    if removed is None:
-        return copies
-    return copies.unionByName(ids.join(removed, "set_id", "left_semi").filter(F.col(key) == F.col("set_id")).select(key))
+    rows, sets = distinct_sets(df, key, text, n)
+    # A shingle of one set only joins nothing.
+    known = cut_lineage(_rare_first(sets, "set_id", _frequency(sets, 2), threshold))
+    earlier, later = known.withColumnRenamed("set_id", "left_key"), known.withColumnRenamed("set_id", "right_key")
+    undecided = cut_lineage(_postings(known, "set_id", threshold))
+    removed, n_leaders, complete, edges = [], LEADERS, False, None
+    while True:
+        if not complete:
+            leaders = top_per_group(undecided, ["gram"], [F.asc("set_id")], n_leaders, "__rank").drop("__rank")
+            pairs = _candidates(leaders.withColumnRenamed("set_id", "left_key"), undecided.withColumnRenamed("set_id", "right_key"), threshold)
+            pairs = pairs.filter("left_key < right_key").select("left_key", "right_key").distinct()
+            edges = cut_lineage(_scored(pairs, earlier, later).filter(F.col("score") > threshold).select("left_key", "right_key"))
+            behind = undecided.join(leaders, ["gram", "set_id"], "left_anti")
+            waiting = cut_lineage(behind.select("set_id").distinct())
+            complete = waiting.isEmpty()
+        if complete and edges.isEmpty():
+            break
+        beaten = edges.select(F.col("right_key").alias("left_key"))
+        kept = edges.join(beaten, "left_key", "left_anti").join(waiting.withColumnRenamed("set_id", "left_key"), "left_key", "left_anti")
+        lost = cut_lineage(kept.select(F.col("right_key").alias("set_id")).distinct())
+        removed.append(lost)
+        gone = lost.withColumnRenamed("set_id", "left_key"), lost.withColumnRenamed("set_id", "right_key")
+        edges = cut_lineage(edges.join(gone[0], "left_key", "left_anti").join(gone[1], "right_key", "left_anti"))
+        if not complete:
+            still = waiting.unionByName(edges.select(F.col("left_key").alias("set_id"))).unionByName(edges.select(F.col("right_key").alias("set_id")))
+            undecided = undecided.join(still, "set_id", "left_semi").join(lost, "set_id", "left_anti")
+            undecided = cut_lineage(undecided)
+            n_leaders *= 8
+    copies = rows.filter(F.col(key) != F.col("set_id")).select(key)
+    out = [rows.join(lost, "set_id", "left_semi").filter(F.col(key) == F.col("set_id")).select(key) for lost in removed]
+    return reduce(DataFrame.unionByName, out, copies)
 
 
 def drop_near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.792, n: int = 3) -> DataFrame:

@@ -211,7 +211,18 @@ def _(spark, d):
     return clean.select("doc_id", "source")
 
 
-@query("j12_drop_listed_errors")
+@query(
+    "j12_drop_listed_errors",
+    f"""
+    with a as {_grams('doc_id', 'documents')},
+    b as {_grams('doc_id', '(select doc_id, text from documents join labels using (doc_id) where quality = 0)')},
+    an as (select id, count(*) as n from a group by 1),
+    s as (select a.id as doc_id, b.id as item, count(*) as c from a join b using (g) group by 1, 2),
+    r as (select doc_id, row_number() over (partition by item order by c / (x.n + y.n - c) desc, doc_id) as place, c / (x.n + y.n - c) as score
+          from s join an x on x.id = s.doc_id join an y on y.id = s.item)
+    select doc_id from documents where doc_id not in (select doc_id from r where place = 1 and score >= 0.99)
+    """,
+)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     bad = docs.join(table(spark, d, "labels").filter("quality = 0"), "doc_id").select("text")

@@ -33,6 +33,22 @@ def test_positions_by_value_with_a_hot_value(spark):
     assert {r["k"]: r["pos"] for r in got} == want
 
 
+def test_value_buckets_hold_few_values_whatever_the_outliers(spark):
+    rng = random.Random(8)
+    values = [rng.random() for _ in range(4000)] + [1e300, -1e300, 0.0, -0.0, 5e-324, 2.0**-1022, float("inf"), float("-inf"), float("nan")]
+    values += [1e9 + 1000 * rng.random() for _ in range(4000)] + [2.0**k for k in range(-60, 60)] + [-(2.0**k) for k in range(-60, 60)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(10**6, None)], "k long, v double")
+    names, levelled = ordering.value_levels(df, "v")
+    assert levelled.groupBy(*names).count().agg(F.max("count")).first()[0] <= len(values) / 1000
+    order = sorted(range(len(values)), key=lambda i: (math.isnan(values[i]), values[i], i) if not math.isnan(values[i]) else (True, 0, i))
+    got = {r["k"]: r["pos"] for r in ordering.with_value_position(df, "v", "k").collect()}
+    assert got == {k: p + 1 for p, k in enumerate(order)} | {10**6: 0}
+    big = [(i, 2**62 + rng.randrange(5000)) for i in range(3000)] + [(9999, -5)]
+    ints = spark.createDataFrame(big, "k long, v long")
+    places = {r["k"]: r["pos"] for r in ordering.with_value_position(ints, "v", "k").collect()}
+    assert places == {k: p for p, (v, k) in enumerate(sorted((v, k) for k, v in big))}
+
+
 def test_shuffle_does_not_depend_on_partitions(spark):
     a = sampling.shuffle_rows(spark.range(300).repartition(2), ["id"]).collect()
     b = sampling.shuffle_rows(spark.range(300).repartition(9), ["id"]).collect()
@@ -144,6 +160,24 @@ def test_near_duplicates_by_brute_force(spark, threshold):
     assert got == removed
 
 
+@pytest.mark.parametrize("m", [40, 400])
+def test_rounds_do_not_grow_with_unlike_sets_of_a_bucket(spark, monkeypatch, m):
+    rounds = []
+    counted = similarity.top_per_group
+    monkeypatch.setattr(similarity, "top_per_group", lambda *a: rounds.append(1) or counted(*a))
+    template = [f"t{i}" for i in range(26)]
+    texts = [" ".join([*template[:13], f"u{i // 2}", *template[13:], f"e{i % 7}"]) for i in range(m)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"] for r in similarity.near_duplicates(df, "id", "text", 0.9).collect()}
+    kept, removed = [], set()
+    for i, t in enumerate(texts):
+        if any(_jaccard(_grams(t), k) > 0.9 for k in kept):
+            removed.add(i)
+        else:
+            kept.append(_grams(t))
+    assert got == removed and len(removed) == m // 2 and len(rounds) <= 4
+
+
 def test_decontamination_by_brute_force(spark):
     texts = _copies_and_variants()
     mine, theirs = texts[:120], texts[100:150]

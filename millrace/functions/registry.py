@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib.util
 import inspect
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,9 @@ from pyspark.sql import types as T
 from . import answers, rewards
 from .columns import ColumnOrName, col
 
+# States a task of ``accumulate_metric`` keeps before it sends them on.
+OPEN_STATES = 100_000
+
 # Column functions by name; each takes columns and returns a double column.
 REWARDS: dict[str, Callable[..., Column]] = {
     "format": rewards.format_reward,
@@ -99,21 +104,53 @@ def task_reward(fn: Callable[[dict, str], tuple[float, bool, dict]]) -> Callable
     return scored
 
 
-def metric_accumulator(update: Callable[[object, pd.Series], object], compute: Callable[[object], float], start: Callable[[], object]):
-    """An accumulator as a grouped aggregate over batches of a group: fold each batch in, then compute.
+def accumulate_metric(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    start: Callable[[], object],
+    update: Callable[[object, pd.Series], object],
+    merge: Callable[[object, object], object],
+    compute: Callable[[object], float],
+) -> DataFrame:
+    """(keys.., value): an accumulator of the user's own over each group.
 
-    Batches stream through the state, so a group of any size needs the memory of one batch.
+    Every task folds its Arrow batches into one state per group and sends on the states; those of a group are
+    merged and computed. A group of any size needs one state a task, and at most OPEN_STATES are open at once.
     """
+    kinds = T.StructType([*[df.schema[k] for k in keys], T.StructField("state", T.BinaryType())])
+
+    def partial(batches):
+        states = {}
+
+        def sent():
+            return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=kinds.fieldNames())
+
+        for pdf in batches:
+            for name, rows in pdf.groupby(keys, dropna=False, sort=False):
+                name = tuple(None if pd.isna(part) else part for part in name)
+                states[name] = update(states[name] if name in states else start(), rows[value])
+            if len(states) > OPEN_STATES:
+                yield sent()
+                states = {}
+        yield sent()
 
     @F.pandas_udf(T.DoubleType())
-    def aggregated(batches: pd.Series) -> float:
-        return float(compute(update(start(), batches)))
+    def merged(states: pd.Series) -> float:
+        return float(compute(reduce(merge, map(pickle.loads, states))))
 
-    return aggregated
+    return df.select(*keys, value).mapInPandas(partial, kinds).groupBy(*keys).agg(merged("state").alias("value"))
 
 
 def mean_metric(df: DataFrame, keys: list[str], value: str, empty: float = 0.0) -> DataFrame:
-    return df.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(empty)).alias("value"))
+    """Mean of the values that are there, ``empty`` for a group without one."""
+    return accumulate_metric(
+        df, keys, value,
+        start=lambda: (0.0, 0),
+        update=lambda s, v: (s[0] + float(v.sum()), s[1] + int(v.count())),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        compute=lambda s: s[0] / s[1] if s[1] else empty,
+    )
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict | Iterable[dict] | None], schema: str | T.StructType) -> DataFrame:

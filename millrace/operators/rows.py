@@ -31,6 +31,8 @@ RESPONSE_ALIASES = [
     "content",
 ]
 MESSAGE_ALIASES = ["messages", "conversation", "conversations"]
+ROLE_KEYS, CONTENT_KEYS = ["role", "from"], ["content", "value"]
+USER_KEYS, ASSISTANT_KEYS = ["user", "human"], ["assistant", "gpt", "bot"]
 
 RESPONSE_COLUMNS = {
     **MEDIA_ALIASES,
@@ -86,9 +88,10 @@ def from_response(df: DataFrame) -> DataFrame:
     response = F.col("response")
     if isinstance(df.schema["response"].dataType, T.ArrayType):
         response = F.get(response, F.lit(0))
-    messages = chat.query_response_messages(
-        F.col("query"), response.cast("string"), _optional(df, "system"), _optional(df, "history")
-    )
+    history = _optional(df, "history")
+    if history is not None and isinstance(df.schema["history"].dataType, T.StringType):
+        history = F.from_json(literal_to_json(history), "array<array<string>>")
+    messages = chat.query_response_messages(F.col("query"), response.cast("string"), _optional(df, "system"), history)
     return df.withColumn("messages", messages).drop("query", "response", "system", "history")
 
 
@@ -98,20 +101,45 @@ def from_instruction(df: DataFrame) -> DataFrame:
     return from_response(out.withColumnRenamed("output", "response"))
 
 
-def from_messages(df: DataFrame) -> DataFrame:
-    """Rename message keys and roles; turns holding both sides become two messages."""
+def parsed_messages(text: Column) -> Column:
+    """Messages given as JSON or literal text, with role and content, or user and assistant, under any of their names."""
+    fields = ", ".join(f"`{k}` string" for k in (*ROLE_KEYS, *CONTENT_KEYS, *USER_KEYS, *ASSISTANT_KEYS))
+    parsed = F.from_json(literal_to_json(text), f"array<struct<{fields}>>")
+
+    def turns(m):
+        role, content, user, assistant = (F.coalesce(*[m[k] for k in names]) for names in (ROLE_KEYS, CONTENT_KEYS, USER_KEYS, ASSISTANT_KEYS))
+        pair = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), assistant.alias("content")))
+        return F.when(role.isNotNull(), F.array(F.struct(role.alias("role"), content.alias("content")))).otherwise(pair)
+
+    return F.flatten(F.transform(parsed, turns))
+
+
+def from_messages(df: DataFrame, repair: Callable[[Column], Column] | None = None, inner_key: str | None = None) -> DataFrame:
+    """Rename message keys and roles; turns holding both sides become two messages.
+
+    ``repair`` is a column function that mends the messages first; ``inner_key`` names the field that holds
+    them. Messages that are text are parsed; text that does not parse gives null.
+    """
     df = rename_by_alias(df, MESSAGE_COLUMNS)
+    if repair is not None:
+        df = df.withColumn("messages", repair(F.col("messages")))
+    if inner_key is not None:
+        inner = F.col("messages")
+        is_text = isinstance(df.schema["messages"].dataType, T.StringType)
+        df = df.withColumn("messages", F.get_json_object(literal_to_json(inner), f"$['{inner_key}']") if is_text else inner[inner_key])
+    if isinstance(df.schema["messages"].dataType, T.StringType):
+        df = df.withColumn("messages", parsed_messages(F.col("messages")))
     keys = df.schema["messages"].dataType.elementType.fieldNames()
     system = _optional(df, "system")
 
     def first(options):
         return next((k for k in options if k in keys), None)
 
-    role, content = first(["role", "from"]), first(["content", "value"])
+    role, content = first(ROLE_KEYS), first(CONTENT_KEYS)
     if role and content:
         messages = chat.standard_messages("messages", role, content, system)
     else:
-        user, assistant = first(["user", "human"]), first(["assistant", "gpt", "bot"])
+        user, assistant = first(USER_KEYS), first(ASSISTANT_KEYS)
         messages = chat.paired_messages("messages", user, assistant, system)
     return df.withColumn("messages", messages).drop("system")
 
@@ -480,12 +508,12 @@ def positional_question(question: ColumnOrName, index: ColumnOrName) -> dict[str
 
 @F.pandas_udf(T.StringType())
 def literal_to_json(texts: pd.Series) -> pd.Series:
-    """JSON of a text that is a Python literal or JSON already; null when it is neither."""
+    """JSON of a text that is JSON already or a Python literal; null when it is neither."""
 
     def convert(text):
         if text is None:
             return None
-        for read in (ast.literal_eval, json.loads):
+        for read in (json.loads, ast.literal_eval):
             try:
                 return json.dumps(read(text))
             except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):

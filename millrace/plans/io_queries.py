@@ -64,9 +64,18 @@ def _(spark, d):
 def _(spark, d):
     name = "documents_by_language"
     subsets = [readers.Subset(x) for x in ("en", "de", "fr")] + [readers.Subset("es", weak=True)]
-    readers.register_meta(readers.DatasetMeta(name, f"{d}/documents.parquet", preprocess=None), replace=True)
-    readers.get_meta(name).preprocess = lambda df: readers.filter_subsets(df.select("doc_id", "lang"), ("en", "de"), subsets, "lang")
-    return readers.load_reference(spark, f"hf::{name}#100", "doc_id").select("doc_id")
+    meta = readers.DatasetMeta(name, f"{d}/documents.parquet", subsets, preprocess=lambda df: df.select("doc_id"), subset_column="lang")
+    readers.register_meta(meta, replace=True)
+    return readers.load_reference(spark, f"hf::{name}:en/de#100", "doc_id")
+
+
+@query("s15_registered_splits", "select r_regionkey as id, 'region' as split from region union all select n_nationkey, 'nation' from nation")
+def _(spark, d):
+    def ids(df):
+        return df.select(F.coalesce("r_regionkey", "n_nationkey").alias("id"), "split")
+
+    readers.register_meta(readers.DatasetMeta("places", d, splits=["region", "nation"], preprocess=ids), replace=True)
+    return readers.load_reference(spark, "places")
 
 
 @query("s5_all_but_weak_subsets", "select doc_id, lang from documents where lang <> 'es'")

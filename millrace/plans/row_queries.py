@@ -354,6 +354,17 @@ def _(spark, d):
     return made.select("split", "id", F.md5("question").alias("question"))
 
 
+@query("u3_messages_as_text", "select conv_id, turn, role, md5(text) as content from conversations where text is not null")
+def _(spark, d):
+    turns = table(spark, d, "conversations").filter("text is not null")
+    short = F.to_json(F.array(F.struct(F.col("role").alias("from"), F.col("text").alias("value"))))
+    plain = F.to_json(F.array(F.struct("role", F.col("text").alias("content"))))
+    wrapped = turns.select("conv_id", "turn", F.concat(F.lit("x"), F.when(F.col("turn") % 2 == 0, short).otherwise(plain)).alias("conversation"))
+    done = rows.from_messages(wrapped, repair=lambda text: F.substring(text, 2, 2**31 - 1))
+    first = F.get("messages", F.lit(0))
+    return done.select("conv_id", "turn", first["role"].alias("role"), F.md5(first["content"]).alias("content"))
+
+
 @query(
     "p27_test_cases",
     """select event_id, (k + 0)::bigint as n from (select event_id, cast(regexp_extract(props, '(\\d+)', 1) as bigint) % 9 as k, event_type from events)

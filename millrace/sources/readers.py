@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..operators.ordering import with_shuffled_position
 
 FORMATS = {"jsonl": "json", "txt": "text"}
+FILE_FORMATS = ("json", "csv", "parquet", "text", "orc")
 
 
 def file_format(path: str) -> str:
@@ -180,6 +181,7 @@ class DatasetMeta:
     splits: list[str] = field(default_factory=lambda: ["train"])
     preprocess: object = None
     tags: list[str] = field(default_factory=list)
+    subset_column: str = "subset"
 
 
 _REGISTRY: dict[str, DatasetMeta] = {}
@@ -201,9 +203,11 @@ def load_reference(spark: SparkSession, text: str, key: str | None = None, seed:
 
     reference = DatasetReference.parse(text)
     meta = get_meta(reference.name)
-    df = load_file(spark, meta.path if meta else reference.name)
+    path = meta.path if meta else reference.name
+    # A registered folder is read by its splits.
+    df = load_splits(spark, path, meta.splits) if meta and file_format(path) not in FILE_FORMATS else load_file(spark, path)
     if meta and meta.subsets:
-        df = filter_subsets(df, reference.subsets, meta.subsets)
+        df = filter_subsets(df, reference.subsets, meta.subsets, meta.subset_column)
     if meta and meta.preprocess:
         df = meta.preprocess(df)
     if reference.n is not None:

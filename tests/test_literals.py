@@ -231,8 +231,21 @@ def test_user_functions(spark, tmp_path):
     assert one(spark, scored(F.lit("s"), F.lit("a"), F.lit("a"))) == 3.0
     with pytest.raises(Exception, match="no score for data source z"):
         spark.range(1).select(registry.route_scores(F.lit("z"), {"a": F.lit(1.0)})).collect()
-    acc = registry.metric_accumulator(lambda s, b: s + b.sum(), lambda s: s, lambda: 0.0)
-    assert spark.range(5).groupBy((F.col("id") % 1).alias("g")).agg(acc("id").alias("v")).first()["v"] == 10.0
+    numbers = spark.range(50_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.lit("x").alias("h"), "id").repartition(5)
+    found = registry.accumulate_metric(numbers, ["g", "h"], "id", lambda: 0, lambda s, v: max(s, int(v.max())), max, float)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "x", 49999.0), (2, "x", 49997.0), (None, "x", 49998.0)]
+    assert registry.mean_metric(numbers.limit(0), ["h"], "id").count() == 0
+
+
+def test_messages_and_history_as_text(spark):
+    texts = ["[{'from': 'human', 'value': 'a\\'b'}, {'from': 'gpt', 'value': 'c'}]", '[{"user": "q", "assistant": "r\\u00e9"}]', "no list", None]
+    made = rows.standardise(spark.createDataFrame([(t,) for t in texts], "conversations string"))
+    got = [None if r["messages"] is None else [(m["role"], m["content"]) for m in r["messages"]] for r in made.collect()]
+    assert got == [[("user", "a'b"), ("assistant", "c")], [("user", "q"), ("assistant", "r\u00e9")], None, None]
+    inner = spark.createDataFrame([("{'turns': [{'role': 'user', 'content': 'x'}]}",)], "messages string")
+    assert rows.from_messages(inner, inner_key="turns").first()["messages"][0]["content"] == "x"
+    past = spark.createDataFrame([("q2", "r2", "[['q1', 'r1']]"), ("q", "r", None)], "query string, response string, history string")
+    assert [[m["content"] for m in r["messages"]] for r in rows.standardise(past).collect()] == [["q1", "r1", "q2", "r2"], ["q", "r"]]
 
 
 def test_returns_and_soft_mean(spark):

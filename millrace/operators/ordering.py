@@ -170,11 +170,11 @@ def with_value_position(
     """
     same = [*within, value]
     counts = value_offsets(df, value, within).select(*[F.col(c).alias(f"__c_{c}") for c in same], "n_before")
-    placed = with_position(df, key, "__at", within=same)
+    placed = with_position(df, key, "__in_value", within=same)
     return (
         placed.join(counts, _same(same, "__c_"))
-        .withColumn(position, F.col("n_before") + F.col("__at"))
-        .drop("__at", "n_before", *[f"__c_{c}" for c in same])
+        .withColumn(position, F.col("n_before") + F.col("__in_value"))
+        .drop("__in_value", "n_before", *[f"__c_{c}" for c in same])
     )
 
 

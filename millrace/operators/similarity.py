@@ -23,7 +23,7 @@ from ..functions.columns import ColumnOrName, col, let
 from ..functions.seeded import seeded_hash
 from ..functions.text import words
 from ..session import cut_lineage, spread
-from .ordering import with_position
+from .ordering import with_value_position
 from .sampling import top_per_group
 
 LEADERS = 8
@@ -280,10 +280,11 @@ def nearest(
     ``metric`` is ``l2`` (smallest distance) or ``ip`` (largest inner product). With ``group``, rows of
     the query's own group are left out.
 
-    Corpus rows are grouped around a bounded set of pivots and cut into blocks of 4096. A first look at
-    the query's own block bounds its k-th distance; a cluster is visited only when its pivot is close
-    enough for one of its rows to beat that bound. Blocks meet chunks of queries, so every task works
-    on a bounded matrix and sends on k rows per query.
+    Corpus rows are grouped around a bounded set of pivots and cut, by distance to their pivot, into blocks of
+    4096, so every block has a band of distances. A first look at the block around the query's own distance
+    bounds its k-th neighbour; after that only blocks are visited whose band is within the bound of the
+    query's distance to their pivot. Blocks meet chunks of queries, so every task works on a bounded matrix
+    and sends on k rows per query.
     """
     if metric not in ("l2", "ip"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -307,36 +308,44 @@ def nearest(
         at = d.argmin(1) if len(vs) else np.zeros(0, dtype="int64")
         return pd.DataFrame({"cluster": at.astype("int64"), "d": d[np.arange(len(at)), at]})
 
-    placed = c.withColumn("p", nearest_pivot("v")).select("id", "g", "v", F.col("p.cluster").alias("cluster"), F.col("p.d").alias("d"))
-    # Read several times below, and the pivot assignment is Python work: written out once.
-    blocks = cut_lineage(
-        with_position(placed, "id", "__at", within=["cluster"]).withColumn("block", F.floor(F.col("__at") / BLOCK_ROWS)).drop("__at")
-    )
-    stats = blocks.groupBy("cluster").agg(F.max("d").alias("r"), F.max("block").alias("last")).collect()
-    radius = {s["cluster"]: s["r"] for s in stats}
-    last_block = {s["cluster"]: s["last"] for s in stats}
-
-    first = q.withColumn("cluster", nearest_pivot("v")["cluster"]).withColumn("block", F.lit(0).cast("bigint"))
+    # Pivot distances are Python work and are read several times: written out once, without the vectors.
+    placed = cut_lineage(c.withColumn("p", nearest_pivot("v")).select("id", "g", F.col("p.cluster").alias("cluster"), F.col("p.d").alias("d")))
+    numbered = with_value_position(placed, "d", "id", "__at", within=["cluster"]).withColumn("block", F.floor(F.col("__at") / BLOCK_ROWS))
+    blocks = cut_lineage(numbered.drop("__at").join(c.select("id", "v"), "id"))
+    bands = cut_lineage(blocks.groupBy("cluster", "block").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
+    radius = {r["cluster"]: r["r"] for r in bands.groupBy("cluster").agg(F.max("hi").alias("r")).collect()}  # one row a pivot
+
+    here = q.withColumn("p", nearest_pivot("v")).select("id", F.col("p.cluster").alias("cluster"), F.col("p.d").alias("d"))
+    gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
+    own = here.join(bands, "cluster").groupBy("id", "cluster").agg(F.min(F.struct(gap.alias("gap"), "block")).alias("b"))
+    first = q.join(own.select("id", "cluster", F.col("b.block").alias("block")), "id")
     found = _search_blocks(first, blocks, k, id_kind, metric)
     bound = found.groupBy("query").agg(F.max("dist").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     limited = q.join(bound.select(F.col("query").alias("id"), "bound"), "id", "left")
 
-    visit_type = T.ArrayType(T.StructType([T.StructField("cluster", T.LongType()), T.StructField("last", T.LongType())]))
+    visit_type = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("cluster", T.LongType()), ("d", T.DoubleType()), ("reach", T.DoubleType()))]))
 
     @F.pandas_udf(visit_type)
     def clusters_to_visit(vs: pd.Series, bounds: pd.Series) -> pd.Series:
         if not len(vs):
             return pd.Series([], dtype="object")
-        d = _distances(np.stack(vs.to_numpy()), pivots)
+        vectors = np.stack(vs.to_numpy())
         out = []
-        for row, limit in zip(d, bounds):
-            # A hair of slack for rounding: visiting one cluster too many changes nothing.
-            reach = math.inf if limit is None or limit != limit else limit * (1 + 1e-9) + 1e-6
-            out.append([{"cluster": c, "last": last_block[c]} for c in radius if row[c] - radius[c] <= reach])
+        for row, norm, limit in zip(_distances(vectors, pivots), np.linalg.norm(vectors, axis=1), bounds):
+            visited = []
+            for at in radius:
+                reach = math.inf
+                if limit is not None and limit == limit:
+                    # Distances are rounded in proportion to the vectors; visiting one block too many changes nothing.
+                    reach = limit + 1e-6 + 1e-7 * (2 * norm + 3 * row[at] + limit)
+                if row[at] - radius[at] <= reach:
+                    visited.append({"cluster": at, "d": row[at], "reach": reach})
+            out.append(visited)
         return pd.Series(out)
 
-    visits = limited.select("id", "g", "v", F.explode(clusters_to_visit("v", "bound")).alias("c"))
-    visits = visits.select("id", "g", "v", F.col("c.cluster").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("bigint"), "c.last")).alias("block"))
+    near = limited.select("id", "g", "v", F.explode(clusters_to_visit("v", "bound")).alias("c")).select("id", "g", "v", "c.*")
+    within = (F.col("lo") <= F.col("d") + F.col("reach")) & (F.col("hi") >= F.col("d") - F.col("reach"))
+    visits = near.join(bands, "cluster").filter(within).select("id", "g", "v", "cluster", "block")
     partial = _search_blocks(visits, blocks, k, id_kind, metric)
     order = Window.partitionBy("query").orderBy("dist", "neighbour")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -210,6 +210,22 @@ def test_nearest_by_brute_force(spark, monkeypatch, metric):
         assert [got[i][k] for k in (1, 2, 3)] == order
 
 
+def test_nearest_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "MAX_PIVOTS", 8)
+    looks, search = [], similarity._search_blocks
+    monkeypatch.setattr(similarity, "_search_blocks", lambda visits, *a: looks.append((visits, a[0])) or search(visits, *a))
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=4) * 50 + rng.normal(size=(40, 4)) for _ in range(20)])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in similarity.nearest(df, df, "id", "v", 2).collect()}
+    for i in range(len(v)):
+        order = np.lexsort((np.arange(len(v)), np.linalg.norm(v - v[i], axis=1)))
+        assert [got[i, 1], got[i, 2]] == list(order[:2])
+    visits, blocks = looks[-1]
+    assert visits.count() <= 0.3 * len(v) * blocks.select("cluster", "block").distinct().count()
+
+
 def test_repetition_by_brute_force(spark):
     texts = ["ab" * 40, "".join(chr(97 + i % 26) + str(i) for i in range(60)), "short", "é" * 31]
     got = [r["r"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.is_repetitive("t").alias("r")).collect()]

@@ -139,11 +139,21 @@ def _(spark, d):
     return found.select("query", "rank", "neighbour", F.round("score", 5).alias("score"))
 
 
-@query("j7_padded_neighbours")
+@query(
+    "j7_padded_neighbours",
+    """
+    with p as (select a.vec_id as query, b.vec_id as neighbour, list_distance(a.embedding::double[], b.embedding::double[]) as d
+               from embeddings a join embeddings b on a.label <> b.label and b.vec_id < 3),
+    r as (select *, row_number() over (partition by query order by d, neighbour) as rank from p),
+    l as (select query, list(neighbour order by rank) as n from r where rank <= 4 group by 1)
+    select vec_id as query, array_to_string(list_resize(coalesce(n, []), 4, -1::bigint), ',') as neighbours from embeddings left join l on vec_id = query
+    """,
+)
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
-    found = similarity.nearest(vectors, vectors, "vec_id", "embedding", 4, group="label")
-    return similarity.padded_neighbours(found, vectors, "vec_id", 4)
+    # Three rows to find, so that most lists need padding.
+    found = similarity.nearest(vectors, vectors.filter("vec_id < 3"), "vec_id", "embedding", 4, group="label")
+    return similarity.padded_neighbours(found, vectors, "vec_id", 4).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 SIZED = f"sized as (select doc_id, {q.words('text')} as w from documents)"
@@ -229,7 +239,21 @@ def _(spark, d):
     return similarity.drop_listed_errors(docs, "doc_id", "text", bad, "text").select("doc_id")
 
 
-@query("d5_drop_near_duplicates")
+@query(
+    "d5_drop_near_duplicates",
+    f"""
+    with recursive a as materialized {_grams('doc_id', 'documents')}, an as (select id, count(*) as n from a group by 1),
+    s as (select x.id as x, y.id as y, count(*) as c from a x join a y on x.g = y.g and x.id < y.id group by 1, 2),
+    e as (select s.y, list(s.x) as earlier from s join an p on p.id = s.x join an r on r.id = s.y where c / (p.n + r.n - c) > 0.792 group by 1),
+    o as materialized (select y, earlier, row_number() over (order by y) as i from e),
+    pass as (select 0::bigint as i, []::bigint[] as gone
+             union all
+             select o.i, case when len(list_filter(o.earlier, lambda d: not list_contains(pass.gone, d))) > 0 then list_append(pass.gone, o.y) else pass.gone end
+             from pass join o on o.i = pass.i + 1),
+    removed as (select unnest(gone) as doc_id from (select gone from pass order by i desc limit 1))
+    select doc_id, lang from documents where doc_id not in (select doc_id from removed)
+    """,
+)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     return similarity.drop_near_duplicates(docs, "doc_id", "text").select("doc_id", "lang")
@@ -261,12 +285,16 @@ def _letter_counts(texts):
     return np.array([[t.lower().count(c) for c in "abcdefghijklmnop"] for t in texts])
 
 
-@query("c22_embed")
+@query(
+    "c22_embed",
+    """select item_id, array_to_string(list_transform(string_split('a b c d e f g h i j k l m n o p', ' '),
+         lambda c: len(lower(text)) - len(replace(lower(text), c, ''))), ',') as counts from benchmark where item_id >= 5""",
+)
 def _(spark, d):
     items = table(spark, d, "benchmark")
     done = items.filter("item_id < 5")
     made = similarity.embed(items, "item_id", "text", _letter_counts, done)
-    return made.select("item_id", F.size("embedding").alias("n"))
+    return made.select("item_id", F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",").alias("counts"))
 
 
 @query("c23_clusters")

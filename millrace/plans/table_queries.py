@@ -116,7 +116,20 @@ def _(spark, d):
     return sampling.interleave(documents(spark, d, "source"), "source", "doc_id", MIX).select("pos", "source", "doc_id")
 
 
-@query("l6_interleave_all_exhausted")
+@query(
+    "l6_interleave_all_exhausted",
+    f"""
+    with sizes as (select source, count(*) as n from documents group by 1),
+    grid as (select range as pos, {q.unit('interleave', 'range')} as u
+             from range((select cast(50 * sum(n) as bigint) from sizes))),
+    drawn as (select pos, {_mix_sql()} as source from grid),
+    turns as (select d.pos, d.source, row_number() over (partition by d.source order by d.pos) - 1 as turn, s.n
+              from drawn d join sizes s using (source)),
+    stop as (select max(pos) as p from turns where turn = n - 1),
+    items as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as turn from documents)
+    select t.pos, t.source, i.doc_id from turns t join items i on i.source = t.source and i.turn = t.turn % t.n, stop where t.pos <= stop.p
+    """,
+)
 def _(spark, d):
     return sampling.interleave(
         documents(spark, d, "source"), "source", "doc_id", MIX, stop="all_exhausted"

@@ -5,8 +5,8 @@ blocks; aligning it with the wrapper so far resolves each mismatch: text that di
 side lacks becomes optional, neighbours of one kind or a repeated run of kinds become a repeated group. Merging wrappers of
 wrappers works the same way, so partitions infer their own and these meet per host in two steps. All pages take part.
 
-The wrapper's expression then says which paths hold the article: inside ``article`` or ``main`` where the host has one, else all
-paths but those whose text never varies or is mostly links; menus, headers, footers, sidebars, notices, adverts, forms and
+The wrapper's expression then says which paths hold the article: inside ``article`` or ``main`` for a page with text there, else
+(a host may have several templates) all paths outside these but those whose text never varies or is mostly links; menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments are told by element, role and class names. Each page's blocks on those paths are its text.
 
 Defined results: null and empty pages have an empty text; a null url is a host of its own; repeated rows give repeated rows; an
@@ -215,8 +215,9 @@ def _is_main(key: str) -> bool:
     return body.split(".")[0] in ("article", "main") or role in ("main", "article")
 
 
-def main_paths(root: _Node) -> list[str]:
-    """Paths (keys joined by tabs) of the wrapper whose text is the article."""
+def main_paths(root: _Node) -> tuple[list[str], list[str]]:
+    """Paths (keys joined by tabs) of the wrapper whose text is the article: those inside ``article`` or ``main``, and those of
+    pages that have no text there."""
 
     def paths(node: _Node, path: str, main: bool, aside: bool):
         for c in node.children:
@@ -230,15 +231,13 @@ def main_paths(root: _Node) -> list[str]:
             yield from paths(c, here, inside, off)
 
     found = list(paths(root, "", False, False))
-    article = [p for p, _, inside, off in found if inside and not off]
-    if article:
-        return sorted(set(article))
+    article = {p for p, _, inside, off in found if inside and not off}
     best = []
-    for p, node, _, off in found:
+    for p, node, inside, off in found:
         fixed = node.pages > 1 and node.constant is not None
-        if not off and not fixed and node.link_chars * 2 <= node.chars:
+        if not off and not inside and not fixed and node.link_chars * 2 <= node.chars:
             best.append(p)
-    return sorted(set(best) | ({""} if root.pages else set()))
+    return sorted(article), sorted(set(best) | ({""} if root.pages else set()))
 
 
 def article_text(page: str | None, paths: frozenset[str]) -> str:
@@ -272,7 +271,7 @@ def host(url) -> F.Column:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, expression, paths) of every host in ``pages`` (url, html), stored."""
+    """(host, wrapper, expression, paths, slots) of every host in ``pages`` (url, html), stored."""
 
     def partial(batches):
         held: dict[str, _Node] = {}
@@ -296,14 +295,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         root = merged(pdf)
+        article, slots = main_paths(root)
         return pd.DataFrame(
-            {"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(root.plain())], "expression": [str(root)], "paths": [main_paths(root)]}
+            {"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(root.plain())], "expression": [str(root)], "paths": [article], "slots": [slots]}
         )
 
     parts = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(partial, "host string, wrapper string")
     spread = parts.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_FANOUT)))
     some_of = spread.groupBy("host", "share").applyInPandas(some, "host string, wrapper string")
-    return stored(some_of.groupBy("host").applyInPandas(final, "host string, wrapper string, expression string, paths array<string>"), "wrappers")
+    return stored(some_of.groupBy("host").applyInPandas(final, "host string, wrapper string, expression string, paths array<string>, slots array<string>"), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -312,12 +312,13 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
         known: dict[tuple, frozenset] = {}
         texts = []
-        for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
-            key = tuple(paths or ())
-            texts.append(article_text(page, known.setdefault(key, frozenset(key))))
+        for page, *both in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "slots"))):
+            keys = [tuple(paths or ()) for paths in both]
+            article, slots = (known.setdefault(key, frozenset(key)) for key in keys)
+            texts.append(article_text(page, article) or article_text(page, slots))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     named = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    met = named.join(wrappers.select("host", "paths"), "host", "left").select("page_id", "url", "html", "paths")
+    met = named.join(wrappers.select("host", "paths", "slots"), "host", "left").select("page_id", "url", "html", "paths", "slots")
     kind = pages.schema["page_id"].dataType.simpleString()
     return met.mapInArrow(per_batch(run), f"page_id {kind}, url string, text string")

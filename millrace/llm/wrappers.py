@@ -6,8 +6,10 @@ side lacks becomes optional, neighbours of one kind or a repeated run of kinds b
 wrappers works the same way, so partitions infer their own and these meet per host in two steps. All pages take part.
 
 The wrapper's expression then says which paths hold the article: inside ``article`` or ``main`` for a page with text there, else
-(a host may have several templates) all paths outside these but those whose text never varies or is mostly links; menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are told by element, role and class names. Each page's blocks on those paths are its text.
+(a host may have several templates) all paths outside these but those whose text is mostly links or never varies between pages
+that differ elsewhere; copies of a page, also with other menus or adverts, count as one. Menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments are told by element, role and class names. Each page's blocks on those paths are its
+text.
 
 Defined results: null and empty pages have an empty text; a null url is a host of its own; repeated rows give repeated rows; an
 empty table gives no rows. Extra columns are not read.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -87,16 +90,25 @@ def _walk(page: str):
 
 class _Node:
     """An element of the expression: key, optional?, repeated?, children, and its text: number of pages, constant or slot,
-    characters in all and in links. Groups have a key in parentheses and no text."""
+    characters in all and in links, least and greatest content hash of the pages (they differ when the pages are not all copies of
+    one). Groups have a key in parentheses and no text."""
 
-    __slots__ = ("children", "constant", "key", "link_chars", "many", "optional", "pages", "chars")
+    __slots__ = ("chars", "children", "constant", "greatest", "key", "least", "link_chars", "many", "optional", "pages")
 
-    def __init__(self, key, optional=False, many=False, children=(), pages=0, constant=None, chars=0, link_chars=0):
+    def __init__(self, key, optional=False, many=False, children=(), pages=0, constant=None, chars=0, link_chars=0, least=None, greatest=None):
         self.key, self.optional, self.many, self.children = key, optional, many, list(children)
         self.pages, self.constant, self.chars, self.link_chars = pages, constant, chars, link_chars
+        self.least, self.greatest = least, greatest
 
     def plain(self):
-        return [self.key, self.optional, self.many, [c.plain() for c in self.children], self.pages, self.constant, self.chars, self.link_chars]
+        text = [self.pages, self.constant, self.chars, self.link_chars, self.least, self.greatest]
+        return [self.key, self.optional, self.many, [c.plain() for c in self.children], *text]
+
+    def of_page(self, content: str) -> None:
+        if self.pages:
+            self.least = self.greatest = content
+        for c in self.children:
+            c.of_page(content)
 
     @classmethod
     def of(cls, data):
@@ -111,9 +123,10 @@ class _Node:
 
 def _merge(a: _Node, b: _Node) -> _Node:
     same = a.constant if not b.pages else b.constant if not a.pages else a.constant if a.constant == b.constant else None
+    hashes = [h for h in (a.least, b.least, a.greatest, b.greatest) if h is not None]
     return _Node(
         a.key, a.optional or b.optional, a.many or b.many, _align(a.children, b.children),
-        a.pages + b.pages, same, a.chars + b.chars, a.link_chars + b.link_chars,
+        a.pages + b.pages, same, a.chars + b.chars, a.link_chars + b.link_chars, min(hashes, default=None), max(hashes, default=None),
     )
 
 
@@ -170,13 +183,17 @@ def _fold(children: list[_Node]) -> list[_Node]:
 def page_tree(page: str) -> _Node:
     root = _Node("")
     stack, texts = [root], [[]]
+    places, content = [(False, False)], []  # (in an article, aside) of the open elements; what tells a page from its copies
 
     def close():
+        _, off = places.pop()
         node, parts = stack.pop(), texts.pop()
         whole = " ".join(" ".join(t for t, _ in parts).split())
         if whole:
             node.pages, node.constant, node.chars = 1, hash_text(whole), len(whole)
             node.link_chars = sum(len(t.strip()) for t, link in parts if link)
+            if not off and node.link_chars * 2 <= node.chars:
+                content.append(f"{node.key}\t{node.constant}")
         node.children = _fold(node.children)
         if stack:
             stack[-1].children.append(node)
@@ -187,10 +204,13 @@ def page_tree(page: str) -> _Node:
         elif kind == "open":
             stack.append(_Node(value))
             texts.append([])
+            inside = places[-1][0] or _is_main(value)
+            places.append((inside, places[-1][1] or _is_aside(value, inside)))
         else:
             close()
     while stack:
         close()
+    root.of_page(hash_text("\n".join(content)))
     return root
 
 
@@ -200,6 +220,7 @@ def hash_text(text: str) -> str:
     return xxhash.xxh3_64_hexdigest(text)
 
 
+@lru_cache(1 << 14)
 def _is_aside(key: str, in_article: bool) -> bool:
     body, _, role = key.rstrip("!").partition("@")
     name, *words = body.split(".")
@@ -210,6 +231,7 @@ def _is_aside(key: str, in_article: bool) -> bool:
     return name in _ASIDE_TAGS or any(w in _ASIDE_NAMES for w in words)
 
 
+@lru_cache(1 << 14)
 def _is_main(key: str) -> bool:
     body, _, role = key.partition("@")
     return body.split(".")[0] in ("article", "main") or role in ("main", "article")
@@ -234,7 +256,7 @@ def main_paths(root: _Node) -> tuple[list[str], list[str]]:
     article = {p for p, _, inside, off in found if inside and not off}
     best = []
     for p, node, inside, off in found:
-        fixed = node.pages > 1 and node.constant is not None
+        fixed = node.least != node.greatest and node.constant is not None
         if not off and not inside and not fixed and node.link_chars * 2 <= node.chars:
             best.append(p)
     return sorted(article), sorted(set(best) | ({""} if root.pages else set()))

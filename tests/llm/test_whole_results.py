@@ -14,3 +14,13 @@ def test_hosts_with_two_templates(spark):
     rows += [(10, None, "<main><p>No url</p></main>"), (11, "no url", "<body><div class=content><p>Other template</p></div></body>")]
     want = {i: f"Story {i} one\n\nStory {i} two" for i in range(3)} | {3: "In main", 10: "No url", 11: "Other template"}
     assert texts_of(spark, rows) == want
+
+
+def test_copies_of_a_page_delete_nothing(spark):
+    page = "<body><nav>{0}</nav><h1>Headline</h1><div class=text><p>Only paragraph</p></div></body>"
+    rows = [(i, f"http://m{i % 2}.b/{i}", page.format(f"menu {i}")) for i in range(6)] + [(9, "http://one.b/", page.format("m"))]
+    assert set(texts_of(spark, rows).values()) == {"Headline\n\nOnly paragraph"}
+    twice = "<body><p>Said twice</p><p>Said twice</p></body>"
+    assert texts_of(spark, [(1, "http://a.b/", twice)]) == {1: "Said twice\n\nSaid twice"}
+    two = ["<body><p>First story</p><div class=end>Fixed</div></body>", "<body><p>Second story</p><div class=end>Fixed</div></body>"]
+    assert texts_of(spark, [(i, "http://a.b/", two[i % 2]) for i in range(4)]) == {i: ("First story", "Second story")[i % 2] for i in range(4)}

@@ -6,28 +6,31 @@ each of its characters, the span of the text it came from, so a find in any dept
 before at the same place is not taken again, so the work ends.
 
 Defined results: a null or empty text has no finds. Repeated rows give repeated rows. Extra columns are not read
-(``redact`` keeps them). A base64 run is a layer if its bytes are readable text, or gzip or zlib data of readable text;
-unpacking stops with no layer beyond MAX_UNPACKED bytes, a guard against compression bombs.
+(``redact`` keeps them). A base64 run, also one wrapped in lines, is decoded at each of its first four characters; it is a layer if
+its bytes have a stretch of readable text as long as the shortest secret, or are gzip or zlib data;
+a body beyond MAX_UNPACKED bytes is taken in overlapping pieces of that size, so that compression bombs do not fill the memory.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_batch
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 64 << 20
+MAX_UNPACKED, OVERLAP = 64 << 20, 1 << 20  # of a piece of an unpacked body
+FEED, PIECE = 512, 1 << 20  # bytes given to and taken from a decompressor at once
 PLACEHOLDER = "[secret]"
 
 # The patterns of the three kinds and the least lengths of their matches.
@@ -41,6 +44,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));", re.I)
 _BASE64_LEAST = 19  # of the shortest secret, 14 bytes
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % _BASE64_LEAST)
+_WRAP = re.compile(r"(?<=[A-Za-z0-9+/_-])[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")  # as the shortest secret, and all that encodes one, has
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68](?=.)", re.S)  # gzip and zlib headers
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % _HEX_LEAST)
 
 
@@ -72,13 +78,13 @@ class _Layer:
     """A text whose character i comes from ``spans`` of the original; pieces are (first character, start, width).
 
     ``width`` 1 means that characters of the piece follow the original one by one, otherwise all of them stand for the whole
-    span [start, start + width).
+    span [start, start + width). The characters of a ``raw`` layer are bytes.
     """
 
-    __slots__ = ("at", "pieces", "text")
+    __slots__ = ("at", "pieces", "raw", "text")
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int]]):
-        self.text, self.pieces = text, pieces
+    def __init__(self, text: str, pieces: list[tuple[int, int, int]], raw: bool = False):
+        self.text, self.pieces, self.raw = text, pieces, raw
         self.at = [p[0] for p in pieces]
 
     def origin(self, i: int) -> tuple[int, int]:
@@ -140,53 +146,92 @@ def _escape_layer(layer: _Layer) -> _Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed body holds, through any number of compressed layers; other bytes as they are."""
-    seen = 0
-    while raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        unpack = zlib.decompressobj(47)
+def _inflated(raw: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(output, bytes read) of the compressed stream at ``at`` and those that follow it at once; (b"", end) after each whole one.
+    A cut or damaged stream gives what comes before the damage."""
+    view = memoryview(raw)
+    while _PACKED.match(raw, at):
+        unpack, read = zlib.decompressobj(47), at
         try:
-            inner = unpack.decompress(raw, MAX_UNPACKED)
-        except zlib.error:  # only looks like a header
-            break
-        raw = inner
-        seen += 1
-        if unpack.unconsumed_tail or seen > 1000:
-            return None
-    return raw
+            while not unpack.eof:
+                data = unpack.unconsumed_tail
+                if not data:
+                    data = view[read : read + FEED]
+                    read += len(data)
+                out = unpack.decompress(data, PIECE)
+                if out:
+                    yield out, read
+                elif not data:
+                    return
+        except zlib.error:  # also of what only looks like a header
+            return
+        at = read - len(unpack.unused_data)
+        yield b"", at
+
+
+def _packed_layers(layer: _Layer) -> Iterator[_Layer]:
+    """What gzip and zlib streams in a layer of bytes hold, at most about MAX_UNPACKED bytes at a time with an overlap."""
+    raw, done = layer.text.encode("latin-1", "replace"), 0
+    for m in _PACKED.finditer(raw):
+        if m.start() < done:
+            continue
+        end = m.start()
+        for out, end in _inflated(raw, m.start()):
+            done = done if out else end
+        if end == m.start():
+            continue
+        a, b = layer.span(m.start(), end)
+        held, fresh = bytearray(), 0
+        for out, read in chain(_inflated(raw, m.start()), [(b"", -1)]):
+            held += out
+            fresh += len(out)
+            if fresh and (len(held) >= MAX_UNPACKED or read < 0):
+                if _STRETCH.search(held) or _PACKED.search(held):
+                    yield _Layer(held.decode("latin-1"), [(0, a, max(2, b - a))], True)
+                del held[: max(0, len(held) - OVERLAP)]
+                fresh = 0
+
+
+def _joined(layer: _Layer) -> _Layer:
+    """The layer without the line ends (and indents) inside wrapped base64."""
+    if "\n" not in layer.text and "\r" not in layer.text and "\\" not in layer.text:
+        return layer
+    parts = [(m.start(), m.end(), "") for m in _WRAP.finditer(layer.text)]
+    return layer.replaced(parts) if parts else layer
 
 
 def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
+    """Runs of base64 letters at all four places where a group of four may start: separators such as ``/`` and ``_`` are letters too.
+    Bytes are characters of the new layer, so bytes that are no text only end a stretch of it."""
+    layer = _joined(layer)
     if _RUN64 not in layer.text.encode("utf-8", "surrogatepass").translate(_IS_BASE64):
         return
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        packed = _unpacked(raw)
-        text = None if packed is None else _readable(packed)
-        if text is None:
-            continue
-        if packed is not raw or len(text) != len(raw):  # compressed, or not one character for each byte
-            a, b = layer.span(m.start(), m.start() + len(body))
-            yield _Layer(text, [(0, a, max(2, b - a))])
-            continue
-        pieces = []
-        for i in range(0, len(raw), 3):  # three bytes for four characters
-            a, b = layer.span(m.start() + i // 3 * 4, m.start() + min(i // 3 * 4 + 4, len(body)))
-            pieces.append((i, a, max(2, b - a)))
-        yield _Layer(text, pieces)
+        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            body = run[skip:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            if len(body) < _BASE64_LEAST:
+                break
+            raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+            if _STRETCH.search(raw) or _PACKED.search(raw):
+                pieces = []
+                for i in range(0, len(raw), 3):  # three bytes for four characters
+                    at = m.start() + skip + i // 3 * 4
+                    a, b = layer.span(at, min(at + 4, m.start() + skip + len(body)))
+                    pieces.append((i, a, max(2, b - a)))
+                yield _Layer(raw.decode("latin-1"), pieces, True)
+
+
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    """The layers one step below, each made when it is asked for."""
+    for made in (_percent_layer, _escape_layer):
+        new = made(layer)
+        if new is not None and new.text:
+            yield new
+    yield from _base64_layers(layer)
+    if layer.raw:
+        yield from _packed_layers(layer)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -194,19 +239,19 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     text = text or ""
     base = sorted(base_finds(text), key=lambda f: (f[0], f[2], f[1]))
     found = set(base)
-    work, seen = [_Layer(text, [(0, 0, 1)])], {(text, 0, len(text))}
+    work, seen = [_unwrapped(_Layer(text, [(0, 0, 1)]))], set()
     while work:
-        layer = work.pop()
-        for new in (_percent_layer(layer), _escape_layer(layer), *_base64_layers(layer)):
-            if new is None or not new.text:
-                continue
-            mark = (new.text, *new.span(0, len(new.text)))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            work.append(new)
-            for start, end, kind in base_finds(new.text):
-                found.add((*new.span(start, end), kind))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        mark = (xxhash.xxh3_128_digest(new.text.encode("utf-8", "surrogatepass")), *new.span(0, len(new.text)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        work.append(_unwrapped(new))
+        for start, end, kind in base_finds(new.text):
+            found.add((*new.span(start, end), kind))
     return base, sorted(found, key=lambda f: (f[0], f[2], f[1]))
 
 

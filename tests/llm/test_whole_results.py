@@ -1,6 +1,10 @@
 """Inputs that the given tables do not hold: the training-data operators lose nothing on them."""
 
-from millrace.llm import wrappers
+import base64
+import gzip
+import random
+
+from millrace.llm import secrets, wrappers
 
 
 def texts_of(spark, rows):
@@ -24,3 +28,27 @@ def test_copies_of_a_page_delete_nothing(spark):
     assert texts_of(spark, [(1, "http://a.b/", twice)]) == {1: "Said twice\n\nSaid twice"}
     two = ["<body><p>First story</p><div class=end>Fixed</div></body>", "<body><p>Second story</p><div class=end>Fixed</div></body>"]
     assert texts_of(spark, [(i, "http://a.b/", two[i % 2]) for i in range(4)]) == {i: ("First story", "Second story")[i % 2] for i in range(4)}
+
+
+def found_in(text):
+    base, found = secrets.scan(text)
+    assert base == []
+    return [text[a:b] for a, b, _ in found]
+
+
+def test_base64_anywhere():
+    secret = b"some words before api_key='abcdefgh12345' and some more words behind it, so that lines wrap"
+    coded = base64.b64encode(secret).decode()
+    for before in ("https://h/p/", "id_", "x-", "ab/", "abc_"):
+        (got,) = found_in(f"{before}{coded}")
+        assert got in coded and b"abcdefgh1234" in base64.b64decode(coded[coded.index(got) // 4 * 4 :][: -(-len(got) // 4) * 4])
+    packed = base64.b64encode(gzip.compress(random.Random(1).randbytes(300).hex(" ").encode() + secret)).decode()
+    for end in ("\n", "\r\n", "\n  ", "\\n"):
+        for text, width in ((coded, 20), (coded, 76), (packed, 76), (coded, 15)):
+            wrapped = end.join(text[i : i + width] for i in range(0, len(text), width))
+            assert len(found_in(f"data: {wrapped}")) == 1, (end, width)
+            assert len(found_in(f"data{end}{wrapped}{end}More")) == 1, (end, width)
+    for odd in ("\xa0", "\u200b", "\ufeff", "\0", "é"):
+        assert len(found_in(base64.b64encode(f"{odd}password: abcdefgh12{odd} end{odd}".encode()).decode())) == 1, odd
+    assert len(found_in(base64.b64encode(b"\xff\x00\x80 password: abcdefgh12 \xfe").decode())) == 1
+    assert "abcdefgh" not in secrets.redacted(f"see https://h/p/{coded}") and secrets.redacted(f"id_{coded}").count(secrets.PLACEHOLDER) == 1

@@ -7,8 +7,9 @@ before at the same place is not taken again, so the work ends.
 
 Defined results: a null or empty text has no finds. Repeated rows give repeated rows. Extra columns are not read
 (``redact`` keeps them). A base64 run, also one wrapped in lines, is decoded at each of its first four characters; it is a layer if
-its bytes have a stretch of readable text as long as the shortest secret, or are gzip or zlib data;
-a body beyond MAX_UNPACKED bytes is taken in overlapping pieces of that size, so that compression bombs do not fill the memory.
+its bytes have a stretch of readable text as long as the shortest secret, or a gzip or zlib header. Compressed streams start
+anywhere in the bytes of an encoding and may follow one another; a cut one gives what comes before the cut. A body beyond
+MAX_UNPACKED bytes is taken in pieces of that size that overlap by OVERLAP, so that compression bombs do not fill the memory.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % _BASE64_LEAST)
 _WRAP = re.compile(r"(?<=[A-Za-z0-9+/_-])[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")  # as the shortest secret, and all that encodes one, has
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68](?=.)", re.S)  # gzip and zlib headers
+_PERCENT_PACKED = re.compile(r"%1f%8b|(?:%78|x)%(?:01|5e|9c|da)|(?:%78|x)\^", re.I)
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})")
+_BYTE_ESCAPE = re.compile(_ESCAPE.pattern + r"|(?-i:\\[abfnrtv0'\"\\/]|&(?:amp|lt|gt|quot);)", re.I)
+_SIMPLE = {"\\a": "\a", "\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\v": "\v", "\\0": "\0", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"'}
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % _HEX_LEAST)
 
 
@@ -192,6 +197,32 @@ def _packed_layers(layer: _Layer) -> Iterator[_Layer]:
                 fresh = 0
 
 
+def _percent_packed(layer: _Layer) -> Iterator[_Layer]:
+    """What compressed streams hold whose bytes are percent escapes and plain characters (``+`` as itself and as a space)."""
+    if "%" not in layer.text or not _PERCENT_PACKED.search(layer.text):
+        return
+    new = layer.replaced([(m.start(), m.end(), chr(int(m[1], 16))) for m in _BYTE.finditer(layer.text)])
+    yield from _packed_layers(new)
+    if "+" in layer.text:
+        spaced = _Layer(layer.text.replace("+", " "), layer.pieces)
+        yield from _packed_layers(spaced.replaced([(m.start(), m.end(), chr(int(m[1], 16))) for m in _BYTE.finditer(spaced.text)]))
+
+
+def _escape_packed(layer: _Layer) -> Iterator[_Layer]:
+    """What compressed streams hold whose bytes are Unicode or byte escapes, one-letter escapes and plain characters."""
+    if ("\\" not in layer.text and "&#" not in layer.text) or not _ESCAPE.search(layer.text):
+        return
+    parts = []
+    for m in _BYTE_ESCAPE.finditer(layer.text):
+        digits = next((g for g in (m[1], m[2], m[3], m[4]) if g), None)
+        if m[5] or digits:
+            code = int(m[5]) if m[5] else int(digits, 16)
+            parts.append((m.start(), m.end(), chr(code) if code < 256 else "?"))
+        else:
+            parts.append((m.start(), m.end(), _SIMPLE.get(m[0], m[0][-1])))
+    yield from _packed_layers(layer.replaced(parts))
+
+
 def _joined(layer: _Layer) -> _Layer:
     """The layer without the line ends (and indents) inside wrapped base64."""
     if "\n" not in layer.text and "\r" not in layer.text and "\\" not in layer.text:
@@ -230,6 +261,8 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
         if new is not None and new.text:
             yield new
     yield from _base64_layers(layer)
+    yield from _percent_packed(layer)
+    yield from _escape_packed(layer)
     if layer.raw:
         yield from _packed_layers(layer)
 

@@ -2,7 +2,10 @@
 
 import base64
 import gzip
+import json
 import random
+import urllib.parse
+import zlib
 
 from millrace.llm import secrets, wrappers
 
@@ -52,3 +55,31 @@ def test_base64_anywhere():
         assert len(found_in(base64.b64encode(f"{odd}password: abcdefgh12{odd} end{odd}".encode()).decode())) == 1, odd
     assert len(found_in(base64.b64encode(b"\xff\x00\x80 password: abcdefgh12 \xfe").decode())) == 1
     assert "abcdefgh" not in secrets.redacted(f"see https://h/p/{coded}") and secrets.redacted(f"id_{coded}").count(secrets.PLACEHOLDER) == 1
+
+
+def test_compressed_bytes_in_any_escape(monkeypatch):
+    secret = random.Random(2).randbytes(200).hex(" ").encode() + b" password: abcdefgh12 and more"
+    for packed in (gzip.compress(secret), zlib.compress(secret), zlib.compress(secret, 1), gzip.compress(zlib.compress(secret))):
+        letters = packed.decode("latin-1")
+        forms = {
+            "quote": urllib.parse.quote(packed), "plus": urllib.parse.quote_plus(packed), "all": "".join(f"%{b:02x}" for b in packed),
+            "hex": "".join(f"\\x{b:02x}" for b in packed), "repr": repr(packed), "json": json.dumps(letters),
+            "units": "".join(f"\\u{b:04x}" for b in packed), "entities": "".join(f"&#{b};" for b in packed),
+            "twice": urllib.parse.quote(urllib.parse.quote(packed)), "base64": base64.b64encode(b"head " + packed).decode(),
+        }
+        for name, text in forms.items():
+            assert found_in(f"before {text} after"), name
+            assert secrets.PLACEHOLDER in secrets.redacted(f"before {text} after"), name
+    filler = gzip.compress(b"nothing here ")
+    assert len(found_in(base64.b64encode(filler + gzip.compress(secret) + filler).decode())) == 1
+    monkeypatch.setattr(secrets, "MAX_UNPACKED", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    for at in (0, 4990, 5000, 49_995):
+        large = base64.b64encode(gzip.compress(b"." * at + b" password: abcdefgh12 " + b"." * (60_000 - at))).decode()
+        assert [len(x) for x in found_in(large)] == [len(large.rstrip("="))], at
+
+
+def test_bodies_of_any_size():
+    large = base64.b64encode(gzip.compress(bytes(secrets.MAX_UNPACKED + 1000) + b" password: abcdefgh12 ")).decode()
+    assert len(found_in(large)) == 1

@@ -1,11 +1,12 @@
 """Quotation linking: conversations in reply order, without quotes.
 
 Messages are cut into their own text and quoted passages with nesting levels. Own passages (the whole text, its paragraphs
-and its longer lines) and quoted ones are normalised and hashed; a quoted hash is joined to the first message that wrote it,
-in the same conversation if there is one, else in any other one. The reply's parent is the original of its outermost quote with
+and its lines) and quoted ones are normalised and hashed; a quoted hash is joined to the first message that wrote it,
+in the same conversation if there is an earlier one, else in any other one. Short lines that are neither a paragraph nor a whole
+text are joined inside their conversation only. The reply's parent is the original of its outermost quote with
 the most matched characters; without a linked quote it is the turn before.
 
-Originals are one row per (conversation, hash) or per hash before the join, so a passage that many messages share meets its
+Originals are one row per (conversation, hash), or per hash with the first ones of two conversations, before the join, so a passage that many messages share meets its
 quotes once. Positions count turns in buckets of TURNS, so a conversation of any length is many small windows.
 
 Defined results: a null text is empty; null conversation ids are one conversation; rows that share a conversation and a turn are
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import per_batch, stored
 
 TURNS = 1024
-LINE_CHARS = 20  # shorter lines are matched only as part of a paragraph or a whole text
+LINE_CHARS = 20  # shorter lines are too common to link different conversations
 _QUOTE = re.compile(r"((?:[ \t]{0,3}>)+)[ \t]?(.*)", re.S)
 _SAID = re.compile(r"\s*(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|écrit|escribió)\s*:\s*", re.I)
 
@@ -35,14 +36,15 @@ def _digest(text: str) -> str | None:
     return xxhash.xxh3_128_hexdigest(plain) if plain else None
 
 
-def passages(text: str) -> dict[str, int]:
-    """Hash and length of a whole text, its paragraphs and its longer lines."""
-    parts = [text, *re.split(r"\n[ \t]*\n", text), *(line for line in text.split("\n") if len(line.strip()) >= LINE_CHARS)]
+def passages(text: str) -> dict[str, tuple[int, bool]]:
+    """Hash of a whole text, its paragraphs and its lines, with the length and whether it is only a short line."""
+    lines = [line for line in text.split("\n") if line.strip()]
+    parts = [(part, False) for part in (text, *re.split(r"\n[ \t]*\n", text))] + [(line, len(line.strip()) < LINE_CHARS) for line in lines]
     found = {}
-    for part in parts:
+    for part, short in parts:
         digest = _digest(part)
         if digest:
-            found[digest] = len(" ".join(part.split()))
+            found[digest] = (len(" ".join(part.split())), short and found.get(digest, (0, True))[1])
     return found
 
 
@@ -68,25 +70,26 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 PARSED = (
-    "conv_id long, turn long, role string, text string, own array<string>, n_quotes int, "
-    "quoted array<struct<level: int, hash: string, chars: int>>"
+    "conv_id long, turn long, role string, text string, own array<struct<hash: string, short: boolean>>, n_quotes int, "
+    "quoted array<struct<level: int, hash: string, chars: int, short: boolean>>"
 )
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text without quotes, own, n_quotes, quoted) of every message."""
-    quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("chars", pa.int32())]))
+    passage = pa.list_(pa.struct([("hash", pa.string()), ("short", pa.bool_())]))
+    quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("chars", pa.int32()), ("short", pa.bool_())]))
 
     def run(batch: pa.RecordBatch):
         texts, own, counts, quoted = [], [], [], []
         for text in batch.column("text").to_pylist():
             body, quotes = split_quotes(text)
             texts.append(body)
-            own.append(list(passages(body)))
+            own.append([{"hash": h, "short": short} for h, (_, short) in passages(body).items()])
             counts.append(len(quotes))
-            quoted.append([{"level": lv, "hash": h, "chars": n} for lv, q in quotes for h, n in passages(q).items()])
+            quoted.append([{"level": lv, "hash": h, "chars": n, "short": short} for lv, q in quotes for h, (n, short) in passages(q).items()])
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.string())), pa.array(counts, pa.int32()), pa.array(quoted, quote)],
+            [*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(texts, pa.string()), pa.array(own, passage), pa.array(counts, pa.int32()), pa.array(quoted, quote)],
             ["conv_id", "turn", "role", "text", "own", "n_quotes", "quoted"],
         )
 
@@ -97,16 +100,20 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
 def _links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, n_linked, parent_conv, parent_turn) of messages with a linked quote."""
-    quotes = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.chars").distinct()
+    quotes = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.chars", "q.short").distinct()
     wanted = quotes.select("hash").distinct()
-    own = parsed.select("conv_id", "turn", F.explode("own").alias("hash")).join(wanted, "hash", "left_semi")
-    inside = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("in_turn"))
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    own = parsed.select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", "o.hash", "o.short").join(wanted, "hash", "left_semi")
+    long = F.when(~F.col("short"), F.struct("conv_id", "turn"))
+    inside = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("in_turn"), F.min(long).alias("original"))
+    # The first originals of two conversations: one of them is not the quoting conversation. Spark cuts to two before the shuffle.
+    order = Window.partitionBy("hash").orderBy("original")
+    firsts = inside.filter("original is not null").select("hash", "original", F.row_number().over(order).alias("nth")).filter("nth <= 2")
+    anywhere = firsts.groupBy("hash").agg(F.min("original").alias("first"), F.max(F.when(F.col("nth") == 2, F.col("original"))).alias("second"))
     near = inside.select(F.col("conv_id").alias("i_conv"), F.col("hash").alias("i_hash"), "in_turn")
     met = quotes.join(near, (F.col("hash") == F.col("i_hash")) & F.col("conv_id").eqNullSafe(F.col("i_conv")), "left").join(anywhere, "hash", "left")
     earlier = F.col("in_turn") < F.col("turn")
-    other = F.col("first").isNotNull() & ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
-    original = F.when(earlier, F.struct("conv_id", F.col("in_turn").alias("turn"))).when(other, F.col("first"))
+    other = F.when(F.col("first").isNotNull() & F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
+    original = F.when(earlier, F.struct("conv_id", F.col("in_turn").alias("turn"))).when(~F.col("short"), other)
     found = met.withColumn("original", original).filter("original is not null")
     per_original = found.groupBy("conv_id", "turn", "original").agg(
         F.max("chars").alias("chars"), F.min("level").alias("level"), F.countDistinct("hash").alias("hashes")

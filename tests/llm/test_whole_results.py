@@ -7,7 +7,7 @@ import random
 import urllib.parse
 import zlib
 
-from millrace.llm import secrets, wrappers
+from millrace.llm import quotations, secrets, wrappers
 
 
 def texts_of(spark, rows):
@@ -83,3 +83,17 @@ def test_compressed_bytes_in_any_escape(monkeypatch):
 def test_bodies_of_any_size():
     large = base64.b64encode(gzip.compress(bytes(secrets.MAX_UNPACKED + 1000) + b" password: abcdefgh12 ")).decode()
     assert len(found_in(large)) == 1
+
+
+def test_quotes_repeated_in_the_quoting_conversation(spark):
+    said = "The meeting was moved to Friday morning."
+    rows = [
+        (1, 0, "user", f"> {said}\n\n{said}\n\nIs that so?"), (1, 1, "user", said),
+        (2, 3, "user", said), (3, 0, "user", f"> {said}\nThanks."),
+        (4, 0, "user", "Shall we meet?\nYes, on Friday.\nBring the book."), (4, 1, "user", "Fine."), (4, 2, "user", "> Yes, on Friday.\nGood."),
+        (5, 0, "user", "> Yes, on Friday.\nNo."), (6, 0, "user", "> Fine.\nElsewhere."),
+    ]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_conv, r.parent_turn) for r in quotations.reply_ordered(chats).collect()}
+    assert got[1, 0] == (1, 2, 3) and got[3, 0] == (1, 1, 0)
+    assert got[4, 2] == (1, 4, 0) and got[5, 0] == (0, None, None) and got[6, 0] == (1, 4, 1)

@@ -26,6 +26,7 @@ from .markup import INLINE, attributes, tokens
 WIDTH = 64
 LEVEL = 6
 SCHEME = "urn:sha256:"
+MEDIA = frozenset("img video audio source".split())
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -118,11 +119,12 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 
 def parse_sequence(page: str | None) -> list[dict]:
-    """Text blocks and media references in page order; a figcaption belongs to the media of its figure."""
+    """Text blocks and media references in page order; a figcaption, wherever it stands, belongs to all media of its figure."""
     items: list[dict] = []
     held: list[str] = []
-    figure: list[int] | None = None
+    figures: list[dict] = []  # open ones: numbers of their media, places and texts of their captions
     caption: list[str] | None = None
+    lone: list[tuple[int, dict]] = []  # captions without media, by the item they stand before
 
     def flush():
         text = " ".join("".join(held).split())
@@ -130,35 +132,63 @@ def parse_sequence(page: str | None) -> list[dict]:
         if text:
             items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption():
+        nonlocal caption
+        text = " ".join("".join(caption).split())
+        caption = None
+        if text:
+            figures[-1]["captions"].append((len(items), text))
+
+    def end_figure():
+        if caption is not None:
+            end_caption()
+        figure = figures.pop()
+        if not figure["captions"]:
+            for outer in figures[-1:]:
+                outer["media"] += figure["media"]
+        elif figure["media"]:
+            for i in figure["media"]:
+                items[i]["caption"] = " ".join(t for _, t in figure["captions"])
+        else:
+            lone.extend((at, {"kind": "text", "text": t, "digest": None, "caption": None}) for at, t in figure["captions"])
+
     for kind, name, rest in tokens(page or ""):
         if kind == "text":
             (held if caption is None else caption).append(rest)
-        elif name == "img" and kind == "start":
-            flush()
+        elif name in MEDIA and kind == "start":
             found = attributes(rest)
+            if name != "img" and "src" not in found:  # its sources name it
+                if caption is None:
+                    flush()
+                continue
+            flush()
             source = found.get("src", "")
             digest = source.removeprefix(SCHEME).lower() if source.startswith(SCHEME) else None
             items.append({"kind": "media", "text": None, "digest": digest, "caption": found.get("alt")})
-            if figure is not None:
-                figure.append(len(items) - 1)
+            for figure in figures[-1:]:
+                figure["media"].append(len(items) - 1)
         elif name == "figure":
             flush()
-            figure = [] if kind == "start" else None
-        elif name == "figcaption" and figure is not None:
+            if kind == "start":
+                if caption is not None:
+                    end_caption()
+                figures.append({"media": [], "captions": []})
+            elif figures:
+                end_figure()
+        elif name == "figcaption" and figures:
+            if caption is not None:
+                end_caption()
             if kind == "start":
                 flush()
                 caption = []
-            elif caption is not None:
-                text = " ".join("".join(caption).split())
-                for i in figure:
-                    items[i]["caption"] = text
-                caption = None
         elif kind != "raw" and name not in INLINE:
             if caption is None:
                 flush()
-    if caption is not None:
-        held.extend(caption)
+    while figures:
+        end_figure()
     flush()
+    for at, item in reversed(sorted(lone, key=lambda x: x[0])):
+        items.insert(at, item)
     return [{"position": i, **item} for i, item in enumerate(items)]
 
 

@@ -7,7 +7,7 @@ import random
 import urllib.parse
 import zlib
 
-from millrace.llm import quotations, secrets, wrappers
+from millrace.llm import media, quotations, secrets, wrappers
 
 
 def texts_of(spark, rows):
@@ -97,3 +97,21 @@ def test_quotes_repeated_in_the_quoting_conversation(spark):
     got = {(r.conv_id, r.turn): (r.n_linked, r.parent_conv, r.parent_turn) for r in quotations.reply_ordered(chats).collect()}
     assert got[1, 0] == (1, 2, 3) and got[3, 0] == (1, 1, 0)
     assert got[4, 2] == (1, 4, 0) and got[5, 0] == (0, None, None) and got[6, 0] == (1, 4, 1)
+
+
+def items_of(page):
+    items = media.parse_sequence(page)
+    assert [i["position"] for i in items] == list(range(len(items)))
+    return [i["text"] if i["kind"] == "text" else (i["digest"], i["caption"]) for i in items]
+
+
+def test_captions_anywhere_and_all_media():
+    image = "<img src='urn:sha256:{}' alt=x>".format
+    assert items_of(f"a<figure><figcaption>Cap <b>one</b></figcaption>{image('A')}</figure>b") == ["a", ("a", "Cap one"), "b"]
+    assert items_of(f"<figure>{image('A')}<figcaption>Cap</figcaption>{image('B')}</figure>{image('C')}") == [("a", "Cap"), ("b", "Cap"), ("c", "x")]
+    assert items_of("a<figure><figcaption>Cap</figcaption><table><tr><td>1</table></figure>b") == ["a", "Cap", "1", "b"]
+    assert items_of("a<figure><p>b</p><figcaption>One</figcaption><figcaption>Two</figcaption></figure>c") == ["a", "b", "One", "Two", "c"]
+    assert items_of(f"<figure><figcaption>Out</figcaption><figure>{image('A')}</figure></figure>") == [("a", "Out")]
+    assert items_of(f"<figure>{image('A')}<figcaption>Cut") == [("a", "Cut")]
+    page = "a<video src='urn:sha256:AA'>old</video><audio><source src='urn:sha256:BB'><source src=c.mp3></audio><picture><source srcset=y>" + image("D")
+    assert items_of(page) == ["a", ("aa", None), "old", ("bb", None), (None, None), ("d", "x")]

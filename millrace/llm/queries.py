@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
+from . import decontamination, media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,46 @@ def op10_media_sequences(spark, sf_dir):
     )
 
 
+@query
+def op13_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_SQL["op13_benchmark_decontamination"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + 9], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), places as (
+  select r, n, i, array_to_string(w[i : i + n - 1], ' ') as win
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from windows))
+), found as (
+  select r, i, n, item_id from places join windows using (n, win)
+), hits as (
+  select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + n)) as k from found) group by r
+), items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by encode(item)) as names
+  from (select distinct r, item_id::varchar as item from found where item_id is not null) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (r) left join items using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
+from . import clustering, decontamination, media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,58 @@ def op10_media_sequences(spark, sf_dir):
     )
 
 
+@query
+def op12_bisector_clusters(spark, sf_dir):
+    vectors = clustering.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return clustering.cluster_report(*clustering.cluster(vectors))
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds written out: distances of all pairs in long form, the nearest, the exact floor of the mean."""
+    parts = [
+        """kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x : floor(x::double * 64)::bigint) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0
+), x as materialized (select r, unnest(e) as v, unnest(range(64)) as d from kept
+), p0 as materialized (
+  select c, unnest(e) as v, unnest(range(64)) as d from (
+    select (row_number() over (order by sha256('1:' || vec_id) nulls last, e) - 1)::int as c, e from kept qualify c < %d)
+)"""
+        % k
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} as materialized (
+  select r, c, distance from (
+    select r, c, sum((x.v - p{i}.v) * (x.v - p{i}.v))::bigint as distance from x join p{i} using (d) group by r, c
+  ) qualify row_number() over (partition by r order by distance, c) = 1
+)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""p{i + 1} as materialized (
+  select c, d, coalesce(m.v, p{i}.v) as v from p{i} left join (
+    select c, d, ((s - ((s % n) + n) % n) // n)::bigint as v
+    from (select c, d, sum(v)::bigint as s, count(*) as n from x join a{i} using (r) group by c, d)
+  ) m using (c, d)
+)"""
+            )
+    return (
+        "with "
+        + ", ".join(parts)
+        + f"""
+select vec_id, c as cluster, distance, (sum(distance) over (partition by c))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, centroid_sha256
+from kept join a{rounds} using (r) join (
+  select c, sha256(string_agg(v::varchar, ',' order by d)) as centroid_sha256 from p{rounds} group by c
+) using (c)
+"""
+    )
+
+
+_SQL["op12_bisector_clusters"] = _cluster_sql()
+
+
 @query
 def op13_benchmark_decontamination(spark, sf_dir):
     found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

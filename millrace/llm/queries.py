@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontamination, media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
+from . import alignment, clustering, decontamination, media, mixing, near_duplicates, packing, quotations, secrets, token_files, topk, toxicity, wrappers
 from .common import prepared, read_table, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,11 @@ def op10_media_sequences(spark, sf_dir):
     )
 
 
+@query
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.alignment_report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_bisector_clusters(spark, sf_dir):
     vectors = clustering.integer_vectors(read_table(spark, sf_dir, "embeddings"))

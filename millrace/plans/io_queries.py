@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import registry, rewards
 from ..functions.text import word_count, words
 from ..operators import corpus
 from ..sources import readers, writers
+from ..sources.traces import TraceStore
 from ..streaming import stateful
 from . import sqltext as q
 from .registry import query, table
@@ -179,6 +181,23 @@ def _(spark, d):
     return writers.image_lists(named, "page_id", "img").select("page_id", F.array_join("images", ",").alias("images"))
 
 
+@query(
+    "k4_image_files",
+    """
+    select lpad(page_id::varchar, 6, '0') || case i when 0 then '_00.png' else '_01.jpg' end as file, octet_length(encode(html)) + 8 as n_bytes,
+      md5((case i when 0 then unhex('89504E470D0A1A0A') else unhex('FFD8FFE000104A46') end) || encode(html)) as digest
+    from pages, (select unnest([0, 1]) as i)
+    """,
+)
+def _(spark, d):
+    folder = writers.scratch_path(spark, "images")
+    named = writers.named_images(readers.image_rows(page_images(spark, d), "page_id"), "page_id")
+    writers.write_images(named, folder)
+    writers.write_images(named, folder)  # a second run writes the same files
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 @query("k7_write_shards", "select count(*) as n, true as all_small from orders")
 def _(spark, d):
     path = writers.scratch_path(spark, "shards")
@@ -216,20 +235,80 @@ def _(spark, d):
     return spark.read.schema("total bigint, correct bigint").json(f"{folder}/metrics")
 
 
+TRACE = "id bigint, event_type string, value double, created_at timestamp"
+
+
+def trace_rows(spark, d):
+    """Events as traces of two sessions each."""
+    at = F.col("ts").cast("timestamp")
+    sessions = F.array(F.col("user_id"), F.col("user_id") + 1000)
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "value", at.alias("created_at"), sessions.alias("session_uids"))
+
+
+def trace_store(spark, name):
+    return TraceStore(spark, writers.scratch_path(spark, name), TRACE)
+
+
 @query(
     "k11_append_traces",
-    "select event_id as trace_id, unnest([user_id, user_id + 1000]) as session_uid from events",
+    "select event_id as trace_id, unnest([user_id, user_id + 1000])::varchar as session_uid from events",
+)
+def _(spark, d):
+    store, rows = trace_store(spark, "traces"), trace_rows(spark, d)
+    store.append(rows.filter("event_type <> 'click'"))
+    store.append(rows)  # repeats what is stored, and adds the rest
+    store.append(rows, 1)  # is committed, and adds nothing
+    found = store.bridge().join(store.traces().select(F.col("id").alias("trace_id")), "trace_id")
+    return found.select("trace_id", "session_uid")
+
+
+@query(
+    "k11_replace_traces",
+    """
+    select event_id as id, round(case when event_type = 'click' then value + 1 else value end, 6) as value, ts::timestamp as created_at,
+      case when event_type = 'click' then 1 else 2 end::bigint as n_sessions from events
+    """,
 )
 def _(spark, d):
-    folder = writers.scratch_path(spark, "traces")
-    batch = table(spark, d, "events").select(
-        F.col("event_id").alias("id"), "event_type", F.array(F.col("user_id"), F.col("user_id") + 1000).alias("session_uids"), F.col("ts").alias("created_at")
+    store, rows = trace_store(spark, "traces"), trace_rows(spark, d)
+    store.append(rows)
+    later = rows.filter("event_type = 'click'").withColumn("created_at", F.timestamp_add("DAY", F.lit(40), "created_at"))
+    store.append(later.withColumn("value", F.col("value") + 1).withColumn("session_uids", F.slice("session_uids", 1, 1)), replace=True)
+    links = store.bridge().groupBy(F.col("trace_id").alias("id")).agg(F.count(F.lit(1)).alias("n_sessions"))
+    found = store.traces().join(links, "id")
+    return found.select("id", F.round("value", 6).alias("value"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "n_sessions")
+
+
+@query(
+    "k11_appends_read_level",
+    "select i::bigint as batch, count(*) as added, 0 as files_read, 0 as rows_read from events, (select unnest(range(8)) as i) where event_id * 8 // (select max(event_id) + 1 from events) = i group by 1",
+)
+def _(spark, d):
+    """New ids in eight appends: none has to read stored rows."""
+    store, rows = trace_store(spark, "traces"), trace_rows(spark, d)
+    total = rows.agg(F.max("id") + 1).first()[0]
+    part = F.floor(F.col("id") * 8 / total)
+    reports = [store.append(rows.filter(part == i)) for i in range(8)]
+    return spark.createDataFrame(
+        [(r.batch, r.added, r.files_read, r.rows_read) for r in reports], "batch bigint, added bigint, files_read int, rows_read int"
     )
-    # The second append repeats what is stored, and adds nothing.
-    writers.append_traces(batch.filter("event_type <> 'click'"), f"{folder}/traces", f"{folder}/bridge")
-    writers.append_traces(batch, f"{folder}/traces", f"{folder}/bridge")
-    stored = spark.read.parquet(f"{folder}/traces").select(F.col("id").alias("trace_id"))
-    return spark.read.parquet(f"{folder}/bridge").join(stored, "trace_id").select("trace_id", "session_uid")
+
+
+@query(
+    "j2_store_since",
+    """
+    with t as (select event_id as id, ts from events where event_type in ('click', 'view') and user_id % 10 = 3),
+    m as (select max(ts) - interval 5 day as since from events)
+    select id from t, m where ts >= since
+    """,
+)
+def _(spark, d):
+    store, rows = trace_store(spark, "traces"), trace_rows(spark, d)
+    store.append(rows)
+    since = rows.agg(F.max("created_at") - F.expr("interval 5 days")).first()[0]
+    sessions = rows.select(F.explode("session_uids").alias("s")).filter("s < 1000 and s % 10 = 3").select(F.col("s").cast("string").alias("session_uid")).distinct()
+    found = store.query(sessions, since)
+    return found.filter(F.col("event_type").isin("click", "view")).select("id")
 
 
 # --- user functions -----------------------------------------------------------------------------
@@ -320,13 +399,102 @@ def _(spark, d):
     return finished(stateful.take_split(stream_of(spark, d, "events", EVENTS), "event_type", "event_id", 40, 5), spark, "take")
 
 
-@query("t2_shuffled_batches", "select event_id, event_type from events")
+def event_files(spark, d, parts=4):
+    """Events as a stream of files that arrive one after another, a micro-batch each."""
+    folder = writers.scratch_path(spark, "event-files")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    total = events.agg(F.max("event_id") + 1).first()[0]
+    for part in range(parts):
+        some = events.filter(F.floor(F.col("event_id") * parts / total) == part)
+        some.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def resumed(spark, stream, name, still_open=None, stop_at=1):
+    """Rows of a stream that is stopped after a micro-batch is written and started again from its checkpoint; not stopped if none."""
+    out, checkpoint = writers.scratch_path(spark, name), writers.scratch_path(spark, f"{name}-state")
+    for stop in (stop_at, None):
+        run = stateful.batch_writer(stream, out, stop).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+        except StreamingQueryException as error:
+            if stop is None or f"stopped after batch {stop}" not in str(error):
+                raise
+    done = spark.read.schema(stream.schema).parquet(out).drop("batch")
+    return done if still_open is None else done.unionByName(still_open(spark, checkpoint))
+
+
+@query(
+    "t2_carried_shuffle",
+    f"""
+    with recursive e as (select event_type as lane, event_id, row_number() over (partition by event_type order by event_id) - 1 as n from events),
+    h as (select lane, event_id, n, (('0x' || substr(md5('42|buffer|' || lane || '|' || n), 1, 12))::bigint % 64 + 1)::int as pos from e),
+    r as (
+      select lane, n, [event_id] as buf, null::bigint as sent from h where n = 0
+      union all
+      select h.lane, h.n, case when h.n < 64 then list_append(buf, event_id) else list_concat(list_append(buf[: pos - 1], event_id), buf[pos + 1 :]) end,
+        case when h.n < 64 then null else buf[pos] end
+      from r join h on h.lane = r.lane and h.n = r.n + 1
+    ),
+    last as (select lane, n + 1 as n, unnest(buf) as event_id, unnest(range(len(buf))) as pos, len(buf) as size from r qualify n = max(n) over (partition by lane))
+    select lane as event_type, n - 64 as place, sent as event_id from r where sent is not null
+    union all
+    select lane, n - size + row_number() over (partition by lane order by {q.shuffled("rest", "lane || '|' || pos")}) - 1, event_id from last
+    """,
+)
+def _(spark, d):
+    stream = event_files(spark, d)
+    shuffled = stateful.shuffle_stream(stream, "event_type", "event_id", 64)
+    rest = lambda s, checkpoint: stateful.open_buffers(s, checkpoint, "event_type", stream.schema)
+    return resumed(spark, shuffled, "shuffled", rest).select("event_type", "place", "row.event_id")
+
+
+@query(
+    "t8_resumed_queue",
+    """with r as (select event_type, event_id, row_number() over (partition by event_type order by event_id desc) as k, count(*) over (partition by event_type) as n from events)
+       select event_type, string_agg(event_id::varchar, ',' order by event_id) as kept, max(n) as produced, greatest(max(n) - 25, 0) as dropped from r where k <= 25 group by 1""",
+)
 def _(spark, d):
-    out = writers.scratch_path(spark, "shuffled")
-    events = stream_of(spark, d, "events", EVENTS).select("event_id", "event_type")
-    writer = stateful.shuffled_batches(events, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), ["event_id"])
-    writer.option("checkpointLocation", writers.scratch_path(spark, "shuffled-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("event_id", "event_type")
+    reports = resumed(spark, stateful.bounded_queue(event_files(spark, d), "event_type", "event_id", 25), "queue")
+    newest = reports.groupBy("event_type").agg(F.max_by(F.struct("kept", "dropped"), "produced").alias("r"), F.max("produced").alias("produced"))
+    kept = F.array_join(F.transform("r.kept", lambda i: i.cast("string")), ",")
+    return newest.select("event_type", kept.alias("kept"), "produced", "r.dropped")
+
+
+@query(
+    "t8_resumed_sessions",
+    """
+    with s as (select event_type, event_id, user_id, sum((user_id < 10)::int) over (partition by event_type order by event_id) as k from events),
+    f as (select *, dense_rank() over (partition by event_type order by k) - 1 as session from s)
+    select event_type, session, count(*) as n, min(event_id) as first_event from f group by 1, 2
+    """,
+)
+def _(spark, d):
+    events = event_files(spark, d).withColumn("opens", F.col("user_id") < 10)
+    done = resumed(
+        spark, stateful.session_stream(events, "event_type", "event_id", "opens", "event_id"), "sessions",
+        lambda s, checkpoint: stateful.open_sessions(s, checkpoint, "event_type"),
+    )
+    return done.select("event_type", "session", F.size("turns").cast("bigint").alias("n"), F.col("turns")[0].alias("first_event"))
+
+
+@query(
+    "t8_resumed_packs",
+    "select event_id, user_id % 50 + 1 as n, 1::bigint as places, true as same_as_one_run from events",
+)
+def _(spark, d):
+    """Every row is in one pack, and in the pack of a run that was not stopped."""
+    rows = event_files(spark, d).select("event_type", "event_id", (F.col("user_id") % 50 + 1).alias("n"))
+
+    def packed(stop_at):
+        stream = stateful.pack_stream(rows, "event_type", "event_id", "n", 200)
+        return resumed(spark, stream, "packs", lambda s, c: stateful.open_packs(s, c, "event_type", "event_id", "n"), stop_at)
+
+    keys = ["event_type", "event_id", "n"]
+    stopped, whole = packed(1).select(*keys, F.col("pack").alias("stopped")), packed(None).select(*keys, F.col("pack").alias("whole"))
+    both = stopped.join(whole, keys, "full")
+    same = F.every(F.equal_null("stopped", "whole")).alias("same_as_one_run")
+    return both.groupBy("event_id", "n").agg(F.count(F.lit(1)).alias("places"), same)
 
 
 @query(
@@ -373,6 +541,18 @@ def _(spark, d):
     return finished(stateful.ingest_traces(twice, "event_id", "at").select("event_id", "event_type"), spark, "traces")
 
 
+@query("t7_since_polling", "select event_id as id, event_type, round(value, 6) as value, ts::timestamp as created_at from events")
+def _(spark, d):
+    """The store is polled after each append from where the last poll ended."""
+    store, rows = trace_store(spark, "traces"), trace_rows(spark, d)
+    out, checkpoint = writers.scratch_path(spark, "polled"), writers.scratch_path(spark, "polled-state")
+    for part in range(3):
+        store.append(rows.filter(F.pmod("id", F.lit(3)) <= part))
+        stateful.run_available(store.stream(), out, checkpoint)
+    found = spark.read.schema(TRACE).parquet(out)
+    return found.select("id", "event_type", F.round("value", 6).alias("value"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 @query(
     "t10_session_stream",
     """

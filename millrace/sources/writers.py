@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, Parquet per split, image files, sharded and partitioned output, trace appends."""
+"""Sinks: JSON lines, Parquet per split, image files, sharded and partitioned output."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .files import write_files
 
 # Leading bytes (hex) that name an image type, and the type of anything else.
-IMAGE_SIGNATURES = [("89504E47", "png"), ("FFD8FF", "jpg"), ("47494638", "gif"), ("424D", "bmp")]
+IMAGE_SIGNATURES = [("89504E470D0A1A0A", "png"), ("FFD8", "jpg"), ("474946383761", "gif"), ("474946383961", "gif"), ("424D", "bmp")]
 RIFF, WEBP, OTHER_IMAGE = "52494646", "57454250", "png"
 
 
@@ -55,26 +56,15 @@ def named_images(images: DataFrame, row: str, image_index: str = "image_index",
 
 
 def image_lists(named: DataFrame, row: str, folder: str) -> DataFrame:
-    """(row, images): file paths of each row in image order."""
-    files = F.sort_array(F.collect_list(F.struct("image_index", F.concat(F.lit(folder + "/"), F.col("file")).alias("p"))))
+    """(row, images): file paths of each row in image order; images without bytes have none."""
+    path = F.struct("image_index", F.concat(F.lit(folder + "/"), F.col("file")).alias("p"))
+    files = F.sort_array(F.collect_list(F.when(F.col("bytes").isNotNull(), path)))
     return named.groupBy(row).agg(F.transform(files, lambda f: f["p"]).alias("images"))
 
 
 def write_images(named: DataFrame, folder: str) -> None:
-    """Image files from the tasks that hold them; a repeated task writes the same bytes again."""
-
-    def save(rows):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            target = os.path.join(folder, row["file"])
-            with open(f"{target}.{uuid.uuid4().hex}", "wb") as out:
-                out.write(row["bytes"])
-                temporary = out.name
-            os.replace(temporary, target)
-
-    named.select("file", "bytes").foreachPartition(save)
+    """Image files on the file system of ``folder``; images without bytes have none."""
+    write_files(named, folder)
 
 
 def write_shards(df: DataFrame, path: str, max_rows: int = 10_000, mode: str = "errorifexists") -> None:
@@ -96,28 +86,3 @@ def write_episode_log(episodes: DataFrame, path: str) -> None:
 def write_evaluation(episodes: DataFrame, metrics: DataFrame, folder: str) -> None:
     episodes.write.mode("overwrite").json(f"{folder}/episodes")
     metrics.coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
-
-
-def append_traces(batch: DataFrame, traces_path: str, bridge_path: str) -> None:
-    """Append new traces and their (trace, session) rows; a trace id that is stored already is left as it is.
-
-    ``batch`` has the trace columns and ``session_uids``.
-    """
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["id"])
-    try:
-        stored = spark.read.parquet(traces_path).select("id")
-    except Exception as error:  # first append: nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = None
-    if stored is not None:
-        fresh = fresh.join(stored, "id", "left_anti")
-    # The stored table changes below, so what is new is fixed before the first write.
-    from ..session import cut_lineage
-
-    fresh = cut_lineage(fresh)
-    links = fresh.select(F.col("id").alias("trace_id"), F.explode("session_uids").alias("session_uid"), "created_at")
-    # Links first: a stop in between leaves links without a trace, which the next append replaces.
-    links.distinct().write.mode("append").parquet(bridge_path)
-    fresh.drop("session_uids").write.mode("append").parquet(traces_path)

@@ -6,6 +6,7 @@ micro-batches are taken in the order they arrive.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..functions.seeded import seeded_hash
 from ..operators.filters import not_longer
 from ..operators.packing import best_fit
-from ..sources.writers import append_traces
+from ..sources.traces import TraceStore
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -38,15 +41,72 @@ def map_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]) -
     return stream.transform(transform)
 
 
-def shuffled_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ids: Sequence[str], seed: int = 42):
-    """Stream writer that hands each micro-batch on in seeded order: the batch is the shuffle buffer."""
+def batch_writer(stream: DataFrame, path: str, stop_at: int | None = None):
+    """Stream writer with a folder for each micro-batch, so a batch that runs again after a stop replaces its own rows.
+
+    ``stop_at`` fails the run once that batch is written and before it counts as done, as a lost driver would.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        write(batch.withColumn("__h", seeded_hash(seed, f"buffer{number}", *ids)).orderBy("__h").drop("__h"), number)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number == stop_at:
+            raise InterruptedError(f"stopped after batch {number}")
 
     return stream.writeStream.foreachBatch(each)
 
 
+def _draw(n: int, *salt) -> int:
+    """Seeded integer below ``n``: the first 48 bits of an md5, as in ``functions.seeded``."""
+    return int(hashlib.md5("|".join(map(str, salt)).encode()).hexdigest()[:12], 16) % n
+
+
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def shuffle_stream(stream: DataFrame, lane: str, order: str, buffer: int, seed: int = 42) -> DataFrame:
+    """(lane, place, row): each lane's rows through a shuffle buffer that is carried over micro-batches.
+
+    The buffer fills first; then every row takes the place of a drawn one, which goes on. So a row comes at most ``buffer`` places
+    early, and the draws depend on a row's number in its lane only: a run that was stopped gives the order of one that was not.
+    What is still held when the input has ended is read by ``open_buffers``. Rows of a lane are taken in ``order`` within a
+    micro-batch. The state holds ``buffer`` rows a lane as JSON; deal a stream over more lanes to shuffle it on more tasks.
+    """
+    if buffer < 1:
+        raise ValueError("a buffer holds at least one row")
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def step(names, frames: Iterator[pd.DataFrame], state: GroupState):
+        rows, n = state.get if state.exists else ([], 0)
+        rows, name = list(rows), names[0]
+        sent = []
+        for text in _ordered(frames, "__order")["__row"]:
+            if len(rows) < buffer:
+                rows.append(text)
+            else:
+                at = _draw(buffer, seed, "buffer", name, n)
+                sent.append(rows[at])
+                rows[at] = text
+            n += 1
+        first = n - len(rows) - len(sent)
+        state.update((rows, n))
+        yield pd.DataFrame({lane: [name] * len(sent), "place": range(first, first + len(sent)), "__row": sent})
+
+    texts = stream.select(lane, F.col(order).alias("__order"), F.to_json(F.struct(*stream.columns), JSON_TIMES).alias("__row"))
+    moved = texts.groupBy(lane).applyInPandasWithState(
+        step, f"`{lane}` {kinds[lane]}, place bigint, __row string", "rows array<string>, n bigint", "append", GroupStateTimeout.NoTimeout
+    )
+    return moved.select(lane, "place", F.from_json("__row", stream.schema, JSON_TIMES).alias("row"))
+
+
+def open_buffers(spark: SparkSession, checkpoint: str, lane: str, schema: StructType, seed: int = 42) -> DataFrame:
+    """(lane, place, row) of the rows still held when a ``shuffle_stream`` has read all its input, in drawn order."""
+    held = _open_state(spark, checkpoint).select(F.col(f"key.{lane}").alias(lane), "state.n", F.posexplode("state.rows").alias("at", "__row"))
+    drawn = Window.partitionBy(lane).orderBy(seeded_hash(seed, "rest", lane, "at"))
+    size = F.count(F.lit(1)).over(Window.partitionBy(lane))
+    place = F.col("n") - size + F.row_number().over(drawn) - 1
+    return held.select(lane, place.alias("place"), F.from_json("__row", schema, JSON_TIMES).alias("row"))
+
+
 def _idle_timeout(idle: str | None) -> tuple[int, str]:
     """(milliseconds, timeout kind) of a text like "10 minutes"; none means state waits for more rows.
 
@@ -210,9 +270,12 @@ def ingest_traces(stream: DataFrame, ident: str, when: str, delay: str = "1 hour
     return stream.withWatermark(when, delay).dropDuplicatesWithinWatermark([ident])
 
 
-def trace_writer(stream: DataFrame, traces_path: str, bridge_path: str):
-    """Stream writer that appends traces and their session rows; a batch that runs again adds nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_traces(batch, traces_path, bridge_path))
+def trace_writer(stream: DataFrame, store: TraceStore, replace: bool = False):
+    """Stream writer that appends traces and their session rows; a batch that runs again adds nothing.
+
+    Micro-batch N is append N of the store, so the stream is its only writer.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, number: store.append(batch, number, replace))
 
 
 def generated_rows_writer(stream: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, n_tokens: Column, limit: int):

@@ -219,10 +219,11 @@ def test_catalog(spark):
 
 
 def test_images(spark, tmp_path):
-    df = spark.createDataFrame([(7, [bytearray(b"\x89PNG...."), bytearray(b"GIF89a..")])], "row long, images array<binary>")
+    df = spark.createDataFrame([(7, [bytearray(b"\x89PNG\r\n\x1a\n"), None, bytearray(b"GIF89a..")])], "row long, images array<binary>")
     named = writers.named_images(readers.image_rows(df, "row"), "row")
     writers.write_images(named, str(tmp_path))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["000007_00.png", "000007_01.gif"]
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix in (".png", ".gif")) == ["000007_00.png", "000007_02.gif"]
+    assert writers.image_lists(named, "row", "d").first()["images"] == ["d/000007_00.png", "d/000007_02.gif"]
 
 
 def test_user_functions(spark, tmp_path):

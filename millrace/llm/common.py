@@ -90,7 +90,7 @@ class Encoder:
 
     The byte-level vocabularies never merge across a space that a non-space follows, so a text is cut at
     such spaces and each distinct piece is encoded by the library once; a text with runs of white space
-    around a space is encoded in one call. The memo has two generations: when the young one is full it becomes
+    around a space, or with the string of an added token, is encoded in one call. The memo has two generations: when the young one is full it becomes
     the old one, from which pieces in use come back. That bounds memory, not the result.
     """
 
@@ -103,7 +103,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.young: dict[str, bytes] = {}
@@ -168,10 +168,15 @@ class Encoder:
         heads = [names[i] for i in piece[first].tolist()]
         entries = self._entries(names)
         odd = np.fromiter((e == 0 for e in entries), dtype=bool, count=len(entries)) if 0 in entries else None
+        added = np.zeros(len(first), dtype=bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         piece[first] = len(names) + np.arange(len(first))
-        if odd is not None:  # such a text is encoded whole, in place of its head
-            rest = np.append(odd, np.zeros(len(first), dtype=bool))[piece]
-            whole = np.flatnonzero(np.logical_or.reduceat(rest, first))
+        if odd is not None or added.any():  # such a text is encoded whole, in place of its head
+            if odd is not None:
+                rest = np.append(odd, np.zeros(len(first), dtype=bool))[piece]
+                added |= np.logical_or.reduceat(rest, first)
+            whole = np.flatnonzero(added)
             for i in whole.tolist():
                 heads[i] = texts[i].as_py()
                 end = first[i + 1] if i + 1 < len(first) else len(piece)

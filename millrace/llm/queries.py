@@ -28,15 +28,15 @@ def op1_bit_sliced_top_k(spark, sf_dir):
 
 _SQL["op1_bit_sliced_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x : floor(x::double * 256)) as e from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x : floor(x::double * 256)) as e from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on c.r <> q.r and len(c.e) = len(q.e) where q.vec_id % 50 = 0
 )
 select query_id, rank::int as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+  select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from s
 ) where rank <= 5
 """
 

@@ -27,7 +27,8 @@ def encode_documents(docs: DataFrame, end_id: int = END_ID, vocabulary: str | No
     """(doc_id, place, tokens) in ascending doc_id order; ``place`` is (partition << 33) + row."""
     ordered = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
+        .withColumn("head", F.substring("text", 1, 64))
+        .repartitionByRange("doc_id", "head")  # rows of one id, or of none, are dealt by how their texts begin
         .sortWithinPartitions("doc_id", "text")
         .select("doc_id", F.monotonically_increasing_id().alias("place"), "text")
     )

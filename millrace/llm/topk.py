@@ -5,9 +5,13 @@ Every vector component becomes floor(scale * x). A block of rows keeps, per dime
 one weight become a sum and a carry); the score's own slices come out. The top k rows are selected from the most
 significant score slice downward; rows still equal after the last slice are cut by the smaller id.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part. Rows that share an id
-count once, with the smallest vector. Vectors meet only vectors of their own length. A score that does not
-fit in 64 bits is an error. Empty tables give no rows. Extra columns are not read.
+Blocks and groups of queries meet as pairs: a query goes to every block once, a block to every QUERY_ROWS queries once, or to a few
+groups more where there are fewer blocks than cores.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no part. Every row is a candidate and, if
+asked for, a query of its own, also where rows share an id; only a query's own row is left out. A null id comes last among equal scores.
+Vectors meet only vectors of their own length. Components or scores that do not fit in 64 bits are an error. Empty tables give no
+rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,58 +22,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import per_batch, stored
+from .common import stored
 
 BLOCK_ROWS = 32_768
-CHUNK_QUERIES = 64
+QUERY_ROWS = 16_384
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(id, vec) with one row per id and integer components; unusable vectors are left out."""
+    """(row, id, vec), stored: every usable row with a number of its own and integer components."""
     usable = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(
         vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     )
-    ints = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-    return (
-        vectors.filter(usable & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).cast("bigint").alias("id"))
-        .agg(F.min(ints).alias("vec"))
-    )
+    scaled = F.transform(F.col(vec_col), lambda x: x.cast("double") * scale)
+    ints = F.transform(scaled, lambda x: F.floor(x).cast("bigint"))
+    checked = F.when(F.exists(scaled, lambda x: F.abs(x) >= 2.0**62), F.raise_error(F.lit("a component does not fit in 62 bits"))).otherwise(ints)
+    chosen = vectors.filter(usable).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), checked.alias("vec"))
+    return stored(chosen, "quantised")
 
 
-def _slices(ids: np.ndarray, values: np.ndarray) -> dict:
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
+def _slices(rows: np.ndarray, values: np.ndarray) -> dict:
     low = values.min(axis=0)
     above = (values - low).astype(np.uint64)
     bits = max(1, int(above.max(initial=0)).bit_length())
-    words = -(-len(ids) // 64)
+    words = -(-len(rows) // 64)
     planes = np.zeros((values.shape[1], bits, words * 8), dtype=np.uint8)
     for b in range(bits):
         packed = np.packbits(((above >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little")
         planes[:, b, : packed.shape[0]] = packed.T
-    return {"ids": ids.astype("<i8").tobytes(), "low": low.astype("<i8").tobytes(), "bits": bits, "planes": planes.tobytes()}
+    return {"rows": rows.astype("<i8").tobytes(), "low": low.astype("<i8").tobytes(), "bits": bits, "planes": planes.tobytes()}
 
 
-INDEX = "dim int, block int, n int, bits int, ids binary, low binary, planes binary"
+INDEX = "dim int, block int, n int, bits int, ids array<bigint>, rows binary, low binary, planes binary"
+INDEX_ROW = pa.schema(
+    [(n, pa.int32()) for n in ("dim", "block", "n", "bits")] + [("ids", pa.list_(pa.int64()))] + [(n, pa.binary()) for n in ("rows", "low", "planes")]
+)
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block of about ``block_rows`` vectors of one length (ids dealt by hash), stored."""
+    """One row per block of about ``block_rows`` vectors of one length (rows dealt by hash), by id inside a block, stored."""
     count = vectors.count()
     blocks = max(1, -(-count // block_rows))
 
-    def pack(key, pdf):
-        values = np.stack(pdf["vec"].to_numpy()).astype(np.int64)
-        made = _slices(pdf["id"].to_numpy().astype(np.int64), values)
-        return type(pdf)({"dim": [key[0]], "block": [key[1]], "n": [len(pdf)], **{k: [v] for k, v in made.items()}})[
-            ["dim", "block", "n", "bits", "ids", "low", "planes"]
-        ]
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("row", "ascending")])  # nulls last
+        dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
+        values = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        made = {"dim": dim, "block": block, "n": len(table), "ids": table.column("id").to_pylist(), **_slices(table.column("row").to_numpy(), values)}
+        return pa.Table.from_pylist([made], INDEX_ROW)
 
     dealt = vectors.select(
-        "id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+        "row", "id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
     )
-    return stored(dealt.groupBy("dim", "block").applyInPandas(pack, INDEX), "bit-sliced")
+    return stored(dealt.groupBy("dim", "block").applyInArrow(pack, INDEX), "bit-sliced")
 
 
 def _add(weighted: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -95,15 +99,17 @@ def _add(weighted: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _search_block(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def _search_block(row: dict, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int | None, int]]:
+    """(query row, id, score) of the ``k`` best rows of a block for each query."""
     n, dim, bits = row["n"], row["dim"], row["bits"]
-    ids = np.frombuffer(row["ids"], dtype="<i8")
+    ids, rows = row["ids"], np.frombuffer(row["rows"], dtype="<i8")
+    places = {r: i for i, r in enumerate(rows.tolist())}
     low = np.frombuffer(row["low"], dtype="<i8")
     planes = np.frombuffer(row["planes"], dtype="<u8").reshape(dim, bits, -1)
     words = planes.shape[2]
     live = np.packbits(np.arange(words * 64) < n, bitorder="little").view("<u8")
     found = []
-    for qid, q in zip(query_ids.tolist(), queries):
+    for qrow, q in zip(query_rows.tolist(), queries):
         size = np.abs(q).astype(np.uint64)
         flipped = planes ^ np.where(q < 0, ~np.uint64(0), np.uint64(0))[:, None, None]
         weighted: dict[int, list[np.ndarray]] = {}
@@ -116,8 +122,8 @@ def _search_block(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int)
         base = sum(int(x) * int(y) for x, y in zip(q.tolist(), low.tolist()))
         base -= sum(-int(x) for x in q.tolist() if x < 0) * (2**bits - 1)
         equal = live.copy()
-        own = int(np.searchsorted(ids, qid))
-        if own < n and ids[own] == qid:
+        own = places.get(qrow)
+        if own is not None:
             equal[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
         taken = np.zeros_like(equal)
         for plane in reversed(total):
@@ -131,44 +137,45 @@ def _search_block(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int)
                 if ahead == k:
                     equal[:] = 0
                     break
-        rows = np.flatnonzero(np.unpackbits(taken.view(np.uint8), bitorder="little"))
-        ties = np.flatnonzero(np.unpackbits(equal.view(np.uint8), bitorder="little"))[: k - len(rows)]
-        for r in (*rows.tolist(), *ties.tolist()):
+        sure = np.flatnonzero(np.unpackbits(taken.view(np.uint8), bitorder="little"))
+        ties = np.flatnonzero(np.unpackbits(equal.view(np.uint8), bitorder="little"))[: k - len(sure)]
+        for r in (*sure.tolist(), *ties.tolist()):
             score = base
             for weight, plane in enumerate(total):
                 if plane is not None and (int(plane[0, r // 64]) >> (r % 64)) & 1:
                     score += 1 << weight
-            found.append((qid, int(ids[r]), score))
+            found.append((qrow, ids[r], score))
     return found
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best of all indexed rows but the query's own, for each query.
+def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` best of all indexed rows but the query's own, for each row of ``queries``.
 
-    ``queries`` has (id, vec). Chunks of queries meet blocks of the index; each meeting is a row of its own and
-    sends on k rows per query.
+    ``queries`` has (row, id, vec). Groups of queries meet blocks of the index; a meeting sends on k rows per query.
     """
-    chunks = max(1, -(-queries.count() // chunk_queries))
-    packed = (
-        queries.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
-        .groupBy("dim", "chunk")
-        .agg(F.collect_list(F.struct("id", "vec")).alias("queries"))
+    blocks = max(1, index.agg(F.max("block") + 1).first()[0] or 1)
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-queries.count() // query_rows), -(-2 * cores // blocks))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    keys = ["dim", "block", "part"]
+    asked = queries.select(
+        "row", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block")
     )
-    parts = index.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"))
-    met = parts.join(packed, ["dim", "chunk"]).repartition("block", "chunk")
+    held = index.select("*", every(parts).alias("part"))
 
-    def run(batch: pa.RecordBatch):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row in batch.to_pylist():
-            ids = np.array([q["id"] for q in row["queries"]], dtype=np.int64)
-            values = np.array([q["vec"] for q in row["queries"]], dtype=np.int64)
-            out += _search_block(row, ids, values, k)
+        if len(left) and len(right):
+            (block,) = left.select(["n", "dim", "bits", "ids", "rows", "low", "planes"]).to_pylist()
+            values = right.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, block["dim"])
+            out = _search_block(block, right.column("row").to_numpy(), values, k)
         columns = list(zip(*out)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(["row", "vec_id", "score"], columns)})
 
-    met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    best = met.mapInArrow(per_batch(run), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    best = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.join(queries.select("row", F.col("id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")

@@ -47,9 +47,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -66,7 +64,7 @@ def test_encoder_is_the_library(tokenizer):
 
     ours = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     ours.MEMO_PIECES = 50
-    texts = [*TEXTS, "a ", " a", "a \n b", "don't  'll   x", "\n\n x\ty", " \x1c b", "   "]
+    texts = [*TEXTS, "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|> b", " <|endoftext|>", "<|endof text|> x", "a ", " a", "a \n b", "don't  'll   x", "\n\n x\ty", " \x1c b", "   "]
     for _ in range(2):
         offsets, ids = ours.encode(pa.array(texts, pa.string()), 7)
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*ids_of(tokenizer, t), 7] for t in texts]
@@ -74,19 +72,24 @@ def test_encoder_is_the_library(tokenizer):
 
 
 def test_top_k_awkward(spark):
-    rows = [(1, [0.5, -0.25]), (2, [0.5, -0.25]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
-            (6, [float("inf"), 0.0]), (7, [-3.0, 0.001]), (100, [0.0, -1.0]), (8, [1.0]), (None, [1.0, 1.0])]
+    rows = [(1, [0.5, -0.25]), (2, [0.5, -0.25]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [9.0, 2.0]), (3, None), (4, [None, 1.0]),
+            (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (7, [-3.0, 0.001]), (7, [8.0, 8.0]), (7, [8.0, 8.0]), (100, [0.0, -1.0]),
+            (8, [1.0]), (None, [1.0, 1.0]), (None, [8.0, 8.0])]
     raw = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     vectors = topk.quantised(raw, "vec_id", "embedding")
-    got = topk.search(topk.build_index(vectors, block_rows=3), vectors.filter("id % 50 = 0"), 3, chunk_queries=1).collect()
-    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i and v and None not in v and np.isfinite(v).all()}
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in (50, 100):
-        each = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == 2)
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(each[:3])]
-    assert sorted(map(tuple, got)) == sorted(want)
+    for at, (q, asked) in enumerate(good):
+        if q is not None and q % 50 == 0:
+            each = [(-sum(a * b for a, b in zip(asked, v)), i is None, i or 0, i) for j, (i, v) in enumerate(good) if j != at and len(v) == len(asked)]
+            want += [(q, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(each)[:4])]
+    for block_rows, query_rows in ((3, 1), (100, 100)):
+        got = topk.search(topk.build_index(vectors, block_rows), vectors.filter("id % 50 = 0"), 4, query_rows).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     none = vectors.filter("id < 0")
     assert topk.search(topk.build_index(none), none).count() == 0
+    with pytest.raises(Exception, match="62 bits"):
+        topk.quantised(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
 
 
 def test_token_files_round_trip(spark, awkward, tokenizer, tmp_path):

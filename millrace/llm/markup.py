@@ -1,4 +1,7 @@
-"""A small HTML token stream: tags, text and raw elements, tolerant of unclosed and cut markup."""
+"""A small HTML token stream: tags, text and raw elements, tolerant of unclosed and cut markup.
+
+In a tag a quote opens a value only behind ``=``; an unquoted value ends at white space or ``>``.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,11 @@ from collections.abc import Iterator
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|title)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^<>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|(?=<)|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(

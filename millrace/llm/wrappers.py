@@ -7,9 +7,15 @@ wrappers works the same way, so partitions infer their own and these meet per ho
 
 The wrapper's expression then says which paths hold the article: inside ``article`` or ``main`` for a page with text there, else
 (a host may have several templates) all paths outside these but those whose text is mostly links or never varies between pages
-that differ elsewhere; copies of a page, also with other menus or adverts, count as one. Menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are told by element, role and class names. Each page's blocks on those paths are its
-text.
+that differ elsewhere; copies of a page, also with other menus or adverts, count as one. Text inside an article that is the
+same on DISTINCT different pages of the host is a notice and no article, headings apart.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are told by element, role and class names. Names are a
+hint: a class counts only if all its words are of that kind or say nothing (``site-footer``, not ``content-with-sidebar``), and neither
+names nor elements count against ``html``, ``body``, the article, or what holds it: an element with an article or main with text, or,
+comments and menus apart, most of the host's text that is no link. Each page's blocks on those paths are its text.
+
+Elements nested deeper than DEPTH have no path of their own: their text belongs to the element that holds them there.
 
 Defined results: null and empty pages have an empty text; a null url is a host of its own; repeated rows give repeated rows; an
 empty table gives no rows. Extra columns are not read.
@@ -19,6 +25,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -30,25 +38,37 @@ from .common import per_batch, stored
 from .markup import IMPLIED_END, INLINE, VOID, attributes, tokens
 
 GROUP_KINDS = 4  # kinds of elements in a repeated group, at most
+DEPTH = 200
+DISTINCT = 5
+ALIGN_CELLS = 250_000  # of the table of a longest common subsequence; longer lists are aligned by kinds that occur once
 MERGE_FANOUT = 32
 _ASIDE_TAGS = frozenset("nav header footer aside form button select dialog menu head input fieldset datalist audio video canvas".split())
 _ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies "
     "consent disqus discussion footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay "
-    "pagination pager popup promo promotion reader related replies reply respond search share sharing sidebar signup social sponsor "
+    "pagination pager popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+# Words that say nothing about what a class holds.
+_NEUTRAL_NAMES = frozenset(
+    "site page top bottom left right main box container wrapper wrap inner outer block area section bar list item items form unit slot "
+    "global primary secondary links posts articles stories body head row col column text bg fixed sticky mobile desktop".split()
+)
+# What stays aside even where it holds most of the text.
+_NEVER_MAIN = frozenset("comment comments commentlist disqus discussion replies reply respond footer menu nav navbar navigation related head select".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _KEYED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden)\b", re.I)
 
 
 def _key(name: str, rest: str) -> str:
-    """Element name with its class, id and role words (numbers left out)."""
+    """Element name with its class and id names and its role (numbers left out)."""
     if not rest or not _KEYED.search(rest):
         return name
     held = attributes(rest)
-    words = sorted({w for a in ("class", "id") for w in _SPLIT.split(held.get(a, "").lower()) if w})
+    names = (w for a in ("class", "id") for w in held.get(a, "").lower().split())
+    words = sorted({w for w in ("-".join(x for x in _SPLIT.split(name) if x) for name in names) if w})
     role = held.get("role", "").lower()
     hidden = "!" if "hidden" in held or held.get("aria-hidden") == "true" else ""
     return name + "".join(f".{w}" for w in words) + (f"@{role}" if role else "") + hidden
@@ -56,8 +76,15 @@ def _key(name: str, rest: str) -> str:
 
 def _walk(page: str):
     """("open", key), ("close",), ("text", text, in a link): blocks only; inline elements leave no trace."""
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
+    held: Counter[str] = Counter()
     links = 0
+
+    def pop() -> str:
+        last = stack.pop()
+        held[last] -= 1
+        return last
+
     for kind, name, rest in tokens(page):
         if kind == "text":
             yield "text", rest, links > 0
@@ -71,18 +98,19 @@ def _walk(page: str):
         elif kind == "start":
             links = 0
             closes = IMPLIED_END.get(name, ())
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in closes):
-                stack.pop()
+            while stack and (stack[-1] == "p" or stack[-1] in closes):
+                pop()
                 yield "close", "", False
             yield "open", _key(name, rest), False
             if name in VOID or rest.endswith("/"):
                 yield "close", "", False
             else:
-                stack.append((name, ""))
-        elif any(open_name == name for open_name, _ in stack):
+                stack.append(name)
+                held[name] += 1
+        elif held[name]:
             links = 0
             while stack:
-                last = stack.pop()[0]
+                last = pop()
                 yield "close", "", False
                 if last == name:
                     break
@@ -90,23 +118,23 @@ def _walk(page: str):
 
 class _Node:
     """An element of the expression: key, optional?, repeated?, children, and its text: number of pages, constant or slot,
-    characters in all and in links, least and greatest content hash of the pages (they differ when the pages are not all copies of
-    one). Groups have a key in parentheses and no text."""
+    characters in all and in links, and the DISTINCT smallest content hashes of its pages (one hash where all are copies of one
+    page). Groups have a key in parentheses and no text."""
 
-    __slots__ = ("chars", "children", "constant", "greatest", "key", "least", "link_chars", "many", "optional", "pages")
+    __slots__ = ("chars", "children", "constant", "hashes", "key", "link_chars", "many", "optional", "pages")
 
-    def __init__(self, key, optional=False, many=False, children=(), pages=0, constant=None, chars=0, link_chars=0, least=None, greatest=None):
+    def __init__(self, key, optional=False, many=False, children=(), pages=0, constant=None, chars=0, link_chars=0, hashes=()):
         self.key, self.optional, self.many, self.children = key, optional, many, list(children)
         self.pages, self.constant, self.chars, self.link_chars = pages, constant, chars, link_chars
-        self.least, self.greatest = least, greatest
+        self.hashes = list(hashes)
 
     def plain(self):
-        text = [self.pages, self.constant, self.chars, self.link_chars, self.least, self.greatest]
+        text = [self.pages, self.constant, self.chars, self.link_chars, self.hashes]
         return [self.key, self.optional, self.many, [c.plain() for c in self.children], *text]
 
     def of_page(self, content: str) -> None:
         if self.pages:
-            self.least = self.greatest = content
+            self.hashes = [content]
         for c in self.children:
             c.of_page(content)
 
@@ -123,35 +151,64 @@ class _Node:
 
 def _merge(a: _Node, b: _Node) -> _Node:
     same = a.constant if not b.pages else b.constant if not a.pages else a.constant if a.constant == b.constant else None
-    hashes = [h for h in (a.least, b.least, a.greatest, b.greatest) if h is not None]
+    hashes = a.hashes if a.hashes == b.hashes else sorted({*a.hashes, *b.hashes})[:DISTINCT]
     return _Node(
         a.key, a.optional or b.optional, a.many or b.many, _align(a.children, b.children),
-        a.pages + b.pages, same, a.chars + b.chars, a.link_chars + b.link_chars, min(hashes, default=None), max(hashes, default=None),
+        a.pages + b.pages, same, a.chars + b.chars, a.link_chars + b.link_chars, hashes,
     )
 
 
-def _align(a: list[_Node], b: list[_Node]) -> list[_Node]:
-    """Longest common subsequence of keys; what only one side has is optional."""
-    if [x.key for x in a] == [y.key for y in b]:
-        return [_merge(x, y) for x, y in zip(a, b)]
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two long lists: the longest increasing one of the kinds that occur once in each."""
+    once_a, once_b = ({k for k, n in Counter(x).items() if n == 1} for x in (a, b))
+    at = {k: j for j, k in enumerate(b) if k in once_b}
+    pairs = [(i, at[k]) for i, k in enumerate(a) if k in once_a and k in at]
+    ends: list[int] = []  # least last place in b of a run of each length
+    tails, before = [], []
+    for n, (_, j) in enumerate(pairs):
+        size = bisect_left(ends, j)
+        ends[size : size + 1] = [j]
+        tails[size : size + 1] = [n]
+        before.append(tails[size - 1] if size else -1)
+    out, n = [], tails[-1] if tails else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of a good one where the lists are long."""
+    if len(a) * len(b) > ALIGN_CELLS:
+        return _anchors(a, b)
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            rows[i][j] = rows[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(rows[i + 1][j], rows[i][j + 1])
+            rows[i][j] = rows[i + 1][j + 1] + 1 if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if a[i].key == b[j].key:
-            out.append(_merge(a[i], b[j]))
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
         else:
-            side = a if rows[i + 1][j] >= rows[i][j + 1] else b
-            one = a[i] if side is a else b[j]
-            i, j = (i + 1, j) if side is a else (i, j + 1)
+            j += 1
+    return out
+
+
+def _align(a: list[_Node], b: list[_Node]) -> list[_Node]:
+    """Common subsequence of keys; what only one side has is optional."""
+    if [x.key for x in a] == [y.key for y in b]:
+        return [_merge(x, y) for x, y in zip(a, b)]
+    out, i, j = [], 0, 0
+    for s, e in [*_common([x.key for x in a], [y.key for y in b]), (len(a), len(b))]:
+        for one in (*a[i:s], *b[j:e]):
             one.optional = True
             out.append(one)
-    for one in (*a[i:], *b[j:]):
-        one.optional = True
-        out.append(one)
+        if s < len(a):
+            out.append(_merge(a[s], b[e]))
+        i, j = s + 1, e + 1
     return _fold(out)
 
 
@@ -184,6 +241,7 @@ def page_tree(page: str) -> _Node:
     root = _Node("")
     stack, texts = [root], [[]]
     places, content = [(False, False)], []  # (in an article, aside) of the open elements; what tells a page from its copies
+    deeper = 0  # open elements below DEPTH
 
     def close():
         _, off = places.pop()
@@ -201,6 +259,12 @@ def page_tree(page: str) -> _Node:
     for kind, value, link in _walk(page):
         if kind == "text":
             texts[-1].append((value, link))
+        elif kind == "open" and len(stack) > DEPTH:
+            deeper += 1
+            texts[-1].append((" ", link))
+        elif kind == "close" and deeper:
+            deeper -= 1
+            texts[-1].append((" ", link))
         elif kind == "open":
             stack.append(_Node(value))
             texts.append([])
@@ -221,14 +285,25 @@ def hash_text(text: str) -> str:
 
 
 @lru_cache(1 << 14)
-def _is_aside(key: str, in_article: bool) -> bool:
+def _aside_names(key: str, in_article: bool) -> frozenset[str]:
+    """What in a key says that it is no article: element, role and class names, "!" for hidden ones."""
     body, _, role = key.rstrip("!").partition("@")
-    name, *words = body.split(".")
-    if key.endswith("!") or role in _ASIDE_ROLES:
-        return True
-    if name == "header" and in_article:
-        return False
-    return name in _ASIDE_TAGS or any(w in _ASIDE_NAMES for w in words)
+    name, *classes = body.split(".")
+    found = {"!"} if key.endswith("!") else set()
+    if name in ("html", "body", "article", "main") or role in ("main", "article"):
+        return frozenset(found)
+    if role in _ASIDE_ROLES:
+        found.add(role)
+    if name in _ASIDE_TAGS and not (name == "header" and in_article):
+        found.add(name)
+    for words in (c.split("-") for c in classes):
+        if all(w in _ASIDE_NAMES or w in _NEUTRAL_NAMES for w in words):
+            found.update(w for w in words if w in _ASIDE_NAMES)
+    return frozenset(found)
+
+
+def _is_aside(key: str, in_article: bool) -> bool:
+    return bool(_aside_names(key, in_article))
 
 
 @lru_cache(1 << 14)
@@ -237,35 +312,55 @@ def _is_main(key: str) -> bool:
     return body.split(".")[0] in ("article", "main") or role in ("main", "article")
 
 
+def _weigh(node: _Node, held: dict[int, tuple[int, bool]]) -> tuple[int, bool]:
+    """Characters outside links in a subtree, and whether an article or main with text is in it; kept by node."""
+    size, main = max(0, node.chars - node.link_chars), False
+    for c in node.children:
+        below, inside = _weigh(c, held)
+        size += below
+        main = main or inside or (_is_main(c.key) and below > 0)
+    held[id(node)] = size, main
+    return size, main
+
+
 def main_paths(root: _Node) -> tuple[list[str], list[str]]:
     """Paths (keys joined by tabs) of the wrapper whose text is the article: those inside ``article`` or ``main``, and those of
     pages that have no text there."""
+    weights: dict[int, tuple[int, bool]] = {}
+    whole, _ = _weigh(root, weights)
+    found = []
 
-    def paths(node: _Node, path: str, main: bool, aside: bool):
+    def visit(node: _Node, path: str, main: bool, aside: bool) -> None:
         for c in node.children:
             if c.key.startswith("("):
-                yield from paths(c, path, main, aside)
+                visit(c, path, main, aside)
                 continue
             inside = main or _is_main(c.key)
-            off = aside or _is_aside(c.key, inside)
+            names, (size, holds) = _aside_names(c.key, inside), weights[id(c)]
+            holds = holds or (2 * size > whole and not names & _NEVER_MAIN and "!" not in names)
+            off = aside or (bool(names) and not holds)
             here = f"{path}\t{c.key}"
-            yield here, c, inside, off
-            yield from paths(c, here, inside, off)
-
-    found = list(paths(root, "", False, False))
-    article = {p for p, _, inside, off in found if inside and not off}
-    best = []
-    for p, node, inside, off in found:
-        fixed = node.least != node.greatest and node.constant is not None
-        if not off and not inside and not fixed and node.link_chars * 2 <= node.chars:
-            best.append(p)
-    return sorted(article), sorted(set(best) | ({""} if root.pages else set()))
+            found.append((here, c, inside, off))
+            visit(c, here, inside, off)
+
+    visit(root, "", False, False)
+    article, slots = set(), {""} if root.pages else set()
+    for path, node, inside, off in found:
+        heading = node.key.split(".")[0] in _HEADINGS
+        fixed = node.constant is not None and len(node.hashes) >= (DISTINCT if inside else 2) and not (inside and heading)
+        if off or fixed:
+            continue
+        if inside:
+            article.add(path)
+        elif node.link_chars * 2 <= node.chars:
+            slots.add(path)
+    return sorted(article), sorted(slots)
 
 
 def article_text(page: str | None, paths: frozenset[str]) -> str:
     """Blocks of ``page`` on ``paths``, white space inside a block made one space, joined by two line ends."""
     blocks: list[str] = []
-    path, held = [""], []
+    path, held, deeper = [""], [], 0
 
     def flush():
         if held:
@@ -280,8 +375,12 @@ def article_text(page: str | None, paths: frozenset[str]) -> str:
                 held.append(value)
         else:
             flush()
-            if kind == "open":
+            if kind == "open" and len(path) > DEPTH:
+                deeper += 1
+            elif kind == "open":
                 path.append(f"{path[-1]}\t{value}")
+            elif deeper:
+                deeper -= 1
             elif len(path) > 1:
                 path.pop()
     flush()

@@ -51,7 +51,7 @@ def first_centroids(table: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     """The ``k`` vectors with the smallest sha256 of ``seed:vec_id``."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = table.orderBy(digest.asc_nulls_last(), "vec").limit(k).select("vec").collect()  # k rows
-    return np.array([r["vec"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["vec"] for r in rows], dtype=np.int64)
 
 
 class Tournament:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import json
 import random
+import time
 import urllib.parse
 import zlib
 
@@ -115,3 +116,84 @@ def test_captions_anywhere_and_all_media():
     assert items_of(f"<figure>{image('A')}<figcaption>Cut") == [("a", "Cut")]
     page = "a<video src='urn:sha256:AA'>old</video><audio><source src='urn:sha256:BB'><source src=c.mp3></audio><picture><source srcset=y>" + image("D")
     assert items_of(page) == ["a", ("aa", None), "old", ("bb", None), (None, None), ("d", "x")]
+
+
+def encoded(rng, text, depth):
+    """``text`` under ``depth`` random encodings, each of which the scan unwraps."""
+    for _ in range(depth):
+        kind = rng.randrange(4)
+        if kind == 0:
+            text = "".join(f"%{b:02X}" for b in text.encode())
+        elif kind == 1:
+            text = "".join(f"\\u{ord(c):04x}" for c in text)
+        elif kind == 2:
+            text = base64.b64encode(text.encode()).decode()
+        else:
+            text = base64.b64encode((gzip if rng.random() < 0.5 else zlib).compress(text.encode())).decode()
+    return text
+
+
+def test_random_chains_over_given_documents(spark, sf_dir):
+    rng = random.Random(11)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    for i, text in enumerate(t for t in texts if t):
+        words = text[:3000]
+        secret = f" password: Zq{i:04d}abcdefg "
+        coded = encoded(rng, secret + words[:40], rng.randrange(1, 6))
+        whole = f"{words}\n{coded}\n{words}"
+        base, found = secrets.scan(whole)
+        inside = [(a, b) for a, b, k in found if k == 0 and a >= len(words) and b <= len(words) + 2 + len(coded) + 1]
+        assert inside, (i, coded[:80])
+        assert set(base) <= set(found)
+        assert secrets.scan(secrets.redacted(whole))[1] == [] or not any(k == 0 for _, _, k in secrets.scan(secrets.redacted(whole))[1])
+
+
+def test_deep_escapes_are_linear():
+    for text in ("%" + "25" * 300_000 + "70assword=abcdefgh1", "&" + "#38;" * 100_000 + "#112;assword=abcdefgh1", "%5C" + "x255C" * 100_000 + "x70assword=abcdefgh1"):
+        start = time.perf_counter()
+        _, found = secrets.scan(text)
+        assert time.perf_counter() - start < 20 and any(k == 0 and b == len(text) for _, b, k in found)
+
+
+PROBES = {
+    '<body class="no-sidebar single"><article><p>Text</p></article></body>': "Text",
+    '<body><div class="content-with-sidebar"><main><p>Text</p></main></div></body>': "Text",
+    '<body><article class="reader-view"><p>Text</p></article></body>': "Text",
+    '<body><section id="related-work"><h2>Related</h2><p>Text of it</p></section></body>': "Related\n\nText of it",
+    '<body><div class="post-header"><h1>Title</h1></div><div class=post><p>Text</p></div></body>': "Title\n\nText",
+    "<p data-x=it's>One.</p><p>Two isn't.</p>": "One.\n\nTwo isn't.",
+    '<form id=main><div class=menu><p>Menu</p></div><div class=c><p>All of the text</p></div></form>': "All of the text",
+    "<body>" + "<div>" * 10_000 + "deep" + "</div>" * 10_000 + "<p>after</p>": "deep\n\nafter",
+}
+
+
+def test_probe_pages(spark):
+    rows = [(i, f"http://h{i}.x/", page) for i, page in enumerate(PROBES)]
+    assert list(dict(sorted(texts_of(spark, rows).items())).values()) == list(PROBES.values())
+
+
+def test_hosts_without_article_elements(spark):
+    rng, rows, want = random.Random(5), [], {}
+    frames = [
+        "<body><div id=top><a href=/>Home</a><a href=/a>About</a></div><div class=c><h1>{0}</h1>{1}</div><div class=legal><p>All rights reserved.</p></div></body>",
+        "<table><tr><td class=nav><a href=/1>One</a></td><td><h2>{0}</h2>{1}</td></tr><tr><td>Fixed line</td></tr></table>",
+        "<body><header><p>Site</p></header><section><h1>{0}</h1><div>{1}</div></section><div class='site-footer'><p>{0} foot</p></div></body>",
+    ]
+    for i in range(24):
+        title, paragraphs = f"Title {i}", [f"Text {i} {j} {rng.random()}" for j in range(1 + i % 4)]
+        rows.append((i, f"https://host{i % 3}.example/{i}", frames[i % 3].format(title, "".join(f"<p>{p}</p>" for p in paragraphs))))
+        want[i] = "\n\n".join([title, *paragraphs])
+    assert texts_of(spark, rows) == want
+
+
+def test_a_text_depends_on_the_other_pages_of_its_host(spark):
+    page = "<body><article><h1>Story {0}</h1><p class=lead>Words {0}</p><div class=note><span>Read our terms.</span></div></article></body>"
+    alone = texts_of(spark, [(0, "http://a.b/0", page.format(0))])
+    among = texts_of(spark, [(i, f"http://a.b/{i}", page.format(i)) for i in range(6)])
+    assert alone[0] == "Story 0\n\nWords 0\n\nRead our terms." and among[0] == "Story 0\n\nWords 0"
+
+
+def test_pages_with_many_distinct_siblings(spark):
+    page = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{{0}}>text {i}</div>" for i in range(5000))
+    rows = [(i, "http://a.b/", page.format("xy"[i])) for i in range(2)]
+    assert [len(t.split("\n\n")) for t in texts_of(spark, rows).values()] == [5000, 5000]

@@ -8,11 +8,12 @@ size and place, and verified. Copies of one shingle set are compared once, whate
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +24,14 @@ from ..functions.columns import ColumnOrName, col, let
 from ..functions.seeded import seeded_hash
 from ..functions.text import words
 from ..session import cut_lineage, spread
+from ..sources.files import path_exists
 from .ordering import with_value_position
 from .sampling import top_per_group
 
 LEADERS = 8
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
+MAX_LEAVES, PIVOT_BYTES = 65_536, 32 << 20  # of the pivot tree, which every task gets
+FIRST_VISITS, QUERY_BLOCKS = 4, 8
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -228,17 +231,69 @@ def drop_near_duplicates(df: DataFrame, key: str, text: str, threshold: float =
 # --- vectors ------------------------------------------------------------------------------------
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], done: DataFrame | None = None) -> DataFrame:
-    """(key, embedding) by batches; rows that ``done`` already has are left out, so a stopped run goes on."""
+def embed(
+    df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], done: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, embedding, kept columns) by batches; rows that ``done`` already has are left out, so a stopped run goes on."""
     rows = df if done is None else df.join(done.select(key), key, "left_anti")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             vectors = np.asarray(embedder(list(pdf[text])), dtype="float32")
-            yield pd.DataFrame({key: pdf[key], "embedding": list(vectors)})
+            yield pd.DataFrame({key: pdf[key], "embedding": list(vectors), **{n: pdf[n] for n in keep}})
+
+    kept = "".join(f", `{n}` {df.schema[n].dataType.simpleString()}" for n in keep)
+    return rows.select(key, text, *keep).mapInPandas(run, f"`{key}` {kind}, embedding array<float>{kept}")
+
+
+BLOCK_FACTS = "block long, n long, digest string"
+
+
+def _block_facts(rows: DataFrame, key: str) -> DataFrame:
+    """(block, n, digest): the rows of a block and a digest of their ids and vectors that does not depend on their order."""
+    mark = F.xxhash64(key, F.transform("embedding", lambda x: x.cast("double"))).cast("decimal(38,0)")
+    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.md5(F.sum(mark).cast("string")).alias("digest"))
+
+
+def embed_blocks(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], folder: str, n_blocks: int) -> list[int]:
+    """Embeddings of ``df`` in blocks dealt by key hash, below ``folder``; blocks that are whole are left alone.
+
+    A block is whole if its stored rows have the count and digest that the manifest names, and are as many as ``df`` has for it. All others
+    are made again, each in its folder, and the manifest gets their facts after that, so a run that stops goes on. Gives the
+    numbers of the blocks that were made.
+    """
+    spark = df.sparkSession
+    dealt = df.select(key, text, F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"))
+    wanted = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a block
+    whole = {block: n for block, n in check_blocks(spark, folder, key, df.schema[key].dataType).items() if n == wanted.get(block)}
+    missing = sorted(set(wanted) - set(whole))
+    if not missing:
+        return []
+    made = embed(dealt.filter(F.col("block").isin(missing)), key, text, embedder, keep=["block"])
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{folder}/vectors")
+    facts = _block_facts(_stored_blocks(spark, folder, key, df.schema[key].dataType).filter(F.col("block").isin(missing)), key)
+    facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{folder}/manifest")
+    return missing
+
+
+def _stored_blocks(spark, folder: str, key: str, kind: T.DataType) -> DataFrame:
+    fields = [T.StructField(key, kind), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("block", T.LongType())]
+    return spark.read.schema(T.StructType(fields)).option("ignoreCorruptFiles", "true").parquet(f"{folder}/vectors")
+
 
-    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+def check_blocks(spark, folder: str, key: str, kind: T.DataType) -> dict[int, int]:
+    """Blocks whose stored rows are those the manifest names, with their number of rows."""
+    if not (path_exists(spark, f"{folder}/vectors") and path_exists(spark, f"{folder}/manifest")):
+        return {}
+    named = spark.read.schema(BLOCK_FACTS).parquet(f"{folder}/manifest")
+    there = _block_facts(_stored_blocks(spark, folder, key, kind), key)
+    return {r["block"]: r["n"] for r in there.join(named, ["block", "n", "digest"]).collect()}  # one row a block
+
+
+def read_blocks(spark, folder: str, key: str, kind: T.DataType) -> DataFrame:
+    """(key, embedding) of the blocks written by ``embed_blocks``."""
+    return _stored_blocks(spark, folder, key, kind).select(key, "embedding")
 
 
 def train_clusters(df: DataFrame, key: str, vector: str, k: int, n_sample: int, seed: int = 42):
@@ -252,19 +307,92 @@ def assign_clusters(df: DataFrame, model, vector: str) -> DataFrame:
     return model.transform(df.withColumn("features", array_to_vector(F.col(vector)))).drop("features")
 
 
-def _pivot_table(corpus: DataFrame, key: str, vector: str, seed: int) -> np.ndarray:
-    """A bounded number of vectors that the others are grouped around."""
-    n = corpus.count()
-    k = max(1, min(MAX_PIVOTS, math.isqrt(n)))
-    chosen = corpus.orderBy(seeded_hash(seed, "pivots", key)).limit(k).select(vector).collect()
-    return np.array([r[0] for r in chosen], dtype="float64")
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
     return np.sqrt(np.maximum(square, 0.0))
 
 
+class PivotTree:
+    """Leaf pivots, each below the cell pivot it is nearest to. The first pivots are the cells' own."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.cells = pivots[: max(1, math.isqrt(len(pivots)))]
+        owner = _distances(pivots, self.cells).argmin(1)
+        self.leaves = [np.flatnonzero(owner == cell) for cell in range(len(self.cells))]
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot, leaf, distance to its pivot) of every vector: the nearest cell, in it the nearest leaf."""
+        near = _distances(vectors, self.cells)
+        near[:, [i for i, x in enumerate(self.leaves) if not len(x)]] = np.inf  # cells of repeated pivots
+        cell = near.argmin(1)
+        leaf, apart = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+        for c in np.unique(cell):
+            rows = np.flatnonzero(cell == c)
+            d = _distances(vectors[rows], self.pivots[self.leaves[c]])
+            at = d.argmin(1)
+            leaf[rows], apart[rows] = self.leaves[c][at], d[np.arange(len(rows)), at]
+        return cell, near[np.arange(len(vectors)), cell], leaf, apart
+
+    def within(self, vectors: np.ndarray, bounds: np.ndarray, radius: dict[int, float]) -> list[tuple[int, float, float, float]]:
+        """(leaf, nearest, from, to) for the leaves that may hold a row within any vector's bound: the distance of the nearest vector to the
+        leaf's pivot, and the distances from the pivot at which such rows lie."""
+        norms, out = np.linalg.norm(vectors, axis=1), []
+        near = _distances(vectors, self.cells)
+        for cell, reach in radius.items():
+            # Distances are rounded in proportion to the vectors; a visit too many changes nothing.
+            slack = 1e-6 + 1e-7 * (2 * norms + 3 * near[:, cell] + np.where(np.isfinite(bounds), bounds, 0))
+            rows = np.flatnonzero(near[:, cell] - reach <= bounds + slack)
+            if not len(rows):
+                continue
+            d = _distances(vectors[rows], self.pivots[self.leaves[cell]])
+            limit = (bounds + slack + 1e-7 * norms)[rows, None] + 3e-7 * d
+            for leaf, nearest, low, high in zip(self.leaves[cell].tolist(), d.min(0), (d - limit).min(0), (d + limit).max(0)):
+                out.append((leaf, float(nearest), float(low), float(high)))
+        return out
+
+
+def _pivot_tree(corpus: DataFrame, key: str, vector: str, seed: int) -> PivotTree | None:
+    """None without rows, else a tree of about one leaf per BLOCK_ROWS rows, of at most MAX_LEAVES and PIVOT_BYTES, from rows drawn by hash."""
+    facts = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    leaves = max(1, min(-(-facts["n"] // BLOCK_ROWS), MAX_LEAVES, PIVOT_BYTES // (8 * max(1, facts["dim"] or 1))))
+    chosen = corpus.orderBy(seeded_hash(seed, "pivots", key)).limit(leaves).select(vector).collect()
+    return PivotTree(np.array([r[0] for r in chosen], dtype="float64")) if chosen else None
+
+
+def _packed(rows: DataFrame, tree: PivotTree, wide: bool) -> DataFrame:
+    """(name, cell, leaf, block, low, high, far, ids, gs, v): rows (id, g, v) in blocks of at most BLOCK_ROWS of one leaf, cut by the
+    distance to its pivot, their vectors as one binary value, rows by id; ``far`` is the greatest distance to the cell's pivot."""
+    place = T.StructType([T.StructField(n, t) for n, t in (("cell", T.IntegerType()), ("far", T.DoubleType()), ("leaf", T.LongType()), ("d", T.DoubleType()))])
+
+    @F.pandas_udf(place)
+    def placed(vs: pd.Series) -> pd.DataFrame:
+        found = tree.place(np.stack(vs.to_numpy())) if len(vs) else [[]] * 4
+        return pd.DataFrame(dict(zip(["cell", "far", "leaf", "d"], found)))
+
+    # Places are Python work and are read several times: written out once.
+    kept = cut_lineage(spread(rows).withColumn("p", placed("v")).select("id", "g", "v", "p.*").withColumn("row", F.monotonically_increasing_id()))
+    numbered = with_value_position(kept, "d", "row", "__at", within=["leaf"]).withColumn("block", F.floor(F.col("__at") / BLOCK_ROWS))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("row", "ascending")])
+        values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        d, (leaf, block) = table.column("d").to_numpy(), (table.column(n)[0].as_py() for n in ("leaf", "block"))
+        one = {
+            "name": [f"{leaf}:{block}"], "cell": table.column("cell").slice(0, 1), "leaf": [leaf], "block": [block],
+            "low": [float(d.min())], "high": [float(d.max())], "far": [float(table.column("far").to_numpy().max())],
+            "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
+            "gs": pa.array([table.column("g").to_pylist()], pa.list_(pa.string())), "v": [values.astype("<f8" if wide else "<f4").tobytes()],
+        }
+        return pa.table({n: x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for n, x in one.items()})
+
+    packed = numbered.drop("__at").groupBy("leaf", "block").applyInArrow(
+        pack, f"name string, cell int, leaf long, block long, low double, high double, far double, ids array<{kind}>, gs array<string>, v binary"
+    )
+    return cut_lineage(packed)
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -280,121 +408,144 @@ def nearest(
     ``metric`` is ``l2`` (smallest distance) or ``ip`` (largest inner product). With ``group``, rows of
     the query's own group are left out.
 
-    Corpus rows are grouped around a bounded set of pivots and cut, by distance to their pivot, into blocks of
-    4096, so every block has a band of distances. A first look at the block around the query's own distance
-    bounds its k-th neighbour; after that only blocks are visited whose band is within the bound of the
-    query's distance to their pivot. Blocks meet chunks of queries, so every task works on a bounded matrix
-    and sends on k rows per query.
+    Rows hang on a tree of pivots with two levels and are cut, by distance to their leaf's pivot, into blocks of at most BLOCK_ROWS; so are
+    the queries. A block of queries first meets the nearest block of its own leaf, then the FIRST_VISITS nearest ones, and last
+    all that the bounds found so far leave; what a block may still hold follows from the distances of its cell, leaf and band. Blocks
+    travel as binary values: a block of queries once to every block it meets, a block of the corpus once to QUERY_BLOCKS of them. A task
+    works on bounded matrices and sends on what is within the bounds, at most k rows a query and meeting.
     """
     if metric not in ("l2", "ip"):
         raise ValueError(f"unknown metric {metric!r}")
     base = [F.col(key).alias("id"), (F.lit(None).cast("string") if group is None else F.col(group).cast("string")).alias("g")]
     c = corpus.select(*base, F.col(vector).cast("array<double>").alias("v"))
     q = queries.select(*base, F.col(vector).cast("array<double>").alias("v"))
+    single = all(f.schema[vector].dataType.elementType == T.FloatType() for f in (queries, corpus))
+    wide = metric == "ip" or not single
     if metric == "ip":
         # One more coordinate makes all corpus rows equally long; distance order is then product order.
         norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
         top = c.agg(F.max(norm)).first()[0] or 0.0
         c = c.withColumn("v", F.concat("v", F.array(F.sqrt(F.greatest(F.lit(top) - norm, F.lit(0.0))))))
         q = q.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
-    id_kind = c.schema["id"].dataType
-    pivots = _pivot_table(c, "id", "v", seed)
-
-    near_type = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("d", T.DoubleType())])
-
-    @F.pandas_udf(near_type)
-    def nearest_pivot(vs: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(vs.to_numpy()), pivots) if len(vs) else np.zeros((0, len(pivots)))
-        at = d.argmin(1) if len(vs) else np.zeros(0, dtype="int64")
-        return pd.DataFrame({"cluster": at.astype("int64"), "d": d[np.arange(len(at)), at]})
-
-    # Pivot distances are Python work and are read several times: written out once, without the vectors.
-    placed = cut_lineage(c.withColumn("p", nearest_pivot("v")).select("id", "g", F.col("p.cluster").alias("cluster"), F.col("p.d").alias("d")))
-    numbered = with_value_position(placed, "d", "id", "__at", within=["cluster"]).withColumn("block", F.floor(F.col("__at") / BLOCK_ROWS))
-    blocks = cut_lineage(numbered.drop("__at").join(c.select("id", "v"), "id"))
-    bands = cut_lineage(blocks.groupBy("cluster", "block").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
-    radius = {r["cluster"]: r["r"] for r in bands.groupBy("cluster").agg(F.max("hi").alias("r")).collect()}  # one row a pivot
-
-    here = q.withColumn("p", nearest_pivot("v")).select("id", F.col("p.cluster").alias("cluster"), F.col("p.d").alias("d"))
-    gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
-    own = here.join(bands, "cluster").groupBy("id", "cluster").agg(F.min(F.struct(gap.alias("gap"), "block")).alias("b"))
-    first = q.join(own.select("id", "cluster", F.col("b.block").alias("block")), "id")
-    found = _search_blocks(first, blocks, k, id_kind, metric)
-    bound = found.groupBy("query").agg(F.max("dist").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
-    limited = q.join(bound.select(F.col("query").alias("id"), "bound"), "id", "left")
-
-    visit_type = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("cluster", T.LongType()), ("d", T.DoubleType()), ("reach", T.DoubleType()))]))
-
-    @F.pandas_udf(visit_type)
-    def clusters_to_visit(vs: pd.Series, bounds: pd.Series) -> pd.Series:
-        if not len(vs):
-            return pd.Series([], dtype="object")
-        vectors = np.stack(vs.to_numpy())
-        out = []
-        for row, norm, limit in zip(_distances(vectors, pivots), np.linalg.norm(vectors, axis=1), bounds):
-            visited = []
-            for at in radius:
-                reach = math.inf
-                if limit is not None and limit == limit:
-                    # Distances are rounded in proportion to the vectors; visiting one block too many changes nothing.
-                    reach = limit + 1e-6 + 1e-7 * (2 * norm + 3 * row[at] + limit)
-                if row[at] - radius[at] <= reach:
-                    visited.append({"cluster": at, "d": row[at], "reach": reach})
-            out.append(visited)
-        return pd.Series(out)
-
-    near = limited.select("id", "g", "v", F.explode(clusters_to_visit("v", "bound")).alias("c")).select("id", "g", "v", "c.*")
-    within = (F.col("lo") <= F.col("d") + F.col("reach")) & (F.col("hi") >= F.col("d") - F.col("reach"))
-    visits = near.join(bands, "cluster").filter(within).select("id", "g", "v", "cluster", "block")
-    partial = _search_blocks(visits, blocks, k, id_kind, metric)
-    order = Window.partitionBy("query").orderBy("dist", "neighbour")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query", "rank", "neighbour", "score")
-
-
-def _search_blocks(visits: DataFrame, blocks: DataFrame, k: int, id_kind: T.DataType, metric: str) -> DataFrame:
-    """The k nearest rows of each visited block, for every (query, block)."""
-    # Queries of one block are dealt over chunks; a chunk holds about BLOCK_ROWS of them.
-    per_block = visits.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n_chunks"))
-    dealt = visits.join(per_block, ["cluster", "block"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")))
-    spread = blocks.join(per_block, ["cluster", "block"]).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1))
-    )
-    kind = id_kind.simpleString()
+    kind = c.schema["id"].dataType.simpleString()
+    empty = f"query {q.schema['id'].dataType.simpleString()}, rank int, neighbour {kind}, score double"
+    tree = _pivot_tree(c, "id", "v", seed)
+    if tree is None:
+        return queries.sparkSession.createDataFrame([], empty)
+    blocks = _packed(c, tree, wide)
+    chunks = blocks if queries is corpus and metric == "l2" else _packed(q, tree, wide)
+    bands = blocks.select("name", "leaf", "low", "high")
+    radius = {r["cell"]: r["r"] for r in blocks.groupBy("cell").agg(F.max("far").alias("r")).collect()}  # one row a cell
+    # queries may be the corpus: their columns get names of their own
+    chunks = chunks.select(F.col("name").alias("chunk"), *[F.col(n).alias(f"q_{n}") for n in ("leaf", "low", "high", "ids", "gs", "v")])
+    none = F.array().cast("array<struct<at: int, bound: double>>")
+
+    # the nearest block of the own leaf
+    own = chunks.select("chunk", F.col("q_leaf").alias("leaf"), F.col("q_low").alias("a"), F.col("q_high").alias("b")).join(bands, "leaf")
+    gap = F.struct(F.greatest(F.col("low") - F.col("b"), F.col("a") - F.col("high"), F.lit(0.0)), F.abs(F.col("low") + F.col("high") - F.col("a") - F.col("b")), "name")
+    visits = own.groupBy("chunk").agg(F.min_by("name", gap).alias("name"))
+    found = done = None
+    for round_ in range(3):
+        if round_:
+            limits = found.groupBy("chunk", "at").agg(F.max(F.struct("rank", "dist")).alias("last")).filter(F.col("last.rank") == k)
+            limits = limits.groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("last.dist").alias("bound"))).alias("bounds"))
+            bounded = chunks.join(limits, "chunk", "left").withColumn("bounds", F.coalesce("bounds", none))
+            reached = _reach(bounded, tree, radius, wide)
+            near = (F.col("low") <= F.col("b")) & (F.col("high") >= F.col("a"))
+            visits = reached.join(bands, "leaf").filter(near).join(done, ["chunk", "name"], "left_anti")
+            if round_ == 1:
+                apart = F.greatest(F.col("low") - F.col("nearest"), F.col("nearest") - F.col("high"), F.lit(0.0))
+                order = Window.partitionBy("chunk").orderBy(apart, "nearest", "name")
+                visits = visits.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= FIRST_VISITS)
+            visits = cut_lineage(visits.select("chunk", "name"))
+        else:
+            bounded = chunks.withColumn("bounds", none)
+            visits = cut_lineage(visits)
+        met = _search_blocks(visits, blocks, bounded, k, kind, metric, wide)
+        met = met if found is None else met.unionByName(found.drop("rank"))
+        best = Window.partitionBy("chunk", "at").orderBy("dist", "neighbour")
+        found = cut_lineage(met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+        done = visits if done is None else done.unionByName(visits)
+    names = chunks.select("chunk", F.posexplode("q_ids").alias("at", "query"))
+    return found.join(names, ["chunk", "at"]).select("query", "rank", "neighbour", "score")
+
+
+def _block(v: bytes, n: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(v, dtype="<f8" if wide else "<f4").reshape(n, -1).astype("float64")
+
+
+def _bounds(n: int, known: list[dict]) -> np.ndarray:
+    out = np.full(n, np.inf)
+    for x in known:
+        out[x["at"]] = x["bound"]
+    return out
+
+
+def _reach(chunks: DataFrame, tree: PivotTree, radius: dict[int, float], wide: bool) -> DataFrame:
+    """(chunk, leaf, nearest, a, b): the leaves a block of queries may have to visit, and the band of distances there."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                vectors = _block(row["q_v"], row["n"], wide)
+                found = tree.within(vectors, _bounds(row["n"], row["bounds"]), radius)
+                yield pd_to_batch([(row["chunk"], *x) for x in found])
+
+    def pd_to_batch(rows):
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["chunk", "leaf", "nearest", "a", "b"])
+
+    return chunks.select("chunk", "q_v", "bounds", F.size("q_ids").alias("n")).mapInArrow(run, "chunk string, leaf long, nearest double, a double, b double")
+
+
+def _search_blocks(visits: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int, kind: str, metric: str, wide: bool) -> DataFrame:
+    """(chunk, at, neighbour, dist, score): the k nearest rows of every visited (chunk, name) for each query that are within its bound."""
+    part = F.floor(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) % F.lit(max(1, -(-chunks.count() // QUERY_BLOCKS)))).alias("part")
+    dealt = visits.select("chunk", "name", part)
+    asked = dealt.join(chunks.select("chunk", "q_ids", "q_gs", "q_v", "bounds"), "chunk")
+    met = dealt.select("name", F.col("part").alias("block_part")).distinct()
+    held = blocks.select(F.col("name").alias("block_name"), *[F.col(n).alias(n) for n in ("ids", "gs", "v")])
+    held = held.join(met, F.col("block_name") == F.col("name")).drop("name")
     inner = metric == "ip"
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "neighbour", "dist", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: pd.Series(dtype="float64") for n in columns})
-        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        d = _distances(a, b)
-        own = left["g"].notna().to_numpy()[:, None] & (left["g"].to_numpy()[:, None] == right["g"].to_numpy()[None, :])
-        d[own] = np.inf
-        ids = right["id"].to_numpy()
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for i, name in enumerate(left["id"].to_numpy()):
-            best = np.lexsort((ids, d[i]))[:k] if len(ids) <= 2 * k else _smallest(d[i], ids, k)
-            for j in best:
-                if math.isfinite(d[i, j]):
-                    exact = float(a[i] @ b[j]) if inner else float(np.linalg.norm(a[i] - b[j]))
-                    out.append((name, ids[j], d[i, j], exact))
-        return pd.DataFrame(out, columns=columns)
-
-    keys = ["cluster", "block", "chunk"]
-    return (
-        dealt.select(*keys, "id", "g", "v")
-        .groupBy(*keys)
-        .cogroup(spread.select(*keys, "id", "g", "v").groupBy(*keys))
-        .applyInPandas(search, f"query {kind}, neighbour {kind}, dist double, score double")
+        for block in right.to_pylist():
+            b, b_groups = _block(block["v"], len(block["ids"]), wide), np.array(block["gs"], dtype=object)
+            for row in (r for i in range(len(left)) for r in left.slice(i, 1).to_pylist()):
+                n = len(row["q_ids"])
+                a, bounds, a_groups = _block(row["q_v"], n, wide), _bounds(n, row["bounds"]), np.array(row["q_gs"], dtype=object)
+                for at in range(0, n, 512):
+                    some = slice(at, at + 512)
+                    d = _distances(a[some], b)
+                    own = np.array([g is not None for g in a_groups[some]])[:, None] & (a_groups[some, None] == b_groups[None, :])
+                    d[own] = np.inf
+                    rows, columns = _smallest(d, bounds[some], k)
+                    exact = (a[some][rows] * b[columns]).sum(1) if inner else np.linalg.norm(a[some][rows] - b[columns], axis=1)
+                    out.append((row["chunk"], rows + at, columns, d[rows, columns], exact, block["ids"]))
+        return pa.table(
+            {
+                "chunk": pa.array([c for c, rows, *_ in out for _ in rows], pa.string()),
+                "at": pa.array(np.concatenate([x[1] for x in out] or [[]]).astype(np.int32)),
+                "neighbour": pa.array([ids[j] for *_, columns, _, _, ids in out for j in columns], right.schema.field("ids").type.value_type),
+                "dist": pa.array(np.concatenate([x[3] for x in out] or [[]]).astype(float)),
+                "score": pa.array(np.concatenate([x[4] for x in out] or [[]]).astype(float)),
+            }
+        )
+
+    return asked.groupBy("name", "part").cogroup(held.groupBy("block_name", "block_part")).applyInArrow(
+        search, f"chunk string, at int, neighbour {kind}, dist double, score double"
     )
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest distances, all ties at the edge considered, smaller ids first."""
-    edge = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= edge)
-    return near[np.lexsort((ids[near], d[near]))][:k]
+def _smallest(d: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k smallest finite distances within its bound; of equal ones at the edge the first columns."""
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+    edge = np.minimum(edge, bounds * (1 + 1e-6) + 1e-6)[:, None]
+    less, same = d < edge, (d == edge) & np.isfinite(d)
+    same &= np.cumsum(same, axis=1) <= k - less.sum(1)[:, None]
+    return np.nonzero((less & np.isfinite(d)) | same)
 
 
 def padded_neighbours(found: DataFrame, queries: DataFrame, key: str, k: int, pad: int = -1) -> DataFrame:

@@ -142,18 +142,17 @@ def _(spark, d):
 @query(
     "j7_padded_neighbours",
     """
-    with p as (select a.vec_id as query, b.vec_id as neighbour, list_distance(a.embedding::double[], b.embedding::double[]) as d
-               from embeddings a join embeddings b on a.label <> b.label and b.vec_id < 3),
-    r as (select *, row_number() over (partition by query order by d, neighbour) as rank from p),
-    l as (select query, list(neighbour order by rank) as n from r where rank <= 4 group by 1)
-    select vec_id as query, array_to_string(list_resize(coalesce(n, []), 4, -1::bigint), ',') as neighbours from embeddings left join l on vec_id = query
+    with p as (select a.vec_id as query, b.vec_id as neighbour, list_inner_product(a.embedding::double[], b.embedding::double[]) as s
+               from embeddings a join embeddings b on a.label <> b.label),
+    r as (select *, row_number() over (partition by query order by s desc, neighbour) as rank from p),
+    l as (select query, list(neighbour order by rank) as n from r where rank <= 6 group by 1)
+    select vec_id as query, array_to_string(list_resize(coalesce(n, []), 6, -1::bigint), ',') as neighbours from embeddings left join l on vec_id = query
     """,
 )
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
-    # Three rows to find, so that most lists need padding.
-    found = similarity.nearest(vectors, vectors.filter("vec_id < 3"), "vec_id", "embedding", 4, group="label")
-    return similarity.padded_neighbours(found, vectors, "vec_id", 4).withColumn("neighbours", F.array_join("neighbours", ","))
+    found = similarity.nearest(vectors, vectors, "vec_id", "embedding", 6, group="label", metric="ip")
+    return similarity.padded_neighbours(found, vectors, "vec_id", 6).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 @query(

@@ -212,7 +212,6 @@ def test_nearest_by_brute_force(spark, monkeypatch, metric):
 
 def test_nearest_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(similarity, "MAX_PIVOTS", 8)
     looks, search = [], similarity._search_blocks
     monkeypatch.setattr(similarity, "_search_blocks", lambda visits, *a: looks.append((visits, a[0])) or search(visits, *a))
     rng = np.random.default_rng(2)
@@ -222,8 +221,52 @@ def test_nearest_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
     for i in range(len(v)):
         order = np.lexsort((np.arange(len(v)), np.linalg.norm(v - v[i], axis=1)))
         assert [got[i, 1], got[i, 2]] == list(order[:2])
-    visits, blocks = looks[-1]
-    assert visits.count() <= 0.3 * len(v) * blocks.select("cluster", "block").distinct().count()
+    # blocks of queries are blocks of the same rows here
+    n_blocks = looks[0][1].count()
+    assert n_blocks >= len(v) / 16 and sum(visits.count() for visits, _ in looks) <= 0.2 * n_blocks**2
+    assert len({tuple(r) for visits, _ in looks for r in visits.select("chunk", "name").collect()}) == sum(visits.count() for visits, _ in looks)
+
+
+def test_nearest_awkward_rows(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.ones((60, 3)), rng.normal(size=(30, 3)), np.zeros((1, 3))]).astype("float32")  # many copies
+    rows = [(f"n{i:03d}", None if i % 5 == 0 else f"g{i % 3}", [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "id string, g string, v array<float>")
+    few = df.filter("id < 'n004' or id > 'n085'")
+    got = {}
+    for r in similarity.nearest(few, df, "id", "v", 4, group="g").collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["neighbour"], round(r["score"], 5))
+    for i, g, x in rows:
+        if i < "n004" or i > "n085":
+            order = sorted((round(float(np.linalg.norm(np.float64(x) - np.float64(y))), 5), j) for j, h, y in rows if g is None or h != g)[:4]
+            assert [got[i][n + 1] for n in range(4)] == [(j, d) for d, j in order]
+    assert similarity.nearest(few, df.filter("false"), "id", "v", 4).count() == 0
+    assert similarity.nearest(df.filter("false"), few, "id", "v", 4).count() == 0
+
+
+def test_embedding_blocks_are_made_again_where_damaged(spark, tmp_path):
+    folder, calls = str(tmp_path / "e"), tmp_path / "calls"
+    calls.mkdir()
+
+    def embedder(texts):
+        (calls / str(len(list(calls.iterdir())))).write_text(str(len(texts)))
+        return np.array([[len(t), ord(t[0])] for t in texts], dtype="float32")
+
+    items = spark.createDataFrame([(i, chr(97 + i % 26) * (i % 7 + 1)) for i in range(200)], "id long, t string").coalesce(1)
+    run = lambda df: similarity.embed_blocks(df, "id", "t", embedder, folder, 6)
+    assert run(items) == list(range(6)) and run(items) == []
+    rows = lambda: sorted((r.id, list(r.embedding)) for r in similarity.read_blocks(spark, folder, "id", items.schema["id"].dataType).collect())
+    want = rows()
+    assert len(want) == 200 and want[3] == (3, [4.0, 100.0])
+    for part in (tmp_path / "e" / "vectors" / "block=2").glob("*"):
+        part.unlink()
+    for part in (tmp_path / "e" / "vectors" / "block=4").glob("*.parquet"):
+        part.write_bytes(part.read_bytes()[:40])
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert run(items) == [2, 4] and rows() == want and run(items) == []
+    more = items.union(spark.createDataFrame([(1000, "zz")], items.schema)).coalesce(1)
+    assert len(run(more)) == 1 and len(rows()) == 201
 
 
 def test_repetition_by_brute_force(spark):

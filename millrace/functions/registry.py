@@ -5,11 +5,12 @@ from __future__ import annotations
 import importlib.util
 import inspect
 import pickle
+import types
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,16 +55,21 @@ def batch_reward(fn: Callable[..., list[float]], **options) -> Callable[..., Col
     return scored
 
 
-def load_reward(path: str, name: str, **options) -> Callable[..., Column]:
+def load_reward(path: str, name: str, spark: SparkSession | None = None, **options) -> Callable[..., Column]:
     """A row function ``name`` of a Python file, keyword options bound, as a column function.
 
-    The function takes (data_source, solution, ground_truth) and returns a number.
+    The function takes (data_source, solution, ground_truth) and returns a number. With a session the file is read by it, from any
+    file system it knows.
     """
-    spec = importlib.util.spec_from_file_location("user_reward", path)
-    if spec is None or spec.loader is None:
-        raise FileNotFoundError(path)
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
+    if spark is not None:
+        module = types.ModuleType("user_reward")
+        exec(compile(spark.read.text(path, wholetext=True).first()[0], path, "exec"), module.__dict__)
+    else:
+        spec = importlib.util.spec_from_file_location("user_reward", path)
+        if spec is None or spec.loader is None:
+            raise FileNotFoundError(path)
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
     fn = getattr(module, name, None)
     if fn is None:
         raise AttributeError(f"{path} has no function {name!r}")

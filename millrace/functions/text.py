@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ ARTICLES = r"\b(a|an|the)\b"
 ENGLISH_WORD = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 
 
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # any odd number with mixed bits
+
+
 def strip(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 
@@ -86,8 +90,15 @@ def character_ngram_ratio(n: int):
         def of(text):
             if text is None or len(text) < n:
                 return None
-            count = len(text) - n + 1
-            return len({text[i : i + n] for i in range(count)}) / count
+            # A window's hash is a difference of prefix sums over powers of an odd number, shifted to the window's start.
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+            powers = np.full(len(points), MULTIPLIER, dtype=np.uint64)
+            powers[0] = 1
+            sums = np.append(np.uint64(0), np.cumsum(points * np.cumprod(powers)))
+            back = np.full(len(points) - n + 1, pow(int(MULTIPLIER), -1, 1 << 64), dtype=np.uint64)
+            back[0] = 1
+            hashes = (sums[n:] - sums[:-n]) * np.cumprod(back)
+            return len(np.unique(hashes)) / len(hashes)
 
         return pd.Series([of(t) for t in texts], dtype="float64")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,15 +226,14 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], reward: str) -> DataFrame:
     return stats.withColumn("advantage", value).drop("__sum", "__n")
 
 
+@F.pandas_udf("array<double>")
+def _sums_from_end(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: None if x is None else np.cumsum(np.asarray(x, dtype="float64")[::-1])[::-1])
+
+
 def reverse_cumulative(values: ColumnOrName) -> Column:
     """Sum of each array element and all after it."""
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-    folded = F.aggregate(
-        F.reverse(col(values)),
-        start,
-        lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")),
-    )
-    return F.reverse(folded["out"])
+    return _sums_from_end(col(values).cast("array<double>"))
 
 
 def whiten(df: DataFrame, value: str) -> DataFrame:

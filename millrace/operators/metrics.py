@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,53 @@ def majority_value(df: DataFrame, keys: Sequence[str], vote: str, value: str, or
     return votes.groupBy(*keys).agg(F.max_by("__v", F.struct(F.col("__n"), -F.col("__first"))).alias("majority"))
 
 
+def _majority_shares(counts: Sequence[int], n: int) -> np.ndarray:
+    """Chance of each vote to be the majority of ``n`` draws with replacement; votes of equal counts win alike often.
+
+    Over each count m of the winner: the others' draws, none with more than m, as a product of exponential series, with the number of
+    ties kept beside the degree.
+    """
+    shares = np.asarray(counts, dtype=float) / sum(counts)
+    factorials = np.cumprod(np.append(1.0, np.arange(1, n + 1)))
+    won = np.zeros(len(shares))
+    for m in range(1, n + 1):
+        most = (n - m) // m  # others that can tie
+        for v, p in enumerate(shares):
+            series = np.zeros((most + 1, n - m + 1))  # [ties, draws]
+            series[0, 0] = 1.0
+            for o, q in enumerate(shares):
+                if o != v:
+                    grown = np.zeros_like(series)
+                    for c in range(min(m, n - m + 1)):
+                        grown[:, c:] += series[:, : series.shape[1] - c] * q**c / factorials[c]
+                    if m <= n - m:
+                        grown[1:, m:] += series[:-1, : series.shape[1] - m] * q**m / factorials[m]
+                    series = grown
+            won[v] += factorials[n] * p**m / factorials[m] * (series[:, n - m] / (1 + np.arange(most + 1))).sum()
+    return won
+
+
+def expected_majority(df: DataFrame, keys: Sequence[str], vote: str, value: str, n: int) -> DataFrame:
+    """(keys, mean, std): the exact limit of ``bootstrap_majority`` for ``n`` draws.
+
+    A winning vote's first draw is any of its samples alike often, so the value's mean and square follow from the shares of the
+    votes and the means over their samples.
+    """
+    each = df.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.avg(F.pow(F.col(value), 2)).alias("s"))
+    votes = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "m", "s"))).alias("__v"))  # one entry a vote
+
+    @F.pandas_udf("struct<mean: double, std: double>")
+    def limit(lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for entries in lists:
+            won = _majority_shares([e["n"] for e in entries], n)
+            mean, square = (float(won @ np.array([e[k] for e in entries])) for k in ("m", "s"))
+            out.append((mean, max(square - mean * mean, 0.0) ** 0.5))
+        return pd.DataFrame(out, columns=["mean", "std"])
+
+    return votes.select(*keys, limit("__v").alias("__l")).select(*keys, "__l.mean", "__l.std")
+
+
 def bootstrap_majority(df: DataFrame, keys: Sequence[str], vote: str, value: str, order: str, n: int, draws: int = 1000, seed: int = 42):
     """Mean and deviation of the majority value over seeded draws of n samples with replacement.
 

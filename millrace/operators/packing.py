@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..session import cut_lineage
 from .ordering import row_total, with_position
 
 ROUND_ROWS = 1000
@@ -95,7 +96,7 @@ def pack_rows(df: DataFrame, key: str, length: str, capacity: int, carry_rounds:
     done = None
     for turn in range(carry_rounds + 1):
         placed = with_position(rows, key, "__pos").withColumn("__group", F.floor(F.col("__pos") / ROUND_ROWS))
-        packed = _packed(placed, key, length, capacity, best_fit)
+        packed = cut_lineage(_packed(placed, key, length, capacity, best_fit))  # read for its packs and for the next round
         last = turn == carry_rounds
         kept = packed if last else packed.filter("not __open")
         named = kept.select(key, length, F.concat_ws("-", F.lit(str(turn)), "__group", "__bin").alias("pack"))

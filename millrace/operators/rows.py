@@ -79,15 +79,18 @@ def _optional(df: DataFrame, name: str) -> Column | None:
     return F.col(name) if name in df.columns else None
 
 
-def from_response(df: DataFrame) -> DataFrame:
-    """query / response / system / history columns to ``messages``. A list response gives its first."""
+def from_response(df: DataFrame, seed: int | None = None, ids: Sequence[ColumnOrName] = ()) -> DataFrame:
+    """query / response / system / history columns to ``messages``.
+
+    A list response gives its first, or with a ``seed`` one drawn by the row's ``ids``.
+    """
     df = rename_by_alias(df, RESPONSE_COLUMNS)
     for name in ("query", "response"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
     response = F.col("response")
     if isinstance(df.schema["response"].dataType, T.ArrayType):
-        response = F.get(response, F.lit(0))
+        response = F.get(response, F.lit(0)) if seed is None else seeded_pick(response, seed, "response", *ids)
     history = _optional(df, "history")
     if history is not None and isinstance(df.schema["history"].dataType, T.StringType):
         history = F.from_json(literal_to_json(history), "array<array<string>>")
@@ -594,6 +597,82 @@ def context_qa_rows(df: DataFrame, question: str, contexts: str, answers: str, o
     )
 
 
+def _kind(value: Column) -> Column:
+    """Type name of a variant; null where there is none."""
+    return F.schema_of_variant(value)
+
+
+def qa_rows(
+    df: DataFrame, instance: str, source: str = "given", longform: bool = False, sub_paragraph: bool = False, inference: bool = False
+) -> DataFrame:
+    """(question, answer, neighbours) from question-answering rows whose fields differ by data set.
+
+    ``instance`` is a VARIANT column. The question of a row of type ``multi_choice_qa`` is followed by its lettered options. Neighbours
+    come from ``source``: ``corpus`` (a list of texts), ``retrieved`` (a list of titled contexts) or ``given``: sub-paragraphs as
+    one text or a (title, text) pair, with ``sub_paragraph`` else the field of that name, else an empty one. The answer is
+    the long form where that is asked for (rows without it are dropped), else the first of ``answers``, or ``answer`` as a
+    list, a text or anything else as text; an answer may be an object with a text. Rows with no answer in their list are dropped, rows
+    without either field or with an answer of another kind are an error. ``inference`` keeps all rows and gives no answers.
+    """
+    v = F.col(instance)
+
+    def text(path: str) -> Column:
+        return F.try_variant_get(v, path, "string")
+
+    def lists(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def kind(path: str) -> Column:
+        return _kind(F.try_variant_get(v, path, "variant"))
+
+    def titled(title: Column | str, body: Column) -> Column:
+        return F.concat(F.lit("title: "), F.lit(title) if isinstance(title, str) else title, F.lit(", source: "), body)
+
+    options = F.transform(
+        lists("$.multichoice_options"), lambda o, i: F.concat(F.lit("("), F.char(i + 65), F.lit(") "), F.try_variant_get(o, "$", "string"))
+    )
+    choices = F.concat(F.lit("\nChoose one based on the following options: "), F.array_join(options, " "))
+    question = F.when(text("$.qa_type") == "multi_choice_qa", F.concat(text("$.question"), choices)).otherwise(text("$.question"))
+
+    if source == "corpus":
+        neighbours = F.transform(lists("$.bert_pretrain_corpus_neighbours"), lambda c: F.concat(F.lit("source: "), F.try_variant_get(c, "$", "string")))
+    elif source == "retrieved":
+        neighbours = F.transform(lists("$.ctxs"), lambda c: titled(F.try_variant_get(c, "$.title", "string"), F.try_variant_get(c, "$.text", "string")))
+    elif source == "given":
+        path = "$['sub-paragraphs']"
+        one = F.when(kind(path).startswith("ARRAY"), titled(text(path + "[0]"), text(path + "[1]"))).when(kind(path) == "STRING", titled("", text(path)))
+        if sub_paragraph:
+            one = one.when(kind("$.sub_paragraph") == "STRING", titled("", text("$.sub_paragraph")))
+        neighbours = F.array(one.otherwise(F.lit("title: , source: ")))
+    else:
+        raise ValueError(f"unknown source of neighbours {source!r}")
+
+    def element(path: str) -> Column:
+        """Text of a list's first answer."""
+        other = F.raise_error(F.lit("unsupported type for answer(s)")).cast("string")
+        return F.when(kind(path).startswith("OBJECT"), F.trim(text(path + ".text"))).when(kind(path) == "STRING", text(path)).otherwise(other)
+
+    many, single = kind("$.answers"), kind("$.answer")
+    if longform:
+        answer, keep = text("$.longform_answer"), kind("$.longform_answer").isNotNull()
+    else:
+        neither = F.raise_error(F.lit("need to have answer or answers")).cast("string")
+        answer = (
+            F.when(many.startswith("ARRAY"), element("$.answers[0]"))
+            .when(single.startswith("ARRAY"), element("$.answer[0]"))
+            .when(single == "BOOLEAN", F.initcap(text("$.answer")))
+            .when(single.isNotNull(), text("$.answer"))
+            .otherwise(neither)
+        )
+        keep = ~F.coalesce(
+            F.when(many.startswith("ARRAY"), F.size(lists("$.answers")) == 0).when(single.startswith("ARRAY"), F.size(lists("$.answer")) == 0), F.lit(False)
+        )
+    kept = [c for c in df.columns if c != instance]
+    if inference:
+        return df.select(*kept, question.alias("question"), F.lit(None).cast("string").alias("answer"), neighbours.alias("neighbours"))
+    return df.filter(keep).select(*kept, question.alias("question"), F.concat(F.lit(" "), answer).alias("answer"), neighbours.alias("neighbours"))
+
+
 def marker_sessions(df: DataFrame, key: str, is_start: Column, session: str = "session") -> DataFrame:
     """Number sessions in row order; a row where ``is_start`` holds opens the next one.
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrName, col
-from ..functions.seeded import seeded_unit
+from ..functions.seeded import seeded_long, seeded_unit
 from ..session import cut_lineage
+from ..sources.files import path_exists
 from .ordering import row_total, running_totals, with_position, with_shuffled_position
 
 
@@ -163,6 +164,57 @@ def interleave(
     return wanted.join(items, [dataset, "__item"]).drop("__item")
 
 
+class Curriculum:
+    """A table of sampling weights that every batch of results changes.
+
+    Version N of the weights is a folder below ``path``, written whole before it counts, so an update that runs again gives the
+    same version and one that stopped is not seen. Version 0 is the start.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, seed: int = 42):
+        self.spark, self.path, self.key, self.seed = spark, path.rstrip("/"), key, seed
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version}"
+
+    def start(self, weights: DataFrame) -> None:
+        """Version 0 from (key, weight)."""
+        weights.select(self.key, F.col("weight").cast("double").alias("weight")).write.mode("overwrite").parquet(self._folder(0))
+
+    def version(self) -> int:
+        """The newest version that is whole."""
+        version = -1
+        while path_exists(self.spark, f"{self._folder(version + 1)}/_SUCCESS"):
+            version += 1
+        return version
+
+    def weights(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self._folder(self.version() if version is None else version))
+
+    def draw(self, n: int, version: int | None = None) -> DataFrame:
+        """(key, weight) of ``n`` rows drawn without replacement by weight: the smallest exponential keys. Rows of weight 0 are left out."""
+        version = self.version() if version is None else version
+        unit = (seeded_long(self.seed, "curriculum", F.lit(version), self.key).cast("double") + 0.5) / float(1 << 48)
+        rows = self.weights(version).filter(F.col("weight") > 0)
+        return rows.withColumn("__e", -F.ln(unit) / F.col("weight")).orderBy("__e", self.key).limit(n).drop("__e")
+
+    def update(self, results: DataFrame, version: int | None = None, low: float = 0.0, high: float = float("inf")) -> int:
+        """The version after ``version``: weights times the factors in ``results`` (key, factor), held between two bounds.
+
+        Keys without a result keep their weight; several factors of a key are multiplied.
+        """
+        version = self.version() if version is None else version
+        factors = results.groupBy(self.key).agg(F.product(F.col("factor").cast("double")).alias("factor"))
+        moved = F.greatest(F.least(F.col("weight") * F.coalesce("factor", F.lit(1.0)), F.lit(high)), F.lit(low))
+        made = self.weights(version).join(factors, self.key, "left").select(self.key, moved.alias("weight"))
+        made.write.mode("overwrite").parquet(self._folder(version + 1))
+        return version + 1
+
+    def writer(self, stream: DataFrame, low: float = 0.0, high: float = float("inf")):
+        """Stream writer: micro-batch N of (key, factor) makes version N + 1 of version N."""
+        return stream.writeStream.foreachBatch(lambda batch, number: self.update(batch, number, low, high))
+
+
 def write_weights(weights: DataFrame) -> DataFrame:
     """Weights a curriculum step produced, cut from the plan that made them."""
     return cut_lineage(weights)

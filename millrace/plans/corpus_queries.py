@@ -166,6 +166,22 @@ def _(spark, d):
     return blend.weighted_blend(spark, list(WEIGHTS), list(WEIGHTS.values()), size)
 
 
+@query(
+    "c13_blend_list",
+    """
+    with s as (select source as name, count(*) as w from documents group by 1), t as (select sum(w)::double as total from s)
+    select name, round(w / total, 9) as weight, ceil(ceil(1000 * (w / total)) * (1 + 0.005))::bigint as size from s, t
+    """,
+)
+def _(spark, d):
+    """A blend list "w1 name1 w2 name2 .." of the sources, parsed and normalised, and the samples to build of each."""
+    entries = [str(x) for name, n in source_sizes(spark, d).items() for x in (n, f" {name} ")]
+    names, weights = blend.parse_blend(entries)
+    found = zip(names, blend.normalise_weights(weights), blend.dataset_sizes(weights, 1000, 0.005))
+    made = spark.createDataFrame(list(found), "name string, weight double, size bigint")
+    return made.withColumn("weight", F.round("weight", 9))
+
+
 def source_sizes(spark, d):
     """One config row per source."""
     return {r[0]: r[1] for r in documents(spark, d, "source").groupBy("source").count().orderBy("source").collect()}
@@ -303,14 +319,18 @@ def _(spark, d):
 
 
 def pack_facts(packed, capacity):
-    """Per document: the packs it is in, and whether its pack is within the capacity (or an over-long row alone)."""
+    """Per document: the packs it is in, whether its pack is within the capacity (or an over-long row alone), and whether there are
+    at most twice as many packs as the tokens need, and the over-long rows' own."""
     sums = packed.groupBy("pack").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("rows"))
     fits = (F.col("total") <= capacity) | (F.col("rows") == 1)
+    small = F.col("total") <= capacity
+    used = sums.agg((F.count_if(small) <= 2 * F.sum(F.when(small, F.col("total"))) / capacity + 1).alias("few_packs"))
     each = packed.join(sums, "pack").withColumn("fits", fits)
-    return each.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("packs"), F.every("fits").alias("fits"))
+    found = each.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("packs"), F.every("fits").alias("fits"))
+    return found.withColumn("few_packs", used.scalar())
 
 
-PACK_FACTS = f"select doc_id, len({q.words('text')})::bigint as n_tokens, 1 as packs, true as fits from documents"
+PACK_FACTS = f"select doc_id, len({q.words('text')})::bigint as n_tokens, 1 as packs, true as fits, true as few_packs from documents"
 
 
 @query("c24_pack_rows", PACK_FACTS)

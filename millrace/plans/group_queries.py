@@ -454,6 +454,26 @@ def _(spark, d):
     return metrics.majority_value(rollouts(spark, d), ["task"], "vote", "reward", "sample")
 
 
+@query(
+    "a9_expected_majority",
+    f"""
+    with {RO}, v as (select task, vote, count(*) as n, avg(reward) as m, avg(reward * reward) as s from ro group by 1, 2),
+    p as (select task, n / sum(n) over (partition by task)::double as p, m, s, row_number() over (partition by task order by vote) as i from v),
+    w as (select task, max(p) filter (i = 1) as p1, coalesce(max(p) filter (i = 2), 0) as p2, coalesce(max(p) filter (i = 3), 0) as p3,
+                 max(m) filter (i = 1) as m1, coalesce(max(m) filter (i = 2), 0) as m2, coalesce(max(m) filter (i = 3), 0) as m3,
+                 max(s) filter (i = 1) as s1, coalesce(max(s) filter (i = 2), 0) as s2, coalesce(max(s) filter (i = 3), 0) as s3 from p group by 1),
+    c as (select a, b, 5 - a - b as c, greatest(a, b, 5 - a - b) as top from (select unnest(range(6)) as a), (select unnest(range(6)) as b) where a + b <= 5),
+    e as (select task, 120 / (factorial(a::int) * factorial(b::int) * factorial(c::int))::double * p1 ** a * p2 ** b * p3 ** c as chance,
+                 ((a = top)::int * m1 + (b = top)::int * m2 + (c = top)::int * m3) / ((a = top)::int + (b = top)::int + (c = top)::int)::double as m,
+                 ((a = top)::int * s1 + (b = top)::int * s2 + (c = top)::int * s3) / ((a = top)::int + (b = top)::int + (c = top)::int)::double as s from w, c)
+    select task, round(sum(chance * m), 6) as mean, round(sqrt(greatest(sum(chance * s) - sum(chance * m) ** 2, 0)), 4) as std from e group by 1
+    """,
+)
+def _(spark, d):
+    found = metrics.expected_majority(steps(spark, d), ["task"], "vote", "reward", 5)
+    return found.select("task", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"))
+
+
 @query("a9_bootstrap_majority")
 def _(spark, d):
     return metrics.bootstrap_majority(steps(spark, d), ["task"], "vote", "reward", "step", 4, 50)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import registry, rewards
 from ..functions.text import word_count, words
-from ..operators import corpus
+from ..operators import corpus, sampling
 from ..sources import readers, writers
+from ..sources.catalog import Catalog
 from ..sources.traces import TraceStore
 from ..streaming import stateful
 from . import sqltext as q
@@ -71,13 +75,36 @@ def _(spark, d):
     return readers.load_reference(spark, f"hf::{name}:en/de#100", "doc_id")
 
 
-@query("s15_registered_splits", "select r_regionkey as id, 'region' as split from region union all select n_nationkey, 'nation' from nation")
+@query("s15_registered_splits", "select doc_id as id, 'documents' as split from documents union all select event_id, 'events' from events")
 def _(spark, d):
     def ids(df):
-        return df.select(F.coalesce("r_regionkey", "n_nationkey").alias("id"), "split")
+        return df.select(F.coalesce("doc_id", "event_id").alias("id"), "split")
+
+    readers.register_meta(readers.DatasetMeta("rows", d, splits=["documents", "events"], preprocess=ids), replace=True)
+    return readers.load_reference(spark, "rows")
+
 
-    readers.register_meta(readers.DatasetMeta("places", d, splits=["region", "nation"], preprocess=ids), replace=True)
-    return readers.load_reference(spark, "places")
+@query(
+    "s14_catalogue",
+    """
+    select doc_id, lang as split, 'rule' as style, (select count(distinct lang) from documents) as n_splits from documents
+    """,
+)
+def _(spark, d):
+    """Languages as splits of a registered data set, with their copies in RL form."""
+    folder = writers.scratch_path(spark, "catalogue")
+    catalogue = Catalog(spark, "catalogue_" + folder.rsplit("-", 1)[1], folder)
+    docs = documents(spark, d, "lang")
+    names = sorted(r["lang"] for r in docs.select("lang").distinct().collect())  # a handful of languages
+    for name in names:
+        catalogue.register(docs.filter(F.col("lang") == name), "documents", name)
+    found = None
+    for name in catalogue.splits("documents"):
+        plain, wrapped = catalogue.load("documents", name), catalogue.load("documents", f"{name}_rl")
+        style = wrapped.select("extra_info.doc_id", "reward_model.style")
+        one = plain.join(style, "doc_id").select("doc_id", F.lit(name).alias("split"), "style", F.lit(len(catalogue.splits("documents"))).alias("n_splits"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query("s5_all_but_weak_subsets", "select doc_id, lang from documents where lang <> 'es'")
@@ -339,6 +366,16 @@ def _(spark, d):
     return documents(spark, d, "text", "lang").select("doc_id", registry.batch_reward(half, scale=0.5)("text", "lang").alias("score"))
 
 
+@query("u5_reward_of_a_file", "select doc_id, ((length(text) % 7 = n_chars % 7)::int + case when lang = 'en' then 0.5 else 0.25 end)::double as score from documents")
+def _(spark, d):
+    """A reward function written to a file and read by the session."""
+    path = writers.scratch_path(spark, "reward") + ".py"
+    lines = ["def score(source, solution, truth, modulus, bonus=0.0):", "    same = len(solution) % modulus == int(truth) % modulus", "    return int(same) + (bonus if source == 'en' else bonus / 2)"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    scored = registry.load_reward(path, "score", spark, modulus=7, bonus=0.5)
+    return documents(spark, d, "text", "lang", "n_chars").select("doc_id", scored("lang", "text", F.col("n_chars").cast("string")).alias("score"))
+
+
 @query("u6_task_reward", "select p_partkey, (p_size * 1.0)::double as reward, p_name like '%ring%' as is_correct, p_type as kind from part")
 def _(spark, d):
     def judge(task, action):
@@ -374,6 +411,60 @@ def _(spark, d):
     return events.select("event_id", F.round(registry.route_scores("event_type", routes), 6).alias("score"))
 
 
+@query("u8_real_vocabulary", "select doc_id, md5(text) as text, true as fewer_than_bytes from documents")
+def _(spark, d):
+    """Ids of a public vocabulary, read back."""
+
+    def vocabulary():
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def build():
+        found = vocabulary()
+        found.encode_special_tokens = True
+        return lambda text: found.encode(text, add_special_tokens=False).ids
+
+    @F.pandas_udf("string")
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = vocabulary()
+        for ids in batches:
+            yield ids.map(lambda x: found.decode(list(x), skip_special_tokens=False))
+
+    made = documents(spark, d, "text").select("doc_id", "text", registry.tokenizer_column(build)("text").alias("ids"))
+    return made.select("doc_id", F.md5(texts("ids")).alias("text"), (F.size("ids") <= F.octet_length("text")).alias("fewer_than_bytes"))
+
+
+CURRICULUM = 3
+
+
+def _curriculum_sql():
+    """Three versions of the weights: the 200 smallest exponential keys are drawn, right ones halve their weight, others grow by half."""
+    parts = ["w0 as materialized (select doc_id, case when lang = 'en' then 2.0 else 1.0 end::double as weight from documents)"]
+    for i in range(CURRICULUM):
+        ident = f"'{i}' || '|' || doc_id"
+        unit = f"(('0x' || substr({q.shuffled('curriculum', ident)}, 1, 12))::bigint::double + 0.5) / 281474976710656.0"
+        parts.append(f"d{i} as materialized (select doc_id from w{i} where weight > 0 order by -ln({unit}) / weight, doc_id limit 200)")
+        factor = "case when d.doc_id is null then 1.0 when n_chars % 2 = 0 then 0.5 else 1.5 end::double"
+        parts.append(
+            f"w{i + 1} as materialized (select w.doc_id, greatest(least(weight * {factor}, 2.5), 0.3) as weight from w{i} w join documents using (doc_id) left join d{i} d on d.doc_id = w.doc_id)"
+        )
+    return f"with {', '.join(parts)} select doc_id, round(weight, 6) as weight from w{CURRICULUM}"
+
+
+@query("u9_curriculum", _curriculum_sql())
+def _(spark, d):
+    """Three rounds: draw by the newest weights, judge, and write the next version."""
+    docs = documents(spark, d, "lang", "n_chars")
+    course = sampling.Curriculum(spark, writers.scratch_path(spark, "curriculum"), "doc_id")
+    course.start(docs.select("doc_id", F.when(F.col("lang") == "en", 2.0).otherwise(1.0).alias("weight")))
+    for _ in range(CURRICULUM):
+        judged = course.draw(200).join(docs, "doc_id").select("doc_id", F.when(F.col("n_chars") % 2 == 0, 0.5).otherwise(1.5).alias("factor"))
+        course.update(judged, low=0.3, high=2.5)
+    return course.weights().select("doc_id", F.round("weight", 6).alias("weight"))
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

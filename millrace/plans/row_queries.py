@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chat
+from ..functions import chat, templates
 from ..functions.text import words
 from ..operators import corpus, rows, sampling
 from . import sqltext as q
@@ -189,7 +189,18 @@ def _(spark, d):
     return made.select("doc_id", F.md5("query").alias("query"), "response")
 
 
-@query("p16_grounding_prompt")
+def _prompt_list(lang):
+    return "[" + ", ".join("'" + text + "'" for text, _ in rows.GROUNDING_PROMPTS[lang]) + "]"
+
+
+@query(
+    "p16_grounding_prompt",
+    f"""
+    with h as (select doc_id, ('0x' || substr({q.shuffled('template', 'doc_id')}, 1, 12))::bigint as h, {q.unit('language', 'doc_id')} < 0.8 as english from documents)
+    select doc_id, case when english then ({_prompt_list('en')})[(h % {len(rows.GROUNDING_PROMPTS['en'])} + 1)::int]
+      else ({_prompt_list('zh')})[(h % {len(rows.GROUNDING_PROMPTS['zh'])} + 1)::int] end as query, '<bbox>' as response from h
+    """,
+)
 def _(spark, d):
     prompt = documents(spark, d).select("doc_id", rows.grounding_prompt(42, "doc_id").alias("p"))
     return prompt.select("doc_id", "p.query", "p.response")
@@ -487,6 +498,142 @@ def _(spark, d):
     return conversations(spark, d).select("conv_id", F.md5(chat.render_chat("messages")).alias("prompt"))
 
 
+def _turn_sql(parts, strip_assistant):
+    """SQL of a turn's text, by role: user rows whose turn is a multiple of four count as tool output."""
+    content = f"case when role = 'assistant' then {q.strip('text')} else text end" if strip_assistant else "text"
+    cases = " ".join(f"when '{role}' then '{a}' || {content} || '{b}'" for role, (a, b) in parts.items())
+    return f"case role {cases} end"
+
+
+def _family_sql(name, begin, parts, strip_assistant, default, generation):
+    size = f"len({q.strip('text') if strip_assistant else 'text'}) + {len(parts['assistant'][1].replace("' || chr(10) || '", 'x'))}"
+    opened = f"case when first_role <> 'system' then '{default}' else '' end || " if default else ""
+    return f"""
+      select conv_id, '{name}' as family, md5('{begin}' || {opened}string_agg({_turn_sql(parts, strip_assistant)}, '' order by turn) || '{generation}') as prompt,
+        coalesce(sum({size}) filter (role = 'assistant'), 0)::bigint as n_loss, true as read_back
+      from t group by conv_id, first_role"""
+
+
+_NL = "' || chr(10) || '"
+_FAMILIES = " union all ".join(
+    [
+        _family_sql(
+            "im", "", {**{r: (f"<|im_start|>{r}{_NL}", f"<|im_end|>{_NL}") for r in ("system", "user", "assistant")},
+                       "tool": (f"<|im_start|>user{_NL}<tool_response>{_NL}", f"{_NL}</tool_response><|im_end|>{_NL}")},
+            True, f"<|im_start|>system{_NL}You are a helpful assistant.<|im_end|>{_NL}", f"<|im_start|>assistant{_NL}",
+        ),
+        _family_sql(
+            "header", "<|begin_of_text|>", {**{r: (f"<|start_header_id|>{r}<|end_header_id|>{_NL}{_NL}", "<|eot_id|>") for r in ("system", "user", "assistant")},
+                                            "tool": (f"<|start_header_id|>user<|end_header_id|>{_NL}{_NL}<|start_header_id|>tool_response<|end_header_id|>{_NL}{_NL}", "<|eot_id|><|eot_id|>")},
+            False, "", f"<|start_header_id|>assistant<|end_header_id|>{_NL}{_NL}",
+        ),
+        _family_sql(
+            "bar", "<｜begin▁of▁sentence｜>", {"system": ("", ""), "user": ("<｜User｜>", ""), "assistant": ("<｜Assistant｜>", "<｜end▁of▁sentence｜>"),
+                                              "tool": (f"<｜User｜><｜tool▁response▁begin｜>{_NL}", f"{_NL}<｜tool_response_end｜>")},
+            True, "", f"<｜Assistant｜><think>{_NL}",
+        ),
+    ]
+)
+
+
+@query(
+    "x20_template_families",
+    f"""
+    with t as (select conv_id, turn, text, case when role = 'user' and turn % 4 = 0 and turn > 0 then 'tool' else role end as role,
+                      first_value(case when role = 'user' and turn % 4 = 0 and turn > 0 then 'tool' else role end) over (partition by conv_id order by turn) as first_role from conversations)
+    {_FAMILIES}
+    """,
+)
+def _(spark, d):
+    """Three families: the prompt, the characters to learn, and whether the turns are read back from the text."""
+    role = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0) & (F.col("turn") > 0), "tool").otherwise(F.col("role"))
+    turn = F.struct("turn", role.alias("role"), F.col("text").alias("content"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
+    out = None
+    for name, t in templates.TEMPLATES.items():
+        turns = F.transform(templates.template_turns(t, "messages"), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+        spans = templates.loss_spans(t, "messages")
+        # contents without text leave nothing to read back in a family whose marks are empty
+        kept = F.filter(turns, lambda x: (x["role"] != "system") | (x["content"] != "")) if t.turns["system"][0] == "" else turns
+        one = talks.select(
+            "conv_id",
+            F.lit(name).alias("family"),
+            F.md5(templates.render_template(t, "messages", True)).alias("prompt"),
+            F.aggregate(F.transform(spans, lambda s: s["end"] - s["start"]), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_loss"),
+            (templates.parse_template(t, templates.render_template(t, "messages")) == kept).alias("read_back"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "p29_source_forms",
+    """
+    with p as (select p_partkey, p_partkey % 8 as form, p_name, p_brand, p_type, p_size from part)
+    select p_partkey, md5(case when form = 1 then p_name || chr(10) || 'Choose one based on the following options: (A) ' || p_brand || ' (B) ' || p_type else p_name end) as question,
+      ' ' || case form when 0 then p_brand when 1 then p_brand when 2 then p_type when 3 then p_brand when 4 then p_size::varchar when 5 then 'True' when 7 then p_type end as answer,
+      case form when 0 then 'title: ' || p_type || ', source: ' || p_name when 1 then 'title: , source: ' || p_type when 2 then 'title: , source: ' || p_brand else 'title: , source: ' end as neighbour
+    from p where form <> 6
+    """,
+)
+def _(spark, d):
+    """Eight forms of a question-answering row by part key, as JSON text read into a variant."""
+
+    def obj(**fields):
+        return F.to_json(F.struct(*[v.alias(k.replace("__", "-")) for k, v in fields.items()]))
+
+    name, brand, kind, size = (F.col(f"p_{n}") for n in ("name", "brand", "type", "size"))
+    none = F.array().cast("array<string>")
+    forms = [
+        obj(question=name, sub__paragraphs=F.array(kind, name), answers=F.array(brand, kind)),
+        obj(question=name, qa_type=F.lit("multi_choice_qa"), multichoice_options=F.array(brand, kind), sub__paragraphs=kind, answer=brand),
+        obj(question=name, sub_paragraph=brand, answers=F.array(F.struct(F.concat(F.lit(" "), kind, F.lit(" ")).alias("text"), F.lit(3).alias("start")))),
+        obj(question=name, answer=F.array(brand, kind)),
+        obj(question=name, answer=size),
+        obj(question=name, answer=F.lit(True)),
+        obj(question=name, answers=none),
+        obj(question=name, answer=F.array(F.struct(kind.alias("text")))),
+    ]
+    chosen = forms[0]
+    for i, form in enumerate(forms):
+        chosen = F.when(F.pmod("p_partkey", F.lit(8)) == i, form).otherwise(chosen)
+    instances = table(spark, d, "part").select("p_partkey", F.parse_json(chosen).alias("instance"))
+    made = rows.qa_rows(instances, "instance", sub_paragraph=True)
+    return made.select("p_partkey", F.md5("question").alias("question"), "answer", F.col("neighbours")[0].alias("neighbour"))
+
+
+@query(
+    "p29_retrieved_contexts",
+    """
+    select conv_id, md5(string_agg('title: ' || role || ', source: ' || text, '|' order by turn)) as neighbours, ' ' || max(text) filter (turn = 0) as answer
+    from conversations group by 1 having max(text) filter (turn = 0) is not null
+    """,
+)
+def _(spark, d):
+    turn = F.struct("turn", F.col("role").alias("title"), "text")
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(turn)).alias("ctxs"), F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("longform_answer")
+    )
+    instance = F.parse_json(F.to_json(F.struct(F.lit("q").alias("question"), "ctxs", "longform_answer")))
+    made = rows.qa_rows(talks.select("conv_id", instance.alias("instance")), "instance", source="retrieved", longform=True)
+    return made.select("conv_id", F.md5(F.array_join("neighbours", "|")).alias("neighbours"), "answer")
+
+
+@query(
+    "p4_drawn_response",
+    f"""
+    with {PAIRS_SQL}
+    select conv_id, turn, 'user:' || md5(gold) || ',assistant:' || md5([prediction, 'other', 'third'][(('0x' || substr({q.shuffled('response', "conv_id || '|' || turn")}, 1, 12))::bigint % 3 + 1)::int]) as messages
+    from pairs
+    """,
+)
+def _(spark, d):
+    pairs = turn_pairs(spark, d).select(
+        "conv_id", "turn", F.col("gold").alias("query"), F.array("prediction", F.lit("other"), F.lit("third")).alias("response")
+    )
+    return rows.from_response(pairs, 42, ["conv_id", "turn"]).select("conv_id", "turn", rendered().alias("messages"))
+
+
 MASK_SQL = f"""
     with c as (select conv_id, turn, role, len({q.words('text')}) as n, min(turn) filter (role = 'assistant') over w as first,
                       max(turn) filter (role = 'assistant') over w as last from conversations window w as (partition by conv_id))
@@ -541,6 +688,24 @@ def _(spark, d):
 
 
 # Kept beside the chat queries: the generated table takes its row ids from the documents.
-@query("s16_char_count_rows")
+def _draw(salt, *more):
+    ident = "doc_id" + "".join(f" || '|' || {x}" for x in more)
+    return f"('0x' || substr({q.shuffled(salt, ident)}, 1, 12))::bigint"
+
+
+@query(
+    "s16_char_count_rows",
+    f"""
+    with d as (select doc_id, {_draw('length')} % 16 + 5 as n, {_draw('target')} % 26 as target, {_draw('hits')} as h from documents),
+    e as (select doc_id, n, target, h % n + 1 as hits, unnest(range(1, n + 1)) as i from d),
+    p as (select doc_id, target, hits, {q.shuffled('place', "doc_id || '|' || i")} as k,
+                 case when i <= hits then target else (target + 1 + {_draw('miss', 'i')} % 25) % 26 end as c from e),
+    w as (select doc_id, hits, chr((97 + target)::int) as letter, string_agg(chr((97 + c)::int), '-' order by k, c) as word,
+                 string_agg(chr((97 + c)::int) || case when c = target then ' = ' else ' != ' end || chr((97 + target)::int) || '.', chr(10) order by k, c) as lines
+          from p group by doc_id, hits, target)
+    select doc_id, 'How many ' || letter || ' are there in word ' || word || '?' as prompt,
+      lines || chr(10) || '\\boxed{{' || hits || '}} ' || letter || ' in ' || word || '.' as response, hits::int as gold from w
+    """,
+)
 def _(spark, d):
     return corpus.char_count_rows(documents(spark, d), "doc_id", 5, 20)

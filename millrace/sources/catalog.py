@@ -21,9 +21,10 @@ def _table(name: str, split: str) -> str:
 class Catalog:
     """Register, load, list and remove datasets of one database."""
 
-    def __init__(self, spark: SparkSession, database: str = "datasets"):
+    def __init__(self, spark: SparkSession, database: str = "datasets", location: str | None = None):
         self.spark, self.database = spark, database
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        place = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
 
     def _full(self, name: str, split: str) -> str:
         return f"{self.database}.{_table(name, split)}"

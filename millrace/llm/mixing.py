@@ -128,7 +128,8 @@ def materialise(docs: DataFrame, quality: DataFrame | None = None, **options) ->
     A document taken in part ends after its taken words (at most one per source). Documents without words carry
     nothing to take and go.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    # stored, so that both uses see the same numbers
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
     chosen = mix(numbered.withColumn("row", F.col("__row")).select("doc_id", "text", "source", "row"), quality, with_row=True, **options)
     chosen = chosen.filter("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     joined = numbered.join(chosen, "__row")

@@ -5,11 +5,11 @@
 2. Each (coordinate, value) pair of a node is a posting. Two sets with similarity 0.75 agree in fewer than MATCHES
    coordinates with probability 2e-7, so of a node's postings only the COORDINATES - MATCHES + 1 rarest are merged (prefix), and
    those no other node has are skipped.
-3. Inside a posting list, nodes are compared by a finer signature of FINE coordinates (agreement under FINE_MATCHES has
-   probability below 1e-7 at similarity 0.75). First every node meets the list's hub, the one nearest to the
-   list's commonest values; found pairs are confirmed on the full sets and merged into components.
-4. Lists that still hold several components compare all pairs of different components, in blocks, by the finer
-   signature; the members that have such a pair get their full sets and are compared exactly inside the task. A pair is looked
+3. Nodes that meet in a posting list have their collisions counted, coordinate by coordinate, and pairs with MATCHES or more go on.
+   First every node meets the list's hub, the one nearest to the list's commonest values; found pairs are confirmed on the full sets and
+   merged into components.
+4. Lists that still hold several components count the collisions of all pairs of different components, in blocks; the members that
+   have such a pair get their full sets and are compared exactly inside the task. A pair is looked
    at in the first list that holds both, only links that join components leave a task, and pairs within a component,
    which cannot change it, are never made.
 
@@ -33,7 +33,6 @@ from .components import component_labels
 
 WORDS = 5
 COORDINATES, MATCHES = 48, 20
-FINE, FINE_MATCHES = 128, 68
 BLOCK = 1024
 PERCENT = 75
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -86,22 +85,27 @@ def minima(values: np.ndarray, count: int, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, mins): ``node`` is a 128-bit digest of the set, null when it is empty."""
+    """(doc_id, text_hash, n_shingles, node, mins, signature): ``node`` is a 128-bit digest of the set, null when it is empty.
+
+    ``signature`` has 32 bits of every minimum.
+    """
 
     def run(batch: pa.RecordBatch):
-        counts, nodes, mins = [], [], []
+        counts, nodes, mins, signatures = [], [], [], []
         for text in batch.column("text").to_pylist():
             values = shingle_set(text)
             counts.append(len(values))
             nodes.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
-            mins.append(minima(values, COORDINATES, 11).view(np.int64) if len(values) else None)
+            least = minima(values, COORDINATES, 11) if len(values) else None
+            mins.append(None if least is None else least.view(np.int64))
+            signatures.append(None if least is None else (least & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "n_shingles", "node", "mins"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+            ["doc_id", "text_hash", "n_shingles", "node", "mins", "signature"],
         )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(per_batch(run), "doc_id long, text_hash long, n_shingles long, node binary, mins array<long>")
+    return texts.mapInArrow(per_batch(run), "doc_id long, text_hash long, n_shingles long, node binary, mins array<long>, signature binary")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -134,22 +138,21 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, fine, shingles) of every node in ``wanted`` (node, doc_id), from one of its texts."""
+    """(node, n, shingles) of every node in ``wanted`` (node, doc_id, text_hash), from one of its texts."""
 
     def run(batch: pa.RecordBatch):
         rows = []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
             values = shingle_set(text)
-            if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == node:  # else another text under the same id
-                fine = (minima(values, FINE, 12) & np.uint64(255)).astype(np.uint8).tobytes()
-                rows.append((node, len(values), fine, values.view(np.int64)))
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "fine", "shingles"])
+            if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == node:  # else another text with the same id and hash
+                rows.append((node, len(values), values.view(np.int64)))
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())]
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
-    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    return held.mapInArrow(per_batch(run), "node binary, n long, fine binary, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("node", "text")
+    return held.mapInArrow(per_batch(run), "node binary, n long, shingles array<long>")
 
 
 def _lists(keys: list[str], work):
@@ -177,8 +180,13 @@ def _lists(keys: list[str], work):
     return run
 
 
-def _fine(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["fine"].to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["signature"].to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+
+
+def _commonest(column: np.ndarray) -> int:
+    values, counts = np.unique(column, return_counts=True)
+    return values[counts.argmax()]
 
 
 def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -188,16 +196,16 @@ def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _hub_pairs(table: pa.Table, bounds):
-    """Every member of a list with its hub, where the finer signatures are near enough."""
-    nodes, fine = table["node"].to_pylist(), _fine(table)
+    """Every member of a list with its hub, where their collisions reach the threshold."""
+    nodes, signatures = table["node"].to_pylist(), _signatures(table)
     pairs = []
     for start, end in bounds:
-        part, hub = fine[start:end], 0
+        part, hub = signatures[start:end], 0
         if end - start > 2:
-            common = np.array([np.bincount(part[:, j], minlength=256).argmax() for j in range(FINE)], dtype=np.uint8)
+            common = np.array([_commonest(part[:, j]) for j in range(COORDINATES)], dtype="<u4")
             hub = int((part == common).sum(axis=1).argmax())
-        agree = (part == part[hub]).sum(axis=1)
-        pairs += [(nodes[start + hub], nodes[start + i]) for i in np.flatnonzero(agree >= FINE_MATCHES).tolist() if i != hub]
+        collisions = (part == part[hub]).sum(axis=1)
+        pairs += [(nodes[start + hub], nodes[start + i]) for i in np.flatnonzero(collisions >= MATCHES).tolist() if i != hub]
     if pairs:
         yield _pairs_batch(pairs)
 
@@ -209,8 +217,8 @@ def _sides(table: pa.Table, start: int, end: int) -> np.ndarray | None:
 
 
 def _open_members(table: pa.Table, bounds):
-    """Members of a list that have a near enough member of another component, in the first list that both are in."""
-    fine, label = _fine(table), np.array(table["label"].to_pylist(), dtype="S16")
+    """Members of a list with MATCHES collisions or more with one of another component, in the first list that both are in."""
+    signatures, label = _signatures(table), np.array(table["label"].to_pylist(), dtype="S16")
     posts = np.frombuffer(b"".join(table["prefix"].to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
     at = table["at"].to_numpy()
     chosen = np.zeros(table.num_rows, dtype=bool)
@@ -222,7 +230,7 @@ def _open_members(table: pa.Table, bounds):
             if side is not None:
                 other &= side[i + 1 :] != side[i]
             rest = np.flatnonzero(other) + start + i + 1
-            rest = rest[np.count_nonzero(fine[rest] == fine[start + i], axis=1) >= FINE_MATCHES]
+            rest = rest[np.count_nonzero(signatures[rest] == signatures[start + i], axis=1) >= MATCHES]
             if len(rest):
                 mine = posts[start + i]
                 shared = (posts[rest] == mine) & (mine != 0)
@@ -286,15 +294,19 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """
     each = stored(sketches(docs), "sketches")
     full = each.filter("node is not null")
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"))
+    nodes = full.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("held"), F.count(F.lit(1)).alias("copies"),
+        F.first("mins").alias("mins"), F.first("signature").alias("signature"),
+    )
     nodes = stored(nodes, "nodes")
     posts = stored(_postings(nodes), "postings")
-    wanted = posts.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    wanted = posts.select("node").distinct().join(nodes.select("node", "held.doc_id", "held.text_hash"), "node")
+    signatures = nodes.select("node", "signature")
     sets = stored(_full_sets(docs, wanted).dropDuplicates(["node"]), "sets")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    members = posts.select("token", own.alias("block"), "node").join(sets.select("node", "fine"), "node")
+    members = posts.select("token", own.alias("block"), "node").join(signatures, "node")
     dealt = members.repartition("token", "block").sortWithinPartitions("token", "block", "node")
     hubs = dealt.mapInArrow(_lists(["token", "block"], _hub_pairs), "a binary, b binary")
     links = stored(_confirmed(hubs, sets), "links")
@@ -302,11 +314,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
     named = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    open_lists = named.join(mixed.select("token"), "token").join(sets.select("node", "fine"), "node")
+    open_lists = named.join(mixed.select("token"), "token").join(signatures, "node")
     paired = open_lists.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     meeting = ["token", "low", "high"]
     paired = paired.select(
-        "token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "label", "at", "prefix", "fine"
+        "token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "label", "at", "prefix", "signature"
     )
     dealt = paired.repartition(*meeting).sortWithinPartitions(*meeting, "node")
     open_members = stored(
@@ -321,7 +333,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"))
     grouped = classes.join(smallest.filter("members > 1"), "label").select("node", "label", "component_id")
     return (
-        each.drop("mins")
+        each.drop("mins", "signature")
         .join(grouped, "node", "left")
         .withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .withColumn("label", F.coalesce("label", "node"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 import uuid
@@ -85,12 +87,16 @@ def worker_cache(owner: str) -> dict:
     return module.__dict__["held"]
 
 
+_WORD_AND_TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The byte-level vocabularies never merge across a space that a non-space follows, so a text is cut at
     such spaces and each distinct piece is encoded by the library once; a text with runs of white space
-    around a space, or with the string of an added token, is encoded in one call. The memo has two generations: when the young one is full it becomes
+    around a space, or with the string of an added token, is encoded in one call. Vocabularies that split letters from
+    punctuation before merging have a word's closing punctuation encoded by itself, so words are learned once. The memo has two generations: when the young one is full it becomes
     the old one, from which pieces in use come back. That bounds memory, not the result.
     """
 
@@ -106,8 +112,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        split = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        self.splits = split.get("type") == "ByteLevel" and bool(split.get("use_regex"))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -133,13 +142,31 @@ class Encoder:
                 found.update(zip(group, self._whole([" " + p for p in group])))
         return found
 
+    def _worded(self, pieces: list[str]) -> dict[str, bytes]:
+        """``_learned`` of pieces and of the words that closing punctuation is cut from."""
+        cut = {p: m for p in pieces if (m := _WORD_AND_TAIL.fullmatch(p))}
+        words = {m[1] for m in cut.values()}.difference(self.young, self.old)
+        found = self._learned(list(words.union(p for p in pieces if p not in cut)))
+        tails = list({m[2] for m in cut.values()}.difference(self.tails))
+        if len(self.tails) + len(tails) > self.MEMO_PIECES // 10:
+            self.tails, tails = {}, list({m[2] for m in cut.values()})
+        self.tails.update(zip(tails, self._whole(tails)))
+        for p, m in cut.items():
+            word = found.get(m[1]) or self.young.get(m[1]) or self.old[m[1]]
+            found[p] = word + self.tails[m[2]]
+        return found
+
     def _entries(self, pieces: list[str]) -> list[bytes | int]:
         """The memo's entry for each distinct piece; 0 marks one that cannot stand alone (empty, or white space first)."""
         found = list(map(self.young.get, pieces))
         wanted = [p for p, v in zip(pieces, found) if v is None]
         known: dict[str, bytes | int] = {p: self.old[p] for p in wanted if p in self.old}
         known.update((p, 0) for p in wanted if not p or p[0].isspace())
-        known.update(self._learned([p for p in wanted if p not in known]))
+        fresh = [p for p in wanted if p not in known]
+        if self.splits:
+            known.update(self._worded(fresh))
+        else:
+            known.update(self._learned(fresh))
         if len(self.young) + len(known) > self.MEMO_PIECES:
             self.old, self.young = self.young, {}
         self.young.update(known)

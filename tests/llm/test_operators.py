@@ -65,6 +65,9 @@ def test_encoder_is_the_library(tokenizer):
     ours = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     ours.MEMO_PIECES = 50
     texts = [*TEXTS, "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|> b", " <|endoftext|>", "<|endof text|> x", "a ", " a", "a \n b", "don't  'll   x", "\n\n x\ty", " \x1c b", "   "]
+    rng = random.Random(2)
+    letters = ["a", "word", "Straße", "é", "日本", "don't", "x1", "Ünder"]
+    texts += [" ".join(rng.choice(letters) + rng.choice(["", ".", ",", "***", "'s", "!?", '."', "_", "ß", "1,"]) for _ in range(40)) for _ in range(30)]
     for _ in range(2):
         offsets, ids = ours.encode(pa.array(texts, pa.string()), 7)
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*ids_of(tokenizer, t), 7] for t in texts]

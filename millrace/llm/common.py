@@ -100,7 +100,7 @@ class Encoder:
     the old one, from which pieces in use come back. That bounds memory, not the result.
     """
 
-    MEMO_PIECES = 450_000
+    MEMO_PIECES = 330_000
     CALL_CHARS = 20_000
     GROUP_BYTES = 8_000_000
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import ColumnOrName, col, let
 from .ordering import running_totals, with_position, with_shuffled_position
@@ -226,7 +227,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], reward: str) -> DataFrame:
     return stats.withColumn("advantage", value).drop("__sum", "__n")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _sums_from_end(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: None if x is None else np.cumsum(np.asarray(x, dtype="float64")[::-1])[::-1])
 

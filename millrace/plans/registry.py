@@ -17,6 +17,7 @@ _MODULES = [
     "text_queries",
     "row_queries",
     "corpus_queries",
+    "sentence_queries",
     "group_queries",
     "join_queries",
     "io_queries",

@@ -231,14 +231,43 @@ def _(spark, d):
     return blend.gather_blend(mix, items, sizes).select("pos", "dataset", "doc_id")
 
 
-@query("c14_sentence_windows")
+SENTENCES = """sentences as (select doc_id, source, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+      lambda x: trim(x) <> '') as s from documents)"""
+
+
+def windows_sql(goal):
+    """``windows``: each document's runs of at least two sentences up to ``goal`` tokens, one recursion step a window."""
+
+    def end(start):
+        return f"coalesce(list_filter(range({start} + 2, n - 1), lambda e: before[e] - coalesce(before[{start}], 0) >= goal)[1], n)"
+
+    return f"""{SENTENCES},
+    sizes as (select doc_id, {goal} as goal, list_transform(s, lambda x: len({q.words("x")})) as z from sentences),
+    summed as (select doc_id, goal, len(z) as n, list_transform(range(1, len(z) + 1), lambda i: list_sum(z[1:i])) as before
+      from sizes where len(z) > 1 and list_max(z) <= {examples.LONG_SENTENCE}),
+    windows as (select doc_id, goal, n, before, 0::bigint as start, {end("0")}::bigint as stop, 0 as block from summed
+      union all select doc_id, goal, n, before, stop, {end("stop")}::bigint, block + 1 from windows where stop < n)"""
+
+
+def windowed(spark, d):
+    """(doc_id, sentences, w): the sentences of every document that has windows, and one window a row."""
+    split = corpus.sentences("text")
+    rows = documents(spark, d, "text").select("doc_id", split.alias("s"), F.transform(split, lambda x: F.size(words(x))).alias("sizes"))
+    return rows.select("doc_id", "s", F.explode(examples.sentence_windows("sizes", "doc_id", LENGTH)).alias("w"))
+
+
+@query(
+    "c14_sentence_windows",
+    f'with recursive {windows_sql(LENGTH)} select doc_id, start::int as start, stop::int as "end", goal as target from windows',
+)
 def _(spark, d):
-    sizes = F.transform(corpus.sentences("text"), lambda s: F.size(words(s)))
-    rows = documents(spark, d, "text").select("doc_id", sizes.alias("sizes"))
-    return rows.select("doc_id", F.explode(examples.sentence_windows("sizes", "doc_id", LENGTH)).alias("w")).select("doc_id", "w.start", "w.end", "w.target")
+    return windowed(spark, d).select("doc_id", "w.start", "w.end", "w.target")
 
 
-@query("c15_block_windows")
+@query(
+    "c15_block_windows",
+    f"""with recursive {windows_sql(f"{LENGTH} - length(source)")} select doc_id, block, start::int as start, stop::int as "end", goal::int as target from windows""",
+)
 def _(spark, d):
     sizes = F.transform(corpus.sentences("text"), lambda s: F.size(words(s)))
     rows = documents(spark, d, "text", "source").select("doc_id", sizes.alias("sizes"), F.length("source").alias("title"))
@@ -270,25 +299,80 @@ def _(spark, d):
     )
 
 
-@query("c17_sentence_pair")
+def run_of(part, whole):
+    """Whether ``part`` is a run of adjacent elements of ``whole``."""
+    return F.concat(F.lit(","), F.array_join(whole, ","), F.lit(",")).contains(
+        F.concat(F.lit(","), F.array_join(part, ","), F.when(F.size(part) > 0, ",").otherwise(""))
+    )
+
+
+@query(
+    "c17_sentence_pair",
+    f"""
+    with recursive {windows_sql(LENGTH)}
+    select doc_id, start::int as start, least(before[stop] - coalesce(before[start], 0) + 3, {LENGTH})::int as n_tokens, true as marked, true as runs
+    from windows where stop - start > 1
+    """,
+)
 def _(spark, d):
-    lists = F.filter(F.transform(corpus.sentences("text"), corpus.word_ids), lambda t: F.size(t) > 0)
-    rows = documents(spark, d, "text").select("doc_id", lists.alias("s")).filter(F.size("s") > 1)
-    made = rows.select("doc_id", examples.sentence_pair("s", "doc_id", LENGTH, 101, 102).alias("p"))
-    return made.select("doc_id", F.size("p.tokens").alias("n_tokens"), F.size("p.segments").alias("n_segments"), "p.swapped")
+    # Facts of the pair made of each window: its length, its three special tokens, and two runs of the window's tokens in order.
+    lists = F.transform(F.slice("s", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")), corpus.word_ids)
+    rows = windowed(spark, d).select("doc_id", "w.start", lists.alias("s"), F.concat_ws("|", "doc_id", "w.start").alias("id")).filter(F.size("s") > 1)
+    made = rows.select("doc_id", "start", F.flatten("s").alias("whole"), examples.sentence_pair("s", "id", LENGTH, 101, 102).alias("p"))
+    in_first = F.size(F.filter("p.segments", lambda x: x == 0)) - 2
+    a = F.slice("p.tokens", 2, in_first)
+    b = F.slice("p.tokens", in_first + 3, F.size("p.tokens") - in_first - 3)
+    facts = made.select("doc_id", "start", "whole", "p", in_first.alias("n_a"), a.alias("a"), b.alias("b"))
+    specials = (F.get("p.tokens", F.lit(0)) == 101) & (F.get("p.tokens", F.col("n_a") + 1) == 102) & (F.element_at("p.tokens", -1) == 102)
+    return facts.select(
+        "doc_id", "start", F.size("p.tokens").alias("n_tokens"),
+        (specials & (F.size("p.segments") == F.size("p.tokens"))).alias("marked"),
+        (run_of(F.col("a"), F.col("whole")) & run_of(F.col("b"), F.col("whole"))).alias("runs"),
+    )
 
 
-@query("c18_span_corruption")
+@query(
+    "c18_span_corruption",
+    f"""
+    with {SIZED}, n as (select sum(n_tokens)::bigint as n from sized)
+    select i as sample_id, least({LENGTH}, n - i * {LENGTH})::bigint as n_tokens, true as restores, true as shifted, true as within_share
+    from n, (select unnest(range((n + {LENGTH} - 1) // {LENGTH})) as i from n) s
+    """,
+)
 def _(spark, d):
-    made = samples(spark, d).select("sample_id", examples.span_corruption("tokens", "sample_id", list(range(-1, -101, -1)), 1, 2).alias("m"))
-    return made.select("sample_id", F.size("m.encoder").alias("n_encoder"), F.size("m.decoder_output").alias("n_decoder"))
+    # Sentinels are -1, -2, ..; putting the decoder's spans back in their places gives the sample again.
+    made = samples(spark, d).select("sample_id", "tokens", examples.span_corruption("tokens", "sample_id", list(range(-1, -101, -1)), 1, 2).alias("m"))
+    spelled = F.col("m.decoder_output")
 
+    def span(sentinel):
+        at = F.array_position(spelled, sentinel)
+        until = F.coalesce(F.nullif(F.array_position(spelled, sentinel - 1), F.lit(0)), F.size(spelled).cast("bigint"))
+        return F.slice(spelled, (at + 1).cast("int"), (until - at - 1).cast("int"))
 
-@query("c19_query_context")
+    back = F.flatten(F.transform("m.encoder", lambda t: F.when(t < 0, span(t)).otherwise(F.array(t))))
+    n = F.size("tokens")
+    hidden = n - F.size(F.filter("m.encoder", lambda t: t >= 0))
+    shifted = F.concat(F.col("m.decoder_input"), F.array(F.lit(2))) == F.concat(F.array(F.lit(1)), spelled)
+    return made.select(
+        "sample_id", n.cast("bigint").alias("n_tokens"), (back == F.col("tokens").cast("array<int>")).alias("restores"), shifted.alias("shifted"),
+        ((hidden >= 1) & (hidden <= F.greatest(F.lit(1), F.round(n * 0.15)))).alias("within_share"),
+    )
+
+
+@query(
+    "c19_query_context",
+    f"""
+    with {SENTENCES}, n as (select doc_id, s, len(s) as n, ('0x' || substr({q.shuffled("sentence", "doc_id", 1234)}, 1, 12))::bigint % len(s) as place,
+      {q.unit("keep", "doc_id", 1234)} < 0.1::double as kept from sentences where len(s) > 1)
+    select doc_id, n::int as n, md5(s[place + 1]) as query, case when kept then n else n - 1 end::int as n_context,
+      md5(array_to_string(list_filter(s, lambda x, i: kept or i <> place + 1), '|')) as context from n
+    """,
+)
 def _(spark, d):
     rows = documents(spark, d, "text").select("doc_id", corpus.sentences("text").alias("s")).filter(F.size("s") > 1)
     made = rows.select("doc_id", F.size("s").alias("n"), examples.query_context("s", "doc_id").alias("m"))
-    return made.select("doc_id", "n", F.md5("m.query").alias("query"), F.size("m.context").alias("n_context"))
+    context = F.md5(F.array_join("m.context", "|"))
+    return made.select("doc_id", "n", F.md5("m.query").alias("query"), F.size("m.context").alias("n_context"), context.alias("context"))
 
 
 CHUNKS = f"chunks as (select doc_id, source, n_tokens, unnest(range(0, n_tokens, 64)) as token_start from sized)"

@@ -317,10 +317,34 @@ def _(spark, d):
     return joined.select("o_orderkey", F.round(answers.vote_accuracy("o_orderstatus", "golds"), 9).alias("acc"))
 
 
-@query("x17_choice_answer")
+CHOICES = {"A": "there", "B": "and the", "C": "nicht", "D": "que"}
+
+
+def choice_sql():
+    bare = "text"
+    for mark in ",.!?;:":
+        bare = f"regexp_replace({bare}, '^[{mark}]+|[{mark}]+$', '', 'g')"
+    bare = f"regexp_replace({bare}, '^['']+|['']+$', '', 'g')"
+
+    def last(rules):
+        """The choice whose mark comes last; the first of those at one place. ``rules`` are (letter, condition, haystack, mark)."""
+        each = [
+            f"case when {found} then {{'at': case when contains({hay}, '{mark}') then length({hay}) - instr(reverse({hay}), reverse('{mark}')) - length('{mark}') + 1 "
+            f"else -1 end, 'first': {-i}, 'ch': '{ch}'}} end"
+            for i, (ch, found, hay, mark) in enumerate(rules)
+        ]
+        return f"list_sort(list_filter([{', '.join(each)}], lambda x: x is not null), 'desc')[1].ch"
+
+    bracketed = last([(ch, f"contains(r, '{ch})')", "r", f"({ch})") for ch in CHOICES])
+    letters = last([(ch, f"contains(r, ' {ch} ')", "r", f" {ch} ") for ch in CHOICES])
+    contents = last([(ch, f"contains(lower(r), '{said}') and len({q.words('r')}) > 5", "lower(r)", said) for ch, said in CHOICES.items()])
+    return f"with t as (select doc_id, ' ' || {bare} || ' ' as r from documents) select doc_id, coalesce({bracketed}, {letters}, {contents}, 'A') as choice from t"
+
+
+@query("x17_choice_answer", choice_sql())
 def _(spark, d):
-    options = F.array(F.lit("there"), F.lit("and the"), F.lit("nicht"), F.lit("que"))
-    return documents(spark, d, "text").select("doc_id", answers.choice_answer("text", list("ABCD"), options).alias("choice"))
+    options = F.array(*[F.lit(said) for said in CHOICES.values()])
+    return documents(spark, d, "text").select("doc_id", answers.choice_answer("text", list(CHOICES), options).alias("choice"))
 
 
 @query("x17_open_answer")

@@ -4,7 +4,8 @@ Messages are cut into their own text and quoted passages with nesting levels. Ow
 and its lines) and quoted ones are normalised and hashed; a quoted hash is joined to the first message that wrote it,
 in the same conversation if there is an earlier one, else in any other one. Short lines that are neither a paragraph nor a whole
 text are joined inside their conversation only. The reply's parent is the original of its outermost quote with
-the most matched characters; without a linked quote it is the turn before.
+the most matched characters; without a linked quote it is the turn before. Reply order puts messages behind the message of
+their conversation that they answer (``reply_order``).
 
 Originals are one row per (conversation, hash), or per hash with the first ones of two conversations, before the join, so a passage that many messages share meets its
 quotes once. Positions count turns in buckets of TURNS, so a conversation of any length is many small windows.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import reply_order
 from .common import per_batch, stored
 
 TURNS = 1024
@@ -127,12 +129,15 @@ def _links(parsed: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """(conv_id, position, turn, role, text, n_quotes, n_linked, parent_conv, parent_turn) of every message.
+    """(conv_id, position, reply_position, turn, role, text, n_quotes, n_linked, parent_conv, parent_turn) of every message.
 
-    ``position`` counts from 0 in the order of turns, which puts originals of one conversation before their replies.
+    ``position`` counts from 0 in the order of turns, ``reply_position`` in reply order: a message, then all that answers it, answers by
+    turn. A message whose original is in another conversation, or is not found, answers the turn before.
     """
     parsed = stored(parse_messages(messages), "parsed-messages")
-    links = _links(parsed).select(F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), "n_linked", "parent_conv", "parent_turn")
+    found = stored(_links(parsed), "reply-links")
+    moved = reply_order.moves(parsed, found)
+    links = found.select(F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), "n_linked", "parent_conv", "parent_turn")
     rows = parsed.select("conv_id", "turn", "role", "text", "n_quotes").withColumn("bucket", F.floor(F.col("turn") / TURNS))
     turns = rows.select("conv_id", "bucket", "turn").distinct()
     before_turn = Window.partitionBy("conv_id", "bucket").orderBy("turn")
@@ -153,9 +158,15 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     placed = placed.join(links, F.col("conv_id").eqNullSafe(F.col("l_conv")) & F.col("turn").eqNullSafe(F.col("l_turn")), "left")
     default = F.coalesce("own_before", "last_before")
     linked = F.col("n_linked").isNotNull()
+    shift = F.lit(0)
+    if moved is not None:
+        moved = moved.select(F.col("conv_id").alias("m_conv"), F.col("turn").alias("m_turn"), "shift")
+        same = F.col("conv_id").eqNullSafe(F.col("m_conv")) & F.col("turn").eqNullSafe(F.col("m_turn"))
+        placed, shift = placed.join(moved, same, "left"), F.coalesce("shift", F.lit(0))
     return placed.select(
         "conv_id",
         (F.col("start") + F.col("inside")).cast("bigint").alias("position"),
+        (F.col("start") + F.col("inside") + shift).cast("bigint").alias("reply_position"),
         "turn",
         "role",
         "text",

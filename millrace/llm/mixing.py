@@ -122,14 +122,26 @@ def mix(
     )
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stable name of each row in ``__row``.
+
+    A table just read from Parquet files has one: the file and the place in it. Any other table is numbered in a stored copy, so that
+    both of its uses see the same numbers.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+        if plan.relation().fileFormat().toString() == "Parquet" and "_metadata" not in docs.columns:
+            return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+
+
 def materialise(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The mix itself: ``docs``' rows repeated as often as taken, all columns kept.
 
     A document taken in part ends after its taken words (at most one per source). Documents without words carry
     nothing to take and go.
     """
-    # stored, so that both uses see the same numbers
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    numbered = _with_row(docs)
     chosen = mix(numbered.withColumn("row", F.col("__row")).select("doc_id", "text", "source", "row"), quality, with_row=True, **options)
     chosen = chosen.filter("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     joined = numbered.join(chosen, "__row")

@@ -170,10 +170,14 @@ def bootstrap_majority(df: DataFrame, keys: Sequence[str], vote: str, value: str
     ``order`` numbers the samples of a prompt from 0 without gaps.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+    # Groups are a small table of few tasks that the draws make large, so they are dealt over all cores first.
+    dealt = sizes.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    picks = dealt.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
         "turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
     picked = picks.withColumn(order, F.pmod(seeded_long(seed, "majority", *keys, "draw", "turn"), F.col("__size")))
+    # Spark takes the picks for no larger than the sizes, and would send all of them through the driver as a broadcast.
+    picked = picked.drop("__size").hint("merge")
     sampled = picked.join(df.select(*keys, F.col(order).cast("bigint").alias(order), vote, value), [*keys, order])
     per_draw = majority_value(sampled, [*keys, "draw"], vote, value, "turn")
     return per_draw.groupBy(*keys).agg(F.avg("majority").alias("mean"), F.stddev_pop("majority").alias("std"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, groups, joins, similarity
 from ..operators.ordering import row_total, with_position
+from ..session import cut_lineage
 from . import sqltext as q
 from .group_queries import RO, rollouts, steps
 from .registry import query, table
@@ -191,13 +192,15 @@ def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", words("text").alias("w"))
     sized = docs.withColumn("n_tokens", F.size("w").cast("bigint"))
     cut = corpus.chunk_documents(sized, "doc_id", 64, ["w"])
-    # Chunk ids follow (document, chunk); a document has under 2**20 chunks.
-    keyed = cut.withColumn("ck", F.col("doc_id") * (1 << 20) + F.col("chunk"))
-    chunks = with_position(keyed, "ck", "chunk_id").select("chunk_id", F.slice("w", (F.col("token_start") + 1).cast("int"), F.lit(64)).alias("tokens"))
-    n = row_total(chunks)
+    # Chunk ids follow (document, chunk); a document has under 2**20 chunks. A chunk goes on with its own words only, and words
+    # hold no space: chunks are read several times, so they are written out once, as text.
+    own = F.array_join(F.slice("w", (F.col("token_start") + 1).cast("int"), F.lit(64)), " ")
+    keyed = cut_lineage(cut.select((F.col("doc_id") * (1 << 20) + F.col("chunk")).alias("ck"), own.alias("t")))
+    chunks = with_position(keyed, "ck", "chunk_id").select("chunk_id", F.col("t").alias("tokens"))
+    n = row_total(keyed)
     rank = F.explode(F.array(F.lit(0), F.lit(1))).alias("rank")
     wanted = chunks.select(F.col("chunk_id").alias("query"), rank).withColumn("neighbour", F.pmod(F.col("query") * 13 + F.col("rank"), n))
-    made = joins.with_continuations(wanted, chunks, n, 2)
+    made = joins.with_continuations(wanted, chunks, n, 2, lambda t: F.split(t, " "))
     shown = F.transform("neighbours", lambda x: F.concat(x["neighbour"].cast("string"), F.lit("="), F.array_join(x["tokens"], " ")))
     return made.select("query", F.md5(F.array_join(shown, "|")).alias("texts"))
 

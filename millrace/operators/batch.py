@@ -37,9 +37,16 @@ def slice_rows(df: DataFrame, start: int = 0, stop: int | None = None, step: int
     return rows.withColumn("pos", F.floor((F.col("pos") - start) / step))
 
 
-def chunk(df: DataFrame, n: int) -> DataFrame:
-    """Column ``chunk``: n equal parts by position; a row count n does not divide is an error."""
+def chunk(df: DataFrame, n: int, strict: bool = True) -> DataFrame:
+    """Column ``chunk``: n equal parts by position; a row count n does not divide is an error.
+
+    Without ``strict`` the parts have the whole quotient of rows, and what is left follows in chunks from n on; of fewer
+    than n rows none has a chunk (null).
+    """
     total = row_total(df)
+    if not strict:
+        size = F.nullif(F.floor(total / n), F.lit(0).cast("bigint"))
+        return df.withColumn("chunk", F.floor(F.col("pos") / size).cast("bigint"))
     per = F.when(total % n == 0, total / n)
     checked = F.coalesce(per, F.raise_error(F.lit(f"row count is not divisible by {n}")).cast("double"))
     return df.withColumn("chunk", F.floor(F.col("pos") / checked).cast("bigint"))

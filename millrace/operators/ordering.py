@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from ..functions.columns import ColumnOrName, col
 from ..functions.seeded import seeded_hash
 
-# A unique integer key has at most 2**20 rows in a finest bucket and 2**20 buckets under one parent.
+# A unique integer key has at most 2**20 buckets under one parent; a finest bucket, whose rows go to one task whole, has
+# at most 2**10 of them. Values are cut down to 2**20 only: their rows are narrow.
 _FINE_BITS = 20
 _COARSE_BITS = 40
+_ROW_BITS = 10
 # Hex digits of an md5 that name a bucket: at most 65,536 buckets, evenly filled.
 _HASH_DIGITS = 4
 
@@ -96,10 +98,9 @@ def with_position(
 
     A group may be of any size: it is cut into key ranges like the whole table.
     """
-    bucketed = df.withColumn("__hi", F.shiftright(F.col(key).cast("bigint"), _COARSE_BITS)).withColumn(
-        "__lo", F.shiftright(F.col(key).cast("bigint"), _FINE_BITS)
-    )
-    return _numbered(bucketed, ["__hi", "__lo"], [key], position, sums, within).drop("__hi", "__lo")
+    bits = {"__hi": _COARSE_BITS, "__lo": _FINE_BITS, "__rows": _ROW_BITS}
+    bucketed = df.withColumns({name: F.shiftright(F.col(key).cast("bigint"), n) for name, n in bits.items()})
+    return _numbered(bucketed, list(bits), [key], position, sums, within).drop(*bits)
 
 
 def with_shuffled_position(

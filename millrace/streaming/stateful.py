@@ -11,6 +11,7 @@ import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,6 +23,8 @@ from ..operators.filters import not_longer
 from ..operators.packing import best_fit
 from ..sources.traces import TraceStore
 
+FRAME_ROWS = 10_000  # rows of a frame that a step sends on
+
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over all input there is, into Parquet."""
@@ -79,17 +82,19 @@ def shuffle_stream(stream: DataFrame, lane: str, order: str, buffer: int, seed:
         rows, n = state.get if state.exists else ([], 0)
         rows, name = list(rows), names[0]
         sent = []
-        for text in _ordered(frames, "__order")["__row"]:
-            if len(rows) < buffer:
-                rows.append(text)
-            else:
-                at = _draw(buffer, seed, "buffer", name, n)
-                sent.append(rows[at])
-                rows[at] = text
-            n += 1
-        first = n - len(rows) - len(sent)
+        place = n - len(rows)
+        for some in _texts_in_order(frames, "__order", "__row"):
+            for text in some:
+                if len(rows) < buffer:
+                    rows.append(text)
+                else:
+                    at = _draw(buffer, seed, "buffer", name, n)
+                    sent.append(rows[at])
+                    rows[at] = text
+                n += 1
+            yield pd.DataFrame({lane: [name] * len(sent), "place": range(place, place + len(sent)), "__row": sent})
+            place, sent = place + len(sent), []
         state.update((rows, n))
-        yield pd.DataFrame({lane: [name] * len(sent), "place": range(first, first + len(sent)), "__row": sent})
 
     texts = stream.select(lane, F.col(order).alias("__order"), F.to_json(F.struct(*stream.columns), JSON_TIMES).alias("__row"))
     moved = texts.groupBy(lane).applyInPandasWithState(
@@ -120,8 +125,23 @@ def _idle_timeout(idle: str | None) -> tuple[int, str]:
     return int(number) * seconds * 1000, GroupStateTimeout.ProcessingTimeTimeout
 
 
-def _ordered(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order)
+def _ordered(frames: Iterator[pd.DataFrame], order: str, *columns: str) -> pd.DataFrame:
+    """Rows of one key in order, with no more than the columns asked for: the key's own name is one object a row."""
+    names = list(dict.fromkeys([order, *columns]))
+    return pd.concat([pdf[names] for pdf in frames], ignore_index=True).sort_values(order)
+
+
+def _texts_in_order(frames: Iterator[pd.DataFrame], order: str, text: str) -> Iterator[list]:
+    """Lists of at most FRAME_ROWS texts in order; those of the batch are held as one Arrow array, not as objects."""
+    orders, texts = [], []
+    for pdf in frames:
+        orders.append(pdf[order])
+        texts.append(pa.array(pdf[text], pa.large_string()))
+    at = pd.concat(orders, ignore_index=True).sort_values().index.to_numpy()
+    held = pa.concat_arrays(texts)
+    del orders, texts
+    for i in range(0, len(at), FRAME_ROWS):
+        yield held.take(pa.array(at[i : i + FRAME_ROWS])).to_pylist()
 
 
 def take_split(stream: DataFrame, key: str, order: str, take: int, val: int) -> DataFrame:
@@ -156,8 +176,8 @@ def pack_stream(stream: DataFrame, lane: str, ident: str, length: str, capacity:
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     wait, timeout = _idle_timeout(idle)
 
-    def emit(name, rows, pack):
-        return pd.DataFrame({lane: name, "pack": pack, ident: [r[0] for r in rows], length: [r[1] for r in rows]})
+    def emit(name, packed):
+        return pd.DataFrame({lane: name, "pack": [p[0] for p in packed], ident: [p[1] for p in packed], length: [p[2] for p in packed]})
 
     def step(names, frames: Iterator[pd.DataFrame], state: GroupState):
         name = names[0]
@@ -165,25 +185,28 @@ def pack_stream(stream: DataFrame, lane: str, ident: str, length: str, capacity:
         waiting = list(zip(ids, lengths))
         if state.hasTimedOut:
             if waiting:
-                yield emit(name, waiting, number)
+                yield emit(name, [(number, *r) for r in waiting])
             state.remove()
             return
-        fresh = _ordered(frames, ident)
-        rows = []
-        for i, n in zip(fresh[ident], fresh[length].fillna(0)):
-            if n > capacity:  # as in the batch form, a pack of its own
-                yield emit(name, [(i, int(n))], number)
-                number += 1
-            else:
-                rows.append((i, int(n)))
-        for at in range(0, len(rows), interval):
-            pool = waiting + rows[at : at + interval]
+        fresh = _ordered(frames, ident, length)
+        lengths = fresh[length].fillna(0)
+        alone = lengths > capacity  # as in the batch form, a pack of its own
+        packed = [(number + k, i, int(n)) for k, (i, n) in enumerate(zip(fresh[ident][alone], lengths[alone]))]
+        number += len(packed)
+        ids, lengths = fresh[ident][~alone], lengths[~alone].astype("int64")
+        for at in range(0, len(ids), interval):
+            some = slice(at, at + interval)
+            pool = waiting + list(zip(ids.iloc[some].tolist(), lengths.iloc[some].tolist()))
             bins = best_fit([n for _, n in pool], capacity)
             last = max(bins)
-            for b in range(last):
-                yield emit(name, [r for r, x in zip(pool, bins) if x == b], number)
-                number += 1
-            waiting = [r for r, x in zip(pool, bins) if x == last]
+            packed += [(number + b, *r) for r, b in zip(pool, bins) if b < last]
+            waiting = [r for r, b in zip(pool, bins) if b == last]
+            number += last
+            if len(packed) >= FRAME_ROWS:  # many packs a frame
+                yield emit(name, packed)
+                packed = []
+        if packed:
+            yield emit(name, packed)
         state.update(([r[0] for r in waiting], [r[1] for r in waiting], number))
         if wait:
             state.setTimeoutDuration(wait)
@@ -249,15 +272,16 @@ def staleness(stream: DataFrame, key: str, order: str, version: str, limit: int)
     """Rows with their lag behind the newest parameter version seen so far, and whether it is within the limit."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
 
-    def step(names, frames: Iterator[pd.DataFrame], state: GroupState):
+    def step(name, frames: Iterator[pd.DataFrame], state: GroupState):
         newest = state.get[0] if state.exists else 0
-        pdf = _ordered(frames, order)
-        running = pdf[version].cummax().clip(lower=newest)
-        if len(pdf):
+        pdf = _ordered(frames, order, version)
+        for at in range(0, len(pdf), FRAME_ROWS):
+            some = pdf.iloc[at : at + FRAME_ROWS]
+            running = some[version].cummax().clip(lower=newest)
             newest = int(running.iloc[-1])
+            lag = (running - some[version]).astype("int64")
+            yield pd.DataFrame({key: name[0], order: some[order], "lag": lag, "is_fresh": lag <= limit})
         state.update((newest,))
-        lag = (running - pdf[version]).astype("int64")
-        yield pd.DataFrame({key: pdf[key], order: pdf[order], "lag": lag, "is_fresh": lag <= limit})
 
     return stream.select(key, order, F.col(version).cast("bigint").alias(version)).groupBy(key).applyInPandasWithState(
         step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, lag bigint, is_fresh boolean", "newest bigint", "append",
@@ -309,7 +333,7 @@ def session_stream(stream: DataFrame, key: str, order: str, marker: str, turn: s
                 yield emit(names[0], number, turns)
             state.update(([], number + 1 if turns else number))
             return
-        pdf = _ordered(frames, order)
+        pdf = _ordered(frames, order, "__marker", "__turn")
         for opens, text in zip(pdf["__marker"], pdf["__turn"]):
             if opens and turns:
                 yield emit(names[0], number, turns)

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from millrace.functions import registry
 from millrace.operators import batch, joins, metrics, ordering
 from millrace.plans import io_queries
 from millrace.sources import traces
@@ -117,3 +118,10 @@ def test_bloom_filters_say_yes_to_their_own_hashes():
     bloom = traces.bloom_filter(hashes[:20_000])
     assert all(traces.may_hold(bloom, hashes[i : i + 1]) for i in range(0, 20_000, 997))
     assert not traces.may_hold(bloom, hashes[20_000:])
+
+
+def test_tokenizer_ids_of_null_empty_and_long_texts(spark):
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "a b"), (3, "b " * 3000)], "k int, t string")
+    ids = registry.tokenizer_column(lambda: lambda t: [ord(w) for w in t.split()])("t")
+    assert {r["k"]: r["ids"] for r in df.select("k", ids.alias("ids")).collect()} == {0: None, 1: [], 2: [97, 98], 3: [98] * 3000}
+    assert "ArrowEvalPython" in df.select(ids)._jdf.queryExecution().executedPlan().toString()

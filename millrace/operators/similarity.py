@@ -31,7 +31,7 @@ from .sampling import top_per_group
 LEADERS = 8
 BLOCK_ROWS = 4096
 MAX_LEAVES, PIVOT_BYTES = 65_536, 32 << 20  # of the pivot tree, which every task gets
-FIRST_VISITS, QUERY_BLOCKS = 4, 8
+FIRST_VISITS, MEETING_BLOCKS, MEETINGS_PER_CORE = 4, 8, 4
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -411,8 +411,8 @@ def nearest(
     Rows hang on a tree of pivots with two levels and are cut, by distance to their leaf's pivot, into blocks of at most BLOCK_ROWS; so are
     the queries. A block of queries first meets the nearest block of its own leaf, then the FIRST_VISITS nearest ones, and last
     all that the bounds found so far leave; what a block may still hold follows from the distances of its cell, leaf and band. Blocks
-    travel as binary values: a block of queries once to every block it meets, a block of the corpus once to QUERY_BLOCKS of them. A task
-    works on bounded matrices and sends on what is within the bounds, at most k rows a query and meeting.
+    travel as binary values, once to each task that needs them, which has up to MEETING_BLOCKS of either side. A task works on bounded
+    matrices, tightens the bounds from block to block and sends on at most k rows a query.
     """
     if metric not in ("l2", "ip"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -500,45 +500,113 @@ def _reach(chunks: DataFrame, tree: PivotTree, radius: dict[int, float], wide: b
 
 
 def _search_blocks(visits: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int, kind: str, metric: str, wide: bool) -> DataFrame:
-    """(chunk, at, neighbour, dist, score): the k nearest rows of every visited (chunk, name) for each query that are within its bound."""
-    part = F.floor(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) % F.lit(max(1, -(-chunks.count() // QUERY_BLOCKS)))).alias("part")
-    dealt = visits.select("chunk", "name", part)
-    asked = dealt.join(chunks.select("chunk", "q_ids", "q_gs", "q_v", "bounds"), "chunk")
-    met = dealt.select("name", F.col("part").alias("block_part")).distinct()
+    """(chunk, at, neighbour, dist, score): of the rows of every visited (chunk, name) those within the bound of a query, the k nearest of a task.
+
+    A task takes up to MEETING_BLOCKS blocks of queries and as many of the corpus, fewer where there would not be tasks for all cores.
+    """
+    cores = visits.sparkSession.sparkContext.defaultParallelism
+    side = max(1, min(MEETING_BLOCKS, math.isqrt(visits.count() // (MEETINGS_PER_CORE * cores))))
+
+    def part(name: str, n: int) -> Column:
+        return F.floor(F.pmod(F.xxhash64(name), F.lit(1 << 30)) % F.lit(max(1, -(-n // side))))
+
+    dealt = visits.select("chunk", "name", part("chunk", chunks.count()).alias("part"), part("name", blocks.count()).alias("block_part"))
+    asked = dealt.groupBy("chunk", "part", "block_part").agg(F.collect_list("name").alias("names"))
+    asked = asked.join(chunks.select("chunk", "q_ids", "q_gs", "q_v", "bounds"), "chunk")
+    met = dealt.select("name", F.col("part").alias("met_part"), F.col("block_part").alias("met_block_part")).distinct()
     held = blocks.select(F.col("name").alias("block_name"), *[F.col(n).alias(n) for n in ("ids", "gs", "v")])
     held = held.join(met, F.col("block_name") == F.col("name")).drop("name")
     inner = metric == "ip"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, there, all_ids = {}, {}, []
+        for block in (r for i in range(len(right)) for r in right.slice(i, 1).to_pylist()):
+            n = len(block["ids"])
+            there[block["block_name"]] = (len(all_ids), _block(block["v"], n, wide), np.array([-1 if g is None else codes.setdefault(g, len(codes)) for g in block["gs"]]))
+            all_ids += block["ids"]
+        places = {x: i for i, x in enumerate(sorted(set(all_ids), key=lambda x: (x is not None, x)))}
+        order = np.array([places[x] for x in all_ids], dtype=np.int64)
         out = []
-        for block in right.to_pylist():
-            b, b_groups = _block(block["v"], len(block["ids"]), wide), np.array(block["gs"], dtype=object)
-            for row in (r for i in range(len(left)) for r in left.slice(i, 1).to_pylist()):
-                n = len(row["q_ids"])
-                a, bounds, a_groups = _block(row["q_v"], n, wide), _bounds(n, row["bounds"]), np.array(row["q_gs"], dtype=object)
-                for at in range(0, n, 512):
-                    some = slice(at, at + 512)
-                    d = _distances(a[some], b)
-                    own = np.array([g is not None for g in a_groups[some]])[:, None] & (a_groups[some, None] == b_groups[None, :])
-                    d[own] = np.inf
-                    rows, columns = _smallest(d, bounds[some], k)
-                    exact = (a[some][rows] * b[columns]).sum(1) if inner else np.linalg.norm(a[some][rows] - b[columns], axis=1)
-                    out.append((row["chunk"], rows + at, columns, d[rows, columns], exact, block["ids"]))
+        for row in (r for i in range(len(left)) for r in left.slice(i, 1).to_pylist()):
+            n = len(row["q_ids"])
+            a, bounds = _block(row["q_v"], n, wide), _bounds(n, row["bounds"])
+            groups = np.array([-2 if g is None else codes.get(g, -2) for g in row["q_gs"]])
+            best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+            for start, b, b_groups in (there[name] for name in sorted(row["names"])):
+                found = [_within(a[at : at + 512], groups[at : at + 512], b, b_groups, bounds[at : at + 512], k) for at in range(0, n, 512)]
+                rows = np.concatenate([x[0] + 512 * i for i, x in enumerate(found)])
+                columns, dist = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+                exact = (a[rows] * b[columns]).sum(1) if inner else dist
+                rows, columns, dist, exact = (np.concatenate(x) for x in zip(best, (rows, columns + start, dist, exact)))
+                by = np.lexsort((order[columns], dist, rows))
+                rank = np.arange(len(by)) - np.searchsorted(rows[by], rows[by])
+                by = by[rank < k]
+                best = rows[by], columns[by], dist[by], exact[by]
+                last = rank[rank < k] == k - 1
+                bounds[best[0][last]] = np.minimum(bounds[best[0][last]], best[2][last])
+            out.append((row["chunk"], *best))
         return pa.table(
             {
                 "chunk": pa.array([c for c, rows, *_ in out for _ in rows], pa.string()),
                 "at": pa.array(np.concatenate([x[1] for x in out] or [[]]).astype(np.int32)),
-                "neighbour": pa.array([ids[j] for *_, columns, _, _, ids in out for j in columns], right.schema.field("ids").type.value_type),
+                "neighbour": pa.array([all_ids[j] for x in out for j in x[2].tolist()], right.schema.field("ids").type.value_type),
                 "dist": pa.array(np.concatenate([x[3] for x in out] or [[]]).astype(float)),
                 "score": pa.array(np.concatenate([x[4] for x in out] or [[]]).astype(float)),
             }
         )
 
-    return asked.groupBy("name", "part").cogroup(held.groupBy("block_name", "block_part")).applyInArrow(
+    return asked.groupBy("part", "block_part").cogroup(held.groupBy("met_part", "met_block_part")).applyInArrow(
         search, f"chunk string, at int, neighbour {kind}, dist double, score double"
     )
 
 
+def _within(
+    a: np.ndarray, a_groups: np.ndarray, b: np.ndarray, b_groups: np.ndarray, bounds: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of pairs of different groups: for each row of ``a`` all of its k nearest that lie within its bound, and few more.
+
+    One product in single precision decides which pairs are measured: what it may be off by is added to every limit.
+    """
+    # Moved to their middle, vectors far from the origin lose nothing in the products.
+    middle = b.mean(0)
+    middle[~np.isfinite(middle)] = 0.0
+    ac, bc = a - middle, b - middle
+    norms, b_norms = (ac * ac).sum(1), (bc * bc).sum(1)
+    most = np.fmax.reduce(b_norms, initial=0.0)
+    small = max(np.fmax.reduce(norms, initial=0.0), most) < 1e30
+    kind = np.float32 if small else np.float64
+    rounding = (a.shape[1] + 8) * 2 * float(np.finfo(kind).eps)
+    slack = rounding * (np.sqrt(norms) + math.sqrt(most)) ** 2 + 1e-30
+    near = (-2.0 * ac).astype(kind) @ bc.T.astype(kind)
+    near += b_norms.astype(kind)
+    limit = (bounds * (1 + 1e-6) + 1e-6) ** 2 - norms + slack
+    own = [(a_groups == g, b_groups == g) for g in np.unique(a_groups) if g >= 0]
+    for rows, columns in own:
+        if columns.all():
+            limit[rows] = -np.inf
+        elif columns.any():
+            near[np.ix_(rows, columns)] = np.inf
+    open_ = np.flatnonzero(np.isposinf(limit) | np.isnan(limit))
+    if len(open_) and len(b) > k:
+        limit[open_] = np.partition(near[open_], k - 1, axis=1)[:, k - 1] + 2 * slack[open_]
+    # Rounded up, so that no limit is lowered by its own conversion.
+    hit = near <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]
+    if np.isinf(limit).any():
+        hit &= near < np.inf
+    crowded = np.flatnonzero(hit.sum(1) > 4 * k + 64)
+    if len(crowded):
+        # Many rows as near as the bound, as copies are: the k nearest by the product in double precision.
+        d = _distances(ac[crowded], bc)
+        d[~hit[crowded]] = np.inf
+        hit[crowded] = False
+        hit[(crowded[(at := _smallest(d, bounds[crowded], k))[0]], at[1])] = True
+    rows, columns = np.divmod(np.flatnonzero(hit), len(b))
+    dist = np.concatenate([np.linalg.norm(a[rows[i : i + 65_536]] - b[columns[i : i + 65_536]], axis=1) for i in range(0, len(rows), 65_536)] or [np.empty(0)])
+    kept = dist <= bounds[rows] * (1 + 1e-6) + 1e-6
+    kept &= np.isfinite(dist)
+    return rows[kept], columns[kept], dist[kept]
+
+
 def _smallest(d: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k smallest finite distances within its bound; of equal ones at the edge the first columns."""
     edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)

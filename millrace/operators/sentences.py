@@ -46,40 +46,43 @@ def _form(bare: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    def facts(word):
-        return let(
-            _bare(word),
-            lambda b: F.struct(
-                _form(b).alias("form"), b.endswith(".").alias("period"), word.rlike(ENDED).alias("ended"),
-                b.rlike(r"^\p{Ll}").alias("lower"), b.rlike(r"^\p{Lu}").alias("upper"),
-            ),
-        )
+    return F.filter(F.split(text, f"[{GAPS}]+"), lambda w: w != "")
 
-    listed = F.transform(F.filter(F.split(text, f"[{GAPS}]+"), lambda w: w != ""), facts)
+
+def _word_pairs(df: DataFrame, text: ColumnOrName) -> DataFrame:
+    """(word, before, n): how often each word stands behind each other one that holds a full stop, an exclamation or a question mark;
+    ``before`` is empty behind all others and null at the start of a text."""
 
     def with_previous(words):
         def of(w, i):
             before = F.get(words, i - 1)
-            return F.struct(
-                w["form"].alias("form"), w["period"].alias("period"), w["lower"].alias("lower"),
-                (w["upper"] & ~F.coalesce(before["ended"], F.lit(True))).alias("upper_inside"),
-                F.when(before["period"], before["form"]).alias("behind"),
-            )
+            marked = before.contains(".") | before.contains("!") | before.contains("?")
+            return F.struct(w.alias("word"), F.when(i > 0, F.when(marked, before).otherwise("")).alias("before"))
 
         return F.transform(words, of)
 
-    return let(listed, with_previous)
+    rows = df.select(F.explode(let(_words(col(text).cast("string")), with_previous)).alias("w")).select("w.*")
+    return rows.groupBy("word", "before").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _form_pairs(words: DataFrame) -> DataFrame:
+    """(form, behind, n, period, lower, upper_inside) of ``_word_pairs``: what a word is follows from itself and the one before it,
+    so it is looked into once, however often it occurs."""
+    bare = words.select("n", "before", _bare(F.col("word")).alias("b"), _bare(F.col("before")).alias("bb"))
+    ended = F.coalesce(F.col("before").rlike(ENDED), F.lit(True))
+    facts = bare.select(
+        "n", _form(F.col("b")).alias("form"), F.when(F.col("bb").endswith("."), _form(F.col("bb"))).alias("behind"),
+        F.col("b").endswith(".").alias("period"), F.col("b").rlike(r"^\p{Ll}").alias("lower"),
+        (F.col("b").rlike(r"^\p{Lu}") & ~ended).alias("upper_inside"),
+    )
+    return facts.filter("form is not null").groupBy("form", "behind").agg(
+        F.sum("n").alias("n"), *[F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c) for c in ("period", "lower", "upper_inside")]
+    )
 
 
 def sentence_model(df: DataFrame, text: ColumnOrName) -> DataFrame:
     """(form, with_period, without_period, lower, upper_inside, starts, abbreviation_score, abbreviation, starter_score, starter)."""
-    rows = df.select(F.explode(_words(col(text).cast("string"))).alias("w")).select("w.*").filter("form is not null")
-    pairs = cut_lineage(
-        rows.groupBy("form", "behind").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(F.col(c)).alias(c) for c in ("period", "lower", "upper_inside")],
-        )
-    )
+    pairs = cut_lineage(_form_pairs(_word_pairs(df, text)))
     forms = pairs.groupBy("form").agg(*[F.sum(c).alias(c) for c in ("n", "period", "lower", "upper_inside")])
     total = forms.agg(F.sum("n").cast("double")).scalar()
     share = forms.agg(F.sum("period") / F.sum("n")).scalar()
@@ -123,22 +126,23 @@ def _pieces(text: ColumnOrName) -> Column:
 def _held_back(df: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
     """(key, held): for each row with any, the sorted positions of pieces that do not end their sentence."""
 
-    def last_and_next(pieces):
-        def of(piece, i):
-            follower = _bare(F.regexp_extract(F.get(pieces, i + 1), rf"^[{GAPS}]*([^{GAPS}]+)", 1))
-            bare = _bare(F.regexp_extract(piece, rf"[^{GAPS}]+$", 0))
-            return F.struct(
-                i.alias("at"), F.when(bare.endswith("."), _form(bare)).alias("form"), _form(follower).alias("next"),
-                follower.rlike(r"^\p{Lu}").alias("upper"),
-            )
+    def last_and_next(words):
+        def of(word, i):
+            ends = word.endswith(".") | word.endswith("!") | word.endswith("?")
+            return F.when(ends, F.struct(word.alias("last"), F.get(words, i + 1).alias("next")))
 
-        # The last piece has no gap behind it, so nothing is to be decided there.
-        return F.filter(F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), of), lambda b: b["form"].isNotNull())
+        # The n-th word that ends like this ends the n-th piece.
+        return F.filter(F.transform(words, of), lambda b: b.isNotNull())
 
-    breaks = df.select(key, F.explode(let(_pieces(text), last_and_next)).alias("b")).select(key, "b.*")
+    ends = df.select(key, F.posexplode(let(_words(col(text).cast("string")), last_and_next)).alias("at", "b")).select(key, "at", "b.*")
+    # Behind the last word nothing is to be decided.
+    dotted = ends.filter(F.col("next").isNotNull() & F.col("last").contains(".")).select(key, "at", "next", _bare(F.col("last")).alias("bare"))
+    breaks = dotted.filter(F.col("bare").endswith(".")).select(key, "at", "next", _form(F.col("bare")).alias("form"))
     abbreviations = model.filter("abbreviation").select("form")
     openers = model.filter("starter or (lower > 0 and upper_inside = 0)").select(F.col("form").alias("next"), F.lit(True).alias("opens"))
-    undecided = breaks.join(abbreviations, "form").join(openers, "next", "left")
+    followed = breaks.join(abbreviations, "form").select(key, "at", _bare(F.col("next")).alias("bare"))
+    followed = followed.select(key, "at", _form(F.col("bare")).alias("next"), F.col("bare").rlike(r"^\p{Lu}").alias("upper"))
+    undecided = followed.join(openers, "next", "left")
     held = undecided.filter(~(F.col("upper") & F.coalesce("opens", F.lit(False))))
     return held.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("held"))
 

@@ -73,11 +73,13 @@ def _(spark, d):
 def _(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     model = sentences.sentence_model(docs, "text")
-    made = sentences.model_sentences(docs, "doc_id", "text", model)
+    made = sentences.model_sentences(docs, "doc_id", "text", model).select(
+        "doc_id", F.size("sentences").alias("n_made"), F.md5(F.array_join("sentences", "|")).alias("sentences")
+    )
     rule = docs.select(F.col("doc_id").alias("r_id"), F.size(corpus.sentences("text")).alias("n_rule"))
     return made.join(rule, F.col("doc_id") == F.col("r_id")).select(
         "doc_id",
-        F.size("sentences").cast("bigint").alias("n_sentences"),
-        (F.col("n_rule") - F.size("sentences")).cast("bigint").alias("n_held"),
-        F.md5(F.array_join("sentences", "|")).alias("sentences"),
+        F.col("n_made").cast("bigint").alias("n_sentences"),
+        (F.col("n_rule") - F.col("n_made")).cast("bigint").alias("n_held"),
+        "sentences",
     )

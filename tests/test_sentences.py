@@ -55,3 +55,15 @@ def test_null_empty_repeated_and_long_texts(spark):
     assert made(df, model)[None] == ["Mr.", "Kim left.", "They say so."]
     twice = sentences.sentence_model(df.unionAll(df), "text").filter("form = 'dr'").first()
     assert twice["with_period"] == 2 * sentences.sentence_model(df, "text").filter("form = 'dr'").first()["with_period"]
+
+
+def test_words_are_looked_into_once(spark):
+    rows = spark.createDataFrame([(i, " See etc. Now (etc.) this? Yes! and Mr. Smith.  ") for i in range(50)], "id long, text string")
+    pairs = sentences._word_pairs(rows, "text")
+    got = {(r["word"], r["before"]): r["n"] for r in pairs.collect()}
+    assert set(got.values()) == {50} and len(got) == 9
+    assert got[("See", None)] == got[("Now", "etc.")] == got[("this?", "(etc.)")] == got[("and", "Yes!")] == got[("Mr.", "")] == 50
+    facts = {(r["form"], r["behind"]): (r["n"], r["period"], r["lower"], r["upper_inside"]) for r in sentences._form_pairs(pairs).collect()}
+    assert facts[("etc", None)] == (100, 100, 100, 0) and facts[("now", "etc")] == (50, 0, 0, 0) and facts[("mr", None)] == (50, 50, 0, 50)
+    made = sentences.model_sentences(rows, "id", "text", sentences.sentence_model(rows, "text")).collect()
+    assert {"".join(r["sentences"]).replace(" ", "") for r in made} == {"Seeetc.Now(etc.)this?Yes!andMr.Smith."}

@@ -29,6 +29,7 @@ from .ordering import with_value_position
 from .sampling import top_per_group
 
 LEADERS = 8
+HASH_SLOTS = 64  # equal parts of the hash range of shingles
 BLOCK_ROWS = 4096
 MAX_LEAVES, PIVOT_BYTES = 65_536, 32 << 20  # of the pivot tree, which every task gets
 FIRST_VISITS, MEETING_BLOCKS, MEETINGS_PER_CORE = 4, 8, 4
@@ -129,6 +130,32 @@ def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.select("left_key", "right_key", (shared / (F.col("__ln") + F.col("__rn") - shared).cast("double")).alias("score"))
 
 
+def _matchable_sets(df: DataFrame, key: str, text: str, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, set_id), and sets (set_id, n, grams) like those of ``distinct_sets``, without most that have no similar set.
+
+    What is counted are neighbours in the sorted set, as two unlike texts seldom share them however large the table is. A similar set
+    lacks u of the n shingles and adds v: u breaks two neighbourhoods each and v one each, at most 2 (1 - t) n together. So a
+    set goes if more of them are its own. Those that start in a fixed part of the hash range suffice; they are all that is kept and
+    shuffled of every set. The texts of the sets that stay are cut again.
+    """
+    slots = min(HASH_SLOTS, max(HASH_SLOTS // 4, math.ceil(2.4 * (1 - threshold) * HASH_SLOTS)))
+    cut = shingle_sets(df, key, text, n).withColumn("grams", F.sort_array("grams"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i < F.col("n") - 1) & (F.pmod(F.get("grams", i), F.lit(HASH_SLOTS)) < slots))
+    part = F.transform(starts, lambda i: F.xxhash64(F.get("grams", i), F.get("grams", i + 1)))
+    found = cut_lineage(cut.select(key, "n", _set_name("grams").alias("__set"), part.alias("__part"))).filter(F.col("n") > 0)
+    marked = found.select(F.xxhash64("__set").alias("__mark"), F.explode("__part").alias("__two"))
+    own = marked.groupBy("__two").agg(F.min("__mark").alias("__mark"), F.max("__mark").alias("__last")).filter("__mark = __last")
+    own = own.groupBy("__mark").agg(F.count(F.lit(1)).alias("__own"))
+    names = cut_lineage(found.groupBy("__set").agg(F.min(key).alias("set_id"), F.first("n").alias("n")))
+    few = F.coalesce("__own", F.lit(0)) <= F.col("n") * F.lit(2 * (1 - threshold)) + 1e-9
+    stay = names.withColumn("__mark", F.xxhash64("__set")).join(own, "__mark", "left").filter(few)
+    texts = df.select(F.col(key).alias("set_id"), F.col(text).alias("__text")).join(stay.select("set_id", "__mark"), "set_id")
+    again = cut_lineage(texts.select("set_id", "__mark", F.sort_array(shingle_hashes("__text", n)).alias("grams")))
+    sets = again.filter(F.xxhash64(_set_name("grams")) == F.col("__mark"))  # a key may come with other texts too
+    rows = found.select(key, "__set").join(names.select("__set", "set_id"), "__set").select(key, "set_id")
+    return rows, sets.select("set_id", F.size("grams").alias("n"), "grams")
+
+
 def similar_rows(
     df: DataFrame, key: str, text: str, other: DataFrame, other_key: str, other_text: str, threshold: float,
     n: int = 3, inclusive: bool = False,
@@ -185,13 +212,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.792
     """Keys to remove so that the rest is what a pass in key order keeps: a row goes when a kept row
     before it is similar.
 
-    Each round compares the undecided sets of a shingle bucket with the bucket's smallest ones, its leaders, and
+    Most sets without a similar one go first. Each round compares the undecided sets of a shingle bucket with the bucket's smallest ones, its leaders, and
     confirms the pairs. A set that leads all its buckets has met every set before it that could be
     similar: without a confirmed one it is kept, and sets similar to it go. Families of copies go in the first
     rounds; leaders grow eightfold, so buckets of unlike sets take a number of rounds that grows with the
     logarithm of their size. Once every set leads, only the confirmed pairs are left to decide on.
     """
-    rows, sets = distinct_sets(df, key, text, n)
+    rows, sets = _matchable_sets(df, key, text, threshold, n)
     # A shingle of one set only joins nothing.
     known = cut_lineage(_rare_first(sets, "set_id", _frequency(sets, 2), threshold))
     earlier, later = known.withColumnRenamed("set_id", "left_key"), known.withColumnRenamed("set_id", "right_key")

@@ -160,6 +160,36 @@ def test_near_duplicates_by_brute_force(spark, threshold):
     assert got == removed
 
 
+@pytest.mark.parametrize("threshold", [0.792, 0.95])
+def test_sets_without_a_similar_one_go_before_their_shingles_are_shuffled(spark, monkeypatch, threshold):
+    counted, frequency = [], similarity._frequency
+    monkeypatch.setattr(similarity, "_frequency", lambda sets, *a: counted.append(sets) or frequency(sets, *a))
+    rng = random.Random(3)
+    unlike = [[f"{i}-{k}" for k in range(rng.randint(60, 90))] for i in range(60)]
+    shared = [f"s{k}" for k in range(12)]
+    texts = [" ".join(shared + t) for t in unlike]  # every set has common shingles, few of them
+    texts += [" ".join([*unlike[i][:-1], "end"]) for i in range(4)] + texts[7:9] + ["", "one", "One", "one two", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    got = {r["id"] for r in similarity.near_duplicates(df, "id", "text", threshold).collect()}
+    kept, removed = [], set()
+    for i, t in enumerate(texts):
+        g = _grams(t or "")
+        if g and any(_jaccard(g, k) > threshold for k in kept):
+            removed.add(i)
+        elif g:
+            kept.append(g)
+    assert got == removed and 64 in removed and 68 in removed
+    ids = {r["set_id"] for r in counted[0].collect()}
+    assert len(ids) <= 20 and (threshold > 0.792 or ids >= {0, 1, 2, 3, 60, 61, 62, 63})
+
+
+def test_near_duplicates_of_a_key_with_several_texts_and_of_null_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, f"{a} x"), (None, f"{b} y"), (None, a), (3, f"{b} z")]
+    got = similarity.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text").distinct().collect()
+    assert {r["id"] for r in got} == {2, 3}
+
+
 @pytest.mark.parametrize("m", [40, 400])
 def test_rounds_do_not_grow_with_unlike_sets_of_a_bucket(spark, monkeypatch, m):
     rounds = []

@@ -4,9 +4,12 @@ import datetime
 import json
 import random
 
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import plans
 from millrace.sources import files, writers
 from millrace.sources.traces import TraceStore
 from millrace.streaming import stateful
@@ -90,6 +93,20 @@ def test_polling_since_gives_every_trace_once(spark):
     assert got == sorted((f"{p}-{i}", DAY + datetime.timedelta(hours=i)) for p in range(3) for i in range(10, 20))
 
 
+def test_the_store_is_asked_for_every_session(spark, tmp_path):
+    def event(i):
+        return i, DAY + datetime.timedelta(hours=i % 240), None if i % 11 == 0 else i * 37, ("click", "view", "error")[i % 3], 0.5
+
+    events = [event(i) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = plans.queries()["j2_store_since"](spark, str(tmp_path))
+    since = max(ts for _, ts, *_ in events) - datetime.timedelta(days=5)
+    assert sorted(r.id for r in found.collect()) == [i for i, ts, user, kind, _ in events if ts >= since and user is not None and kind != "error"]
+    con = duckdb.connect()
+    con.execute(f"create view events as from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert oracle.difference(found, con, plans.oracle_sql()["j2_store_since"]) is None
+
+
 @pytest.mark.parametrize("buffer", [1, 7, 500])
 def test_shuffle_buffer_is_carried(spark, buffer):
     path, rng = writers.scratch_path(spark, "rows"), random.Random(2)
